@@ -127,8 +127,9 @@ def range_join(df: DataFrame, ranges: DataFrame, value: str, low: str, high: str
     Each range is filed under a power of two above its length, so it touches at most two
     buckets of that width whatever its length; a value looks up one bucket per width in use.
     The work is a hash or sort-merge join that Spark can broadcast by size or split, never a
-    comparison of every value with every range.  Endless ranges share one bucket.  Both bounds are included.  With
-    ``missing_low`` a missing value or bound counts as lower than every number.
+    comparison of every value with every range.  Endless ranges share one bucket.  Both
+    bounds are included.  With ``missing_low`` a missing value or bound counts as lower than
+    every number.
     """
     lowest, any_width = F.lit(-sys.float_info.max), F.lit(2000)
 
@@ -145,12 +146,16 @@ def range_join(df: DataFrame, ranges: DataFrame, value: str, low: str, high: str
     # The widths in use: at most one per power of two, however many ranges there are.
     levels = filed.select(F.collect_set("_sf_level")).scalar()
     width = F.pow(F.lit(2.0), F.col("_sf_level"))
-    ends = F.array_distinct(F.array(F.rint(F.col("_sf_lo") / width),
-                                    F.rint(F.col("_sf_hi") / width)))
+
+    def bucket(c: str) -> Column:
+        # Adding zero turns -0.0 into 0.0; as two entries they would match the same rows twice.
+        return F.rint(F.col(c) / width) + F.lit(0.0)
+
+    ends = F.array_distinct(F.array(bucket("_sf_lo"), bucket("_sf_hi")))
     filed = filed.withColumn("_sf_bucket", F.explode(ends)).drop("_sf_lo", "_sf_hi")
     probe = df.withColumns({"_sf_v": num(value), "_sf_levels": levels}).where("_sf_v is not null")
     probe = probe.withColumn("_sf_level", F.explode("_sf_levels"))
-    probe = probe.withColumn("_sf_bucket", F.rint(F.col("_sf_v") / width))
+    probe = probe.withColumn("_sf_bucket", bucket("_sf_v"))
     v, a, b = F.col(value), F.col(low), F.col(high)
     inside = (missing_le(a, v) & missing_le(v, b)) if missing_low else v.between(a, b)
     joined = probe.drop("_sf_v", "_sf_levels").join(filed, ["_sf_level", "_sf_bucket"])

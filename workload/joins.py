@@ -137,8 +137,8 @@ def owner_scoped_join(t):
 
 @query("nest_children", """
 SELECT doc_id, CAST(0 AS BIGINT) AS page, CAST(COUNT(turn) AS INTEGER) AS n_comments,
-       coalesce(string_agg(turn || ':' || role || ':' || text, chr(10) ORDER BY turn), '') AS comments
-FROM documents LEFT JOIN conversations ON conv_id = doc_id GROUP BY doc_id""")
+       coalesce(string_agg(turn || ':' || role || ':' || c.text, chr(10) ORDER BY turn), '') AS comments
+FROM documents LEFT JOIN conversations c ON conv_id = doc_id GROUP BY doc_id""")
 def nest_children(t):
     children = t.conversations.withColumnRenamed("conv_id", "doc_id")
     nested = J.nest_children(t.documents.select("doc_id"), children, "doc_id", ["turn"],

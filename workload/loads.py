@@ -68,17 +68,17 @@ CHANGE_ORDER = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_exten
 UPSERT_SQL = """
 WITH changes AS (
   SELECT l_orderkey, CASE l_returnflag WHEN 'N' THEN '' WHEN 'A' THEN 'converted' ELSE 'reviewed' END AS status,
-         CASE WHEN l_quantity > 25 THEN 'v' || l_partkey END AS target_code, l_shipdate AS at,
+         CASE WHEN l_quantity > 25 THEN 'v' || l_partkey END AS target_code, l_shipdate AS changed,
          ROW_NUMBER() OVER (PARTITION BY l_orderkey
            ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn
   FROM lineitem),
 folded AS (
   SELECT l_orderkey, arg_max(status, rn) FILTER (status <> '') AS status,
          arg_max(target_code, rn) FILTER (target_code IS NOT NULL) AS target_code,
-         COUNT(target_code) AS bumps, MAX(at) AS at
+         COUNT(target_code) AS bumps, MAX(changed) AS changed
   FROM changes GROUP BY l_orderkey)
 SELECT o_orderkey AS id, coalesce(status, 'pending') AS status, coalesce(target_code, '') AS target_code,
-       CAST(1 + coalesce(bumps, 0) AS INTEGER) AS version, coalesce(at, o_orderdate) AS updated_at
+       CAST(1 + coalesce(bumps, 0) AS INTEGER) AS version, coalesce(changed, o_orderdate) AS updated_at
 FROM orders LEFT JOIN folded ON l_orderkey = o_orderkey"""
 
 
