@@ -68,8 +68,11 @@ def progress_percent(tasks: DataFrame, by: Sequence[str], processed: Column) ->
 def conversion_time_stats(tasks: DataFrame, by: Sequence[str], started: str, completed: str,
                           stats: dict[str, Column] | None = None) -> DataFrame:
     """Finished tasks, mean seconds from start to completion, and further statistics."""
-    seconds = (F.unix_micros(F.col(completed).cast("timestamp"))
-               - F.unix_micros(F.col(started).cast("timestamp"))) / 1e6
+    took = F.col(completed) - F.col(started)
+    # Taken from the interval, so the session time zone plays no part.
+    seconds = sum((F.extract(F.lit(unit), took) * n for unit, n in
+                   (("DAY", 86400), ("HOUR", 3600), ("MINUTE", 60))),
+                  F.extract(F.lit("SECOND"), took)).cast("double")
     aggs = [F.count(seconds).cast("bigint").alias("files_converted"),
             F.avg(seconds).alias("avg_conversion_seconds")]
     return tasks.groupBy(*by).agg(*aggs, *[s.alias(o) for o, s in (stats or {}).items()])

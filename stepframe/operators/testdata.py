@@ -1,7 +1,8 @@
 """Test data from profiles: baseline rows, edge rows and scaled copies.
 
 Values come from hashes of a row key and a seed, so the same rows appear whatever the number
-of partitions and however often a task is repeated.
+of partitions and however often a task is repeated.  The hash is MD5, which other engines have
+too: they can make the same rows.
 """
 
 from __future__ import annotations
@@ -22,22 +23,25 @@ def testdata_baseline(rows: DataFrame, key: str, source: DataFrame, columns: Seq
     Numbers take one of ``n_distinct`` evenly spaced values from lowest to highest; texts are
     ``<column>_<i>`` with i below ``n_distinct``.  The profile is a one-row subquery.
     """
-    fields = {f.name: f for f in source.schema.fields}
+    fields = {f.name: f.dataType for f in source.schema.fields}
+    number = {c: isinstance(fields[c], T.NumericType) for c in columns}
+    ranges = [F.struct(F.count_distinct(c).alias("n"),
+                       (F.min(c) if number[c] else F.lit(0)).alias("lo"),
+                       (F.max(c) if number[c] else F.lit(0)).alias("hi")).alias(c) for c in columns]
+    # One subquery for all columns: the source is read once.
+    profile = source.select(F.struct(*ranges)).scalar()
     out = [F.col(key)]
-    for name in columns:
-        f = fields[name]
-        number = isinstance(f.dataType, T.NumericType)
-        lo, hi = (F.min(name), F.max(name)) if number else (F.lit(0), F.lit(0))
-        profile = source.select(F.struct(
-            F.count_distinct(name).alias("n"), lo.alias("lo"), hi.alias("hi"))).scalar()
-        n = F.greatest(profile["n"], F.lit(1))
-        pick = F.pmod(F.xxhash64(F.col(key), F.lit(name), F.lit(seed)), n)
-        if number:
-            value = profile["lo"] + (profile["hi"] - profile["lo"]) * pick / F.greatest(n - 1, F.lit(1))
-            value = F.floor(value) if isinstance(f.dataType, _WHOLE) else value
-            out.append(value.cast(f.dataType).alias(name))
+    for c in columns:
+        of = profile[c]
+        n = F.greatest(of["n"], F.lit(1))
+        digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(c), F.col(key).cast("string")))
+        pick = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint") % n
+        if number[c]:
+            value = of["lo"] + (of["hi"] - of["lo"]) * pick / F.greatest(n - 1, F.lit(1))
+            value = F.floor(value) if isinstance(fields[c], _WHOLE) else value
+            out.append(value.cast(fields[c]).alias(c))
         else:
-            out.append(F.concat(F.lit(f"{name}_"), pick.cast("string")).alias(name))
+            out.append(F.concat(F.lit(f"{c}_"), pick.cast("string")).alias(c))
     return rows.select(*out)
 
 

@@ -5,45 +5,42 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stepframe.operators.load import upsert_status
 
 
 class StatusTable:
-    """A table kept as one folder per applied batch; the highest complete batch is current.
+    """A table kept as one folder per applied batch, fed by one stream.
 
-    Batch n reads the folder of the batch before and writes ``batch=n``.  A repeated batch
-    writes the same rows over its own folder, so a retry changes nothing.
+    Batch n reads version n, writes version n + 1 and then notes it in a small log table.
+    A repeated batch writes the same rows over its own version, so a retry changes nothing,
+    and readers only see versions that are complete.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def _folder(self, batch: int) -> str:
-        return f"{self.path}/v{batch:012d}"
+    def _write(self, df: DataFrame, version: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/v{version:012d}")
+        note = self.spark.range(1).select(F.lit(version).cast("bigint").alias("version"))
+        note.write.mode("append").parquet(f"{self.path}/log")
+
+    def _version(self, version: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/v{version:012d}")
 
     def create(self, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(self._folder(0))
-
-    def _last(self, below: int | None = None) -> int:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        done = []
-        for status in fs.listStatus(hadoop):
-            folder = status.getPath()
-            if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")):
-                done.append(int(folder.getName()[1:]))
-        return max(b for b in done if below is None or b < below)
+        self._write(df, 0)
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self._folder(self._last()))
+        """The newest complete version."""
+        log = self.spark.read.schema("version bigint").parquet(f"{self.path}/log")
+        return self._version(log.agg(F.max("version")).first()[0])
 
     def apply(self, batch_id: int, change) -> None:
-        """Write the table after ``change(current)`` as batch ``batch_id + 1``."""
-        number = batch_id + 1
-        current = self.spark.read.parquet(self._folder(self._last(below=number)))
-        change(current).write.mode("overwrite").parquet(self._folder(number))
+        """Store ``change(current)`` as the result of a batch; batches are numbered from 0."""
+        self._write(change(self._version(batch_id)), batch_id + 1)
 
 
 def stream_status_upsert(changes: DataFrame, table: StatusTable, checkpoint: str, key: str,

@@ -13,15 +13,20 @@ from pyspark.sql.streaming import StreamingQuery
 
 def daily_usage(requests: DataFrame, user: str = "user_id", at: str = "ts",
                 event: str = "event_id", delay: str = "1 hour") -> DataFrame:
-    """Requests per user and day; repeats of an event inside ``delay`` count once.
+    """Requests per user and UTC day; repeats of an event inside ``delay`` count once.
 
     State holds the open days and the events of the last ``delay`` only.
     """
-    stamped = requests.select(user, event, F.col(at).cast("timestamp").alias("_at"))
+    stamp = F.col(at)
+    if requests.schema[at].dataType.typeName() == "timestamp_ntz":
+        # A watermark needs an instant: the clock time counts as UTC whatever the session zone.
+        stamp = F.from_utc_timestamp(stamp.cast("timestamp"), F.current_timezone())
+    stamped = requests.select(user, event, stamp.alias("_at"))
     once = stamped.withWatermark("_at", delay).dropDuplicatesWithinWatermark([event])
     counted = once.groupBy(F.window("_at", "1 day"), user).agg(
         F.count(F.lit(1)).cast("bigint").alias("request_count"))
-    return counted.select(user, F.col("window.start").alias("day"), "request_count")
+    day = F.date_from_unix_date(F.floor(F.unix_seconds("window.start") / 86400).cast("int"))
+    return counted.select(user, day.alias("day"), "request_count")
 
 
 def stream_monthly_usage(requests: DataFrame, out_path: str, checkpoint: str,

@@ -120,10 +120,24 @@ def platform_decision(t):
     return C.platform_decision(scored, F.col("p_retailprice") > 950).select("script_id", "score", "platform")
 
 
-@query("testdata_baseline")
+def _pick(column: str) -> str:
+    digest = f"substr(md5('7|{column}|' || p_partkey), 1, 15)"
+    return f"(CAST('0x' || {digest} AS BIGINT) % (SELECT COUNT(DISTINCT {column}) FROM part))"
+
+
+def _even(column: str) -> str:
+    return (f"(SELECT MIN({column}) FROM part) + (SELECT MAX({column}) - MIN({column}) FROM part) * {_pick(column)}"
+            f" / (SELECT greatest(COUNT(DISTINCT {column}) - 1, 1) FROM part)")
+
+
+@query("testdata_baseline", f"""
+SELECT p_partkey, 'p_brand_' || {_pick('p_brand')} AS p_brand, 'p_type_' || {_pick('p_type')} AS p_type,
+       CAST(floor({_even('p_size')}) AS INTEGER) AS p_size, round({_even('p_retailprice')}, 4) AS p_retailprice
+FROM part""")
 def testdata_baseline(t):
-    return X.testdata_baseline(t.part.select("p_partkey"), "p_partkey", t.part,
+    made = X.testdata_baseline(t.part.select("p_partkey"), "p_partkey", t.part,
                                ["p_brand", "p_type", "p_size", "p_retailprice"], seed=7)
+    return made.withColumn("p_retailprice", F.round("p_retailprice", 4))
 
 
 @query("testdata_edges", f"""
@@ -211,11 +225,12 @@ def approval_rollup(t):
 @query("context_bundle", """
 SELECT source AS job, CASE lang WHEN 'en' THEN 'sas_analyst' WHEN 'fr' THEN 'platform_architect'
                            WHEN 'es' THEN 'code_translator' ELSE 'test_engineer' END AS agent,
-       CAST(0 AS BIGINT) AS page, COUNT(*) AS n_files,
+       (rn - 1) // 10 AS page, COUNT(*) AS n_files,
        string_agg('=== ' || name || ' ===' || chr(10) || left(text, 2000), chr(10) || chr(10) ORDER BY name) AS bundle
-FROM (SELECT *, 'f' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || CASE WHEN n_chars < 300 THEN '.log'
-                WHEN n_chars < 800 THEN '.sql' ELSE '.json' END AS name FROM documents) d
-WHERE n_chars >= 300 GROUP BY source, agent""")
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY source, lang ORDER BY name) AS rn FROM (
+  SELECT *, 'f' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || CASE WHEN n_chars < 300 THEN '.log'
+            WHEN n_chars < 800 THEN '.sql' ELSE '.json' END AS name FROM documents) WHERE n_chars >= 300)
+GROUP BY source, agent, page""")
 def context_bundle(t):
     lang = F.col("lang")
     suffix = F.when(F.col("n_chars") < 300, ".log").when(F.col("n_chars") < 800, ".sql").otherwise(".json")
@@ -225,7 +240,7 @@ def context_bundle(t):
         .when(lang == "es", "translate_code").otherwise("test_and_validate").alias("task"),
         F.concat(F.lit("f"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), suffix).alias("file_name"),
         F.col("text").alias("content"))
-    return R.context_bundle(files, page_size=100_000)
+    return R.context_bundle(files, page_size=10)
 
 
 @query("log_line_parse", """

@@ -136,13 +136,16 @@ def owner_scoped_join(t):
 
 
 @query("nest_children", """
-SELECT doc_id, CAST(0 AS BIGINT) AS page, CAST(COUNT(turn) AS INTEGER) AS n_comments,
-       coalesce(string_agg(turn || ':' || role || ':' || c.text, chr(10) ORDER BY turn), '') AS comments
-FROM documents LEFT JOIN conversations c ON conv_id = doc_id GROUP BY doc_id""")
+SELECT doc_id, CAST(coalesce((rn - 1) // 2, 0) AS BIGINT) AS page, CAST(COUNT(rn) AS INTEGER) AS n_comments,
+       coalesce(string_agg(turn || ':' || role || ':' || body, chr(10) ORDER BY rn), '') AS comments
+FROM documents LEFT JOIN (SELECT conv_id, turn, role, text AS body,
+                                 ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn) AS rn
+                          FROM conversations) ON conv_id = doc_id
+GROUP BY doc_id, page""")
 def nest_children(t):
     children = t.conversations.withColumnRenamed("conv_id", "doc_id")
     nested = J.nest_children(t.documents.select("doc_id"), children, "doc_id", ["turn"],
-                             ["turn", "role", "text"], "comments")
+                             ["turn", "role", "text"], "comments", page_size=2)
     flat = F.transform("comments", lambda c: F.concat_ws(":", c["turn"].cast("string"), c["role"], c["text"]))
     return nested.select("doc_id", "page", F.size("comments").alias("n_comments"),
                          F.array_join(flat, "\n").alias("comments"))

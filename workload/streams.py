@@ -23,7 +23,7 @@ def usage(t):
     out = scratch_path(t.spark, "usage-days")
     run = stream_monthly_usage(stream_of(t, "events"), out, scratch_path(t.spark, "usage-state"))
     run.awaitTermination()
-    return months_of(t.spark.read.schema("user_id bigint, day timestamp, request_count bigint").parquet(out))
+    return months_of(t.spark.read.schema("user_id bigint, day date, request_count bigint").parquet(out))
 
 
 @query("stream_status_upsert", UPSERT_SQL)
