@@ -192,6 +192,6 @@ def nest_children(parents: DataFrame, children: DataFrame, key: str,
     with_children = parents.join(pages, key)
     empty = F.lit(None).cast(pages.schema[out].dataType)
     empty = F.coalesce(empty, F.array().cast(pages.schema[out].dataType))
-    without = parents.join(pages.where("page = 0").select(key), key, "left_anti")
+    without = parents.join(children.select(key).distinct(), key, "left_anti")
     without = without.withColumns({"page": F.lit(0).cast("bigint"), out: empty})
     return with_children.unionByName(without)

@@ -78,14 +78,15 @@ def sentinel_members(df: DataFrame, key: str, rows: Sequence[dict]) -> DataFrame
     return insert_values(delete_where(df, F.col(key).isin(keys)), rows)
 
 
-def latest_values(changes: DataFrame, key: str, order_by: Sequence[str],
-                  fields: Sequence[str], blank_ignored: Sequence[str] = (),
-                  version_on: str | None = None, at: str | None = None) -> DataFrame:
-    """All changes of a key folded into one row: last given value of each field.
+def fold_changes(changes: DataFrame, key: str, order_by: Sequence[str],
+                 fields: Sequence[str], blank_ignored: Sequence[str] = (),
+                 version_on: str | None = None, at: str | None = None) -> DataFrame:
+    """All changes of a key folded into one row: the last given value of each field.
 
     A missing value means "not given"; for ``blank_ignored`` fields an empty text does too.
-    ``_sf_bumps`` counts the changes that give ``version_on``.  It is one aggregate that
-    combines before the shuffle, so a key with very many changes costs no more than others.
+    ``bumps`` counts the changes that give ``version_on``, ``changed_at`` is the newest time.
+    It is one aggregate that combines before the shuffle, so a key with very many changes
+    costs no more than others.
     """
     order = F.struct(*[F.col(c) for c in order_by])
     aggs = []
@@ -93,12 +94,29 @@ def latest_values(changes: DataFrame, key: str, order_by: Sequence[str],
         given = F.col(f).isNotNull()
         if f in blank_ignored:
             given = given & (F.col(f) != "")
-        aggs.append(F.max_by(F.col(f), F.when(given, order)).alias(f"_sf_{f}"))
-    if version_on:
-        aggs.append(F.count(version_on).cast("int").alias("_sf_bumps"))
-    if at:
-        aggs.append(F.max(at).alias("_sf_at"))
-    return changes.groupBy(key).agg(*aggs)
+        aggs.append(F.max_by(F.col(f), F.when(given, order)).alias(f))
+    bumps = F.count(version_on) if version_on else F.lit(0)
+    newest = F.max(at) if at else F.lit(None).cast("timestamp_ntz")
+    return changes.groupBy(key).agg(*aggs, bumps.cast("int").alias("bumps"),
+                                    newest.alias("changed_at"))
+
+
+def apply_folded(current: DataFrame, folded: DataFrame, key: str, fields: Sequence[str],
+                 version: str | None = "version", updated: str | None = "updated_at",
+                 insert_new: bool = False) -> DataFrame:
+    """The table after folded changes; changes for keys that it lacks are left out, or added
+    with ``insert_new``."""
+    joined = current.alias("c").join(folded.alias("n"), _same("c", "n", [key]),
+                                     "full" if insert_new else "left")
+    new = {key: F.coalesce(F.col(f"c.`{key}`"), F.col(f"n.`{key}`"))}
+    for f in fields:
+        new[f] = F.coalesce(F.col(f"n.`{f}`"), F.col(f"c.`{f}`"))
+    if version:
+        old = F.coalesce(F.col(f"c.`{version}`"), F.lit(1))
+        new[version] = old + F.coalesce(F.col("n.bumps"), F.lit(0))
+    if updated:
+        new[updated] = F.coalesce(F.col("n.changed_at"), F.col(f"c.`{updated}`"))
+    return joined.select(*[new.get(c, F.col(f"c.`{c}`")).alias(c) for c in current.columns])
 
 
 def upsert_status(current: DataFrame, changes: DataFrame, key: str, order_by: Sequence[str],
@@ -106,18 +124,10 @@ def upsert_status(current: DataFrame, changes: DataFrame, key: str, order_by: Se
                   version_on: str | None = None, version: str = "version",
                   at: str | None = None, updated: str = "updated_at",
                   insert_new: bool = False) -> DataFrame:
-    """Partial updates: only given fields change, code changes raise the version.
-
-    Changes for keys that the table lacks are left out, or added with ``insert_new``.
-    """
-    folded = latest_values(changes, key, order_by, fields, blank_ignored, version_on, at)
-    joined = current.alias("c").join(folded.alias("n"), key, "full" if insert_new else "left")
-    new = {f: F.coalesce(F.col(f"_sf_{f}"), F.col(f)) for f in fields}
-    if version_on:
-        new[version] = F.coalesce(F.col(version), F.lit(1)) + F.coalesce("_sf_bumps", F.lit(0))
-    if at:
-        new[updated] = F.coalesce(F.col("_sf_at"), F.col(updated))
-    return joined.withColumns(new).select(*current.columns)
+    """Partial updates: only given fields change, code changes raise the version."""
+    folded = fold_changes(changes, key, order_by, fields, blank_ignored, version_on, at)
+    return apply_folded(current, folded, key, fields, version if version_on else None,
+                        updated if at else None, insert_new)
 
 
 def cascade_delete(parent: DataFrame, doomed: DataFrame, key: str,

@@ -17,15 +17,17 @@ _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
 def testdata_baseline(rows: DataFrame, key: str, source: DataFrame, columns: Sequence[str],
-                      seed: int = 1) -> DataFrame:
+                      seed: int = 1, exact: bool = True) -> DataFrame:
     """One synthetic row per key, inside the value range and cardinality of the source columns.
 
     Numbers take one of ``n_distinct`` evenly spaced values from lowest to highest; texts are
-    ``<column>_<i>`` with i below ``n_distinct``.  The profile is a one-row subquery.
+    ``<column>_<i>`` with i below ``n_distinct``.  The profile is a one-row subquery;
+    ``exact=False`` counts distinct values with a sketch.
     """
     fields = {f.name: f.dataType for f in source.schema.fields}
     number = {c: isinstance(fields[c], T.NumericType) for c in columns}
-    ranges = [F.struct(F.count_distinct(c).alias("n"),
+    distinct = F.count_distinct if exact else F.approx_count_distinct
+    ranges = [F.struct(distinct(c).alias("n"),
                        (F.min(c) if number[c] else F.lit(0)).alias("lo"),
                        (F.max(c) if number[c] else F.lit(0)).alias("hi")).alias(c) for c in columns]
     # One subquery for all columns: the source is read once.

@@ -1,4 +1,9 @@
-"""Partial status updates from a stream of changes, applied batch by batch to a stored table."""
+"""Partial status updates from a stream of changes.
+
+A batch costs as much as its changes, not as much as the table: its changes are folded to one
+row per key and stored, and the table is the stored base with these rows applied when it is
+read.  ``compact`` turns base and changes into a new base.
+"""
 
 from __future__ import annotations
 
@@ -8,54 +13,76 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from stepframe.operators.load import upsert_status
+from stepframe.operators.load import apply_folded, fold_changes
 
 
 class StatusTable:
-    """A table kept as one folder per applied batch, fed by one stream.
+    """A base table and the folded changes of each batch of one stream, as parquet folders.
 
-    Batch n reads version n, writes version n + 1 and then notes it in a small log table.
-    A repeated batch writes the same rows over its own version, so a retry changes nothing,
-    and readers only see versions that are complete.
+    Batch n is stored in its own folder; a repeated batch writes the same rows there again, so
+    a retry changes nothing.  Bases are numbered by the first batch that they do not contain
+    and noted in a small log once they are complete.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, key: str, fields: Sequence[str],
+                 version: str | None = "version", updated: str | None = "updated_at"):
+        self.spark, self.path, self.key, self.fields = spark, path, key, list(fields)
+        self.version, self.updated = version, updated
 
-    def _write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v{version:012d}")
-        note = self.spark.range(1).select(F.lit(version).cast("bigint").alias("version"))
+    def _store_base(self, df: DataFrame, first_batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/base/{first_batch}")
+        note = self.spark.range(1).select(F.lit(first_batch).cast("bigint").alias("first_batch"))
         note.write.mode("append").parquet(f"{self.path}/log")
 
-    def _version(self, version: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{version:012d}")
-
     def create(self, df: DataFrame) -> None:
-        self._write(df, 0)
+        """Start with ``df`` and no changes."""
+        self._store_base(df, 0)
+        folded = df.limit(0).select(self.key, *self.fields, F.lit(0).alias("bumps"),
+                                    (F.col(self.updated) if self.updated else
+                                     F.lit(None).cast("timestamp_ntz")).alias("changed_at"))
+        # An empty batch fixes the schema of the changes before the first one comes.
+        folded.write.mode("overwrite").parquet(f"{self.path}/changes/batch=-1")
+
+    def store_batch(self, folded: DataFrame, batch_id: int) -> None:
+        folded.write.mode("overwrite").parquet(f"{self.path}/changes/batch={batch_id}")
+
+    def _base(self) -> tuple[int, DataFrame]:
+        log = self.spark.read.schema("first_batch bigint").parquet(f"{self.path}/log")
+        first = log.agg(F.max("first_batch")).first()[0]
+        return first, self.spark.read.parquet(f"{self.path}/base/{first}")
+
+    def _changes(self, first_batch: int) -> DataFrame:
+        # The filter is on the folder name, so batches inside the base are not read.
+        return self.spark.read.parquet(f"{self.path}/changes").where(F.col("batch") >= first_batch)
 
     def read(self) -> DataFrame:
-        """The newest complete version."""
-        log = self.spark.read.schema("version bigint").parquet(f"{self.path}/log")
-        return self._version(log.agg(F.max("version")).first()[0])
-
-    def apply(self, batch_id: int, change) -> None:
-        """Store ``change(current)`` as the result of a batch; batches are numbered from 0."""
-        self._write(change(self._version(batch_id)), batch_id + 1)
-
-
-def stream_status_upsert(changes: DataFrame, table: StatusTable, checkpoint: str, key: str,
-                         order_by: Sequence[str], fields: Sequence[str],
-                         blank_ignored: Sequence[str] = (), version_on: str | None = None,
-                         at: str | None = None) -> StreamingQuery:
-    """Apply the changes that are there now.
-
-    Inside a batch the changes of a key are folded in ``order_by`` order, as in the batch
-    operator.
+        """The table with all stored batches applied."""
+        first, base = self._base()
+        last = [F.max_by(f, F.when(F.col(f).isNotNull(), F.col("batch"))).alias(f) for f in self.fields]
+        folded = self._changes(first).groupBy(self.key).agg(
+            *last, F.sum("bumps").cast("int").alias("bumps"), F.max("changed_at").alias("changed_at"))
+        return apply_folded(base, folded, self.key, self.fields, self.version, self.updated)
+
+    def compact(self) -> None:
+        """Store the table as a new base.  Run it between runs of the stream."""
+        first, _ = self._base()
+        newest = self._changes(first).agg(F.max("batch")).first()[0]
+        if newest is not None:
+            self._store_base(self.read(), newest + 1)
+
+
+def stream_status_upsert(changes: DataFrame, table: StatusTable, checkpoint: str,
+                         order_by: Sequence[str], blank_ignored: Sequence[str] = (),
+                         version_on: str | None = None, at: str | None = None) -> StreamingQuery:
+    """Take up the changes that are there now.
+
+    Inside a batch the changes of a key are folded in ``order_by`` order; a later batch wins
+    over an earlier one.
     """
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        table.apply(batch_id, lambda current: upsert_status(
-            current, batch, key, order_by, fields, blank_ignored, version_on, at=at))
+    def take_up(batch: DataFrame, batch_id: int) -> None:
+        folded = fold_changes(batch, table.key, order_by, table.fields, blank_ignored, version_on, at)
+        table.store_batch(folded, batch_id)
 
-    return (changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    return (changes.writeStream.foreachBatch(take_up).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

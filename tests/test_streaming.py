@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from stepframe.operators.load import upsert_status
+from stepframe.operators.load import fold_changes, upsert_status
 from stepframe.operators.sets import compare_verdict
 from stepframe.session import scratch_path
 from stepframe.streaming import StatusTable, months_of, stream_monthly_usage, stream_status_upsert
@@ -69,14 +69,19 @@ def test_status_stream_equals_batch_and_survives_a_repeat(spark):
         # Separate files in time order: each becomes one batch.
         changes.where((F.col("seq") >= n * 40) & (F.col("seq") < n * 40 + 40)).coalesce(1).write.mode(
             "append").parquet(source)
-    table = StatusTable(spark, scratch_path(spark, "table"))
+    table = StatusTable(spark, scratch_path(spark, "table"), "id", ["status", "code"])
     table.create(current)
+    assert compare_verdict(table.read(), current, ["id"]).first().verdict == "PASS"
     stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    options = dict(key="id", order_by=["seq"], fields=["status", "code"], blank_ignored=["status"],
-                   version_on="code", at="at")
-    stream_status_upsert(stream, table, scratch_path(spark, "state"), **options).awaitTermination()
-    want = upsert_status(current, changes, **options)
+    stream_status_upsert(stream, table, scratch_path(spark, "state"), ["seq"], ["status"], "code",
+                         "at").awaitTermination()
+    want = upsert_status(current, changes, "id", ["seq"], ["status", "code"], ["status"], "code", at="at")
+    assert compare_verdict(table.read(), want, ["id"]).first().verdict == "PASS"
+    again = fold_changes(changes.where("seq >= 80"), "id", ["seq"], ["status", "code"], ["status"], "code", "at")
+    table.store_batch(again, 2)
+    assert compare_verdict(table.read(), want, ["id"]).first().verdict == "PASS"
+    table.compact()
+    assert table._base()[0] == 3
+    assert compare_verdict(table.read(), want, ["id"]).first().verdict == "PASS"
+    table.store_batch(fold_changes(changes.limit(0), "id", ["seq"], ["status", "code"]), 3)
     assert compare_verdict(table.read(), want, ["id"]).first().verdict == "PASS"
-    before = sorted(map(tuple, table.read().collect()))
-    table.apply(2, lambda t: upsert_status(t, changes.where("seq >= 80"), **options))
-    assert sorted(map(tuple, table.read().collect())) == before

@@ -28,10 +28,9 @@ def usage(t):
 
 @query("stream_status_upsert", UPSERT_SQL)
 def status(t):
-    table = StatusTable(t.spark, scratch_path(t.spark, "status-table"))
+    table = StatusTable(t.spark, scratch_path(t.spark, "status-table"), "id", ["status", "target_code"])
     table.create(task_table(t))
-    changes = change_log(stream_of(t, "lineitem"))
-    run = stream_status_upsert(changes, table, scratch_path(t.spark, "status-state"), "id", CHANGE_ORDER,
-                               ["status", "target_code"], ["status"], "target_code", "l_shipdate")
+    run = stream_status_upsert(change_log(stream_of(t, "lineitem")), table, scratch_path(t.spark, "status-state"),
+                               CHANGE_ORDER, ["status"], "target_code", "l_shipdate")
     run.awaitTermination()
     return table.read()
