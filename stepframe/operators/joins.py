@@ -30,7 +30,18 @@ def _merge_pipeline(frame: DataFrame, by, n, owners, presence, path: str) -> Dat
         carried[f"_sf_g_{g}"] = F.coalesce(*newest_first)
     for i, flag in enumerate(presence or []):
         carried[flag] = F.when(F.col(f"_sf_in_{i}").isNotNull(), F.lit(True))
-    return running(paired, by, ["_sf_rn"], None, carried, path=path)
+    if path == "window":
+        return running(paired, by, ["_sf_rn"], None, carried, path=path)
+    # A table supplies rows at positions 1 to n without a gap, so what is carried past n is its
+    # value at n: one row per key, and only large groups come here.
+    filled = paired.withColumns(carried)
+    ends = filled.groupBy(*by).agg(*[
+        F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_sf_rn"))).alias(f"{c}_end")
+        for c in carried])
+    joined = filled.alias("f").join(ends.alias("e"), _same("f", "e", by))
+    return joined.select(
+        *[F.col(f"f.`{k}`") for k in by], "_sf_rn",
+        *[F.coalesce(F.col(f"f.`{c}`"), F.col(f"e.`{c}_end`")).alias(c) for c in carried])
 
 
 def match_merge(inputs: Sequence[tuple[DataFrame, Sequence[str]]], by: Sequence[str],
@@ -68,7 +79,8 @@ def match_merge(inputs: Sequence[tuple[DataFrame, Sequence[str]]], by: Sequence[
     rest, hot = split_hot(frame, by, hot_rows)
     out = _merge_pipeline(rest, by, len(parts), owners, presence, "window")
     if hot is not None:
-        out = out.unionByName(_merge_pipeline(hot, by, len(parts), owners, presence, "chunked"))
+        large = _merge_pipeline(hot, by, len(parts), owners, presence, "chunked")
+        out = out.select(*large.columns).unionByName(large)
     where = {c: f"_sf_g_{g}" for g, (_, cols) in enumerate(owners) for c in cols}
     flags = [F.coalesce(F.col(p), F.lit(False)).alias(p) for p in presence or []]
     number = [F.col("_sf_rn").alias(position)] if position else []

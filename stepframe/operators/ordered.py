@@ -103,10 +103,32 @@ def running(df: DataFrame, by: Sequence[str], order_by: Sequence[str | Column],
     return out
 
 
+def _positions_chunked(df, by, order_by, out: str) -> DataFrame:
+    """Row numbers from the position in the layout: after it nothing is shuffled but counts."""
+    laid = _lay_out(df, [*by, *order_by])
+    group = [_CHUNK, *by]
+    runs = laid.groupBy(*group).agg(F.min(_POS).alias("_sf_first"), F.count(F.lit(1)).alias("_sf_n"))
+    earlier = Window.partitionBy(*by).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_sf_n").over(earlier), F.lit(0))
+    starts = runs.select(*group, (before - F.col("_sf_first") + 1).alias("_sf_shift"))
+    joined = laid.alias("l").join(starts.alias("s"), _same("l", "s", group))
+    number = (F.col(_POS) + F.col("_sf_shift")).cast("bigint").alias(out)
+    return joined.select(*[F.col(f"l.`{c}`") for c in df.columns], number)
+
+
 def positions(df: DataFrame, by: Sequence[str], order_by: Sequence[str | Column],
               out: str = "rn", hot_rows: int | None = None, path: str = "auto") -> DataFrame:
-    """Row number (from 1) inside each group."""
-    return running(df, by, order_by, {out: F.lit(1).cast("bigint")}, None, hot_rows, path)
+    """Row number (from 1) inside each group; ``path`` as in ``running``."""
+    one = {out: F.lit(1).cast("bigint")}
+    if path == "window":
+        return _running_window(df, by, order_by, one, {})
+    if path == "chunked" or not by:
+        return _positions_chunked(df, by, order_by, out)
+    rest, hot = split_hot(df, by, hot_rows)
+    numbered = _running_window(rest, by, order_by, one, {})
+    if hot is not None:
+        numbered = numbered.unionByName(_positions_chunked(hot, by, order_by, out))
+    return numbered
 
 
 def retain_counter(df: DataFrame, by: Sequence[str], order_by: Sequence[str | Column],
@@ -125,16 +147,9 @@ def dense_row_id(df: DataFrame, order_by: Sequence[str | Column], start=1,
     Rows are range-partitioned and sorted once; only one count per partition is summed up.
     ``start`` is a number or a Column (for example a scalar subquery).
     """
-    laid = _lay_out(df, order_by)
-    counts = laid.groupBy(_CHUNK).agg(F.count(F.lit(1)).alias("_sf_n"))
-    earlier = Window.orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    # One row per partition of the layout: the unpartitioned window stays small at any scale.
-    starts = counts.select(
-        _CHUNK, F.coalesce(F.sum("_sf_n").over(earlier), F.lit(0)).alias("_sf_before"))
-    local = F.col(_POS).bitwiseAND(F.lit((1 << 33) - 1))
     first = start if isinstance(start, Column) else F.lit(start)
-    number = (F.col("_sf_before") + local + first).cast("bigint")
-    return laid.join(starts, _CHUNK).withColumn(out, number).select(*df.columns, out)
+    numbered = _positions_chunked(df, [], order_by, out)
+    return numbered.withColumn(out, (F.col(out) - 1 + first).cast("bigint"))
 
 
 def first_last_flags(df: DataFrame, order_key: str, by: Sequence[str] = ()) -> DataFrame:
