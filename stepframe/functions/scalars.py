@@ -61,8 +61,13 @@ def put_best(c) -> Column:
 
 
 def input_numeric(c) -> Column:
-    """Text to number; blank or unreadable text becomes missing."""
-    return F.trim(_col(c)).try_cast("double")
+    """Text to number; blank or unreadable text becomes missing.
+
+    Only digits, sign, point and exponent count as a number: Spark alone would also read
+    ``NaN``, ``Infinity`` or ``1d``.
+    """
+    text = F.trim(_col(c))
+    return F.when(F.translate(text, "0123456789+-.eE", "") == "", text.try_cast("double"))
 
 
 def catx(separator: str, *parts) -> Column:

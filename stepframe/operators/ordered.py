@@ -284,3 +284,18 @@ def surrogate_keys(source: DataFrame, target: DataFrame | None, business_key: Se
             source.select(*business_key).alias("s"), _same("t", "s", business_key), "left_anti")
         out = out.unionByName(absent, allowMissingColumns=True)
     return out
+
+
+def advance_lookup(lookup: DataFrame, source: DataFrame, target: DataFrame | None = None,
+                   business_key: Sequence[str] = ()) -> DataFrame:
+    """The one-row table of the last used key after ``surrogate_keys`` has used it.
+
+    It moves up by the number of rows that got a new key: all of the source, or with a target
+    those whose business key the target lacks.
+    """
+    if target is not None:
+        source = source.alias("s").join(
+            target.select(*business_key).alias("t"), _same("s", "t", business_key), "left_anti")
+    column = lookup.columns[0]
+    used = source.select(F.count(F.lit(1))).scalar()
+    return lookup.withColumn(column, F.coalesce(F.col(column), F.lit(0)) + used)

@@ -34,13 +34,13 @@ def route_rows(df: DataFrame, delete_when: Column, routes: dict[str, tuple[Colum
 def declare_defaults(df: DataFrame, declared: dict[str, tuple[int, str]]) -> DataFrame:
     """Text columns with a declared length and a start value.
 
-    ``declared`` maps a column to (length, start value).  A column that the table has keeps its
-    values, cut to the length, with the start value where it is missing; others are added.
+    ``declared`` maps a column to (length, start value).  A column that the table has takes the
+    table's values, cut to the length (a missing one is blank); others get the start value.
     """
     new = {}
     for name, (length, start) in declared.items():
-        value = F.col(name) if name in df.columns else F.lit(None).cast("string")
-        new[name] = F.left(F.coalesce(value, F.lit(start)), F.lit(length))
+        value = F.coalesce(F.col(name), F.lit("")) if name in df.columns else F.lit(start)
+        new[name] = F.left(value, F.lit(length))
     return df.withColumns(new)
 
 

@@ -27,13 +27,14 @@ def parse_fixed_width(lines: DataFrame, fields: Sequence[tuple[str, str, int, in
     """Columns cut from text lines.
 
     ``fields`` lists (name, kind, first, last) with 1-based inclusive column numbers; kind is
-    "char" (trailing blanks dropped, leading ones too) or "num" (unreadable or blank gives
-    missing).
+    "char" (blanks on both sides dropped, a single period is blank) or "num" (unreadable or
+    blank gives missing).
     """
     out = []
     for name, kind, first, last in fields:
         piece = F.substring(text, first, last - first + 1)
-        value = F.trim(piece) if kind == "char" else input_numeric(piece)
+        chars = F.trim(piece)
+        value = F.when(chars == ".", F.lit("")).otherwise(chars) if kind == "char" else input_numeric(piece)
         out.append(value.alias(name))
     return lines.select(*out)
 
@@ -96,7 +97,8 @@ def script_ingest(files: DataFrame, name: str = "name", content: str = "content"
     valid = F.is_valid_utf8(raw.cast("string"))
     text = F.try_validate_utf8(raw.cast("string"))
     named = F.coalesce(F.col(name).endswith(suffix), F.lit(False))
-    blank = F.coalesce(F.regexp_replace(text, r"\s+", ""), F.lit("")) == ""
+    # Any character that is not white space, in the Unicode sense, makes a script.
+    blank = ~F.coalesce(text.rlike(r"(?U)[^\s\x1c-\x1f]"), F.lit(False))
     status = (F.when(~named, F.lit("rejected_name"))
               .when(~F.coalesce(valid, F.lit(True)), F.lit("rejected_encoding"))
               .when(blank, F.lit("skipped_blank"))

@@ -75,8 +75,9 @@ def test_put_best(spark):
 
 
 def test_input_numeric(spark):
-    got = [one(spark, fn.input_numeric(F.lit(v))) for v in (" 12 ", "1.5", "x", "", "  ")]
-    assert got == [12.0, 1.5, None, None, None]
+    got = [one(spark, fn.input_numeric(F.lit(v))) for v in (
+        " 12 ", "1.5", "x", "", "  ", "NaN", "Infinity", "1d", ".", "-1e3", "1 2")]
+    assert got == [12.0, 1.5, None, None, None, None, None, None, None, -1000.0, None]
 
 
 def test_catx_cats_concat(spark):

@@ -36,10 +36,10 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
 
 
 def test_fixed_width(spark, folder, as_rows):
-    lines = ["Pan Am                 123", "Very long airline name x4", "  padded                1.5  ", ""]
+    lines = [".                        .", "Pan Am                 123", "Very long airline name x4", "  padded                1.5  ", ""]
     spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(folder + "/in")
     got = S.fixed_width_read(spark, folder + "/in", [("name", "char", 1, 20), ("n", "num", 22, 28)])
-    assert as_rows(got) == [("", None), ("Pan Am", 123.0), ("Very long airline na", None), ("padded", 1.5)]
+    assert as_rows(got) == [("", None), ("", None), ("Pan Am", 123.0), ("Very long airline na", None), ("padded", 1.5)]
 
 
 def test_sheets(spark, folder, as_rows):
@@ -86,11 +86,13 @@ def test_append_force(spark, as_rows):
 
 def test_script_ingest(spark):
     files = [("a.sas", b"data x; run;"), ("b.txt", b"data"), ("c.sas", b" \n\t "), ("d.sas", b"\xff\xfe"),
-             (None, b"x"), ("e.sas", "é".encode())]
+             (None, b"x"), ("e.sas", "é".encode()),
+             ("f.sas", "\u00a0\u3000\x1f".encode())]
     got = S.script_ingest(spark.createDataFrame(files, "name string, content binary"))
     assert {r.name: r.status for r in got.collect()} == {
         "a.sas": "accepted", "b.txt": "rejected_name", "c.sas": "skipped_blank", "d.sas": "rejected_encoding",
-        None: "rejected_name", "e.sas": "accepted"}
+        None: "rejected_name", "e.sas": "accepted",
+        "f.sas": "skipped_blank"}
 
 
 def test_read_scripts(spark, folder):
@@ -191,4 +193,4 @@ def test_route_and_domains(spark):
 def test_declared_defaults(spark):
     df = spark.createDataFrame([("abcdef",), (None,)], "t string")
     got = R.declare_defaults(df, {"t": (3, "-"), "u": (2, "xyz")})
-    assert sorted(tuple(r) for r in got.collect()) == [("-", "xy"), ("abc", "xy")]
+    assert sorted(tuple(r) for r in got.collect()) == [("", "xy"), ("abc", "xy")]

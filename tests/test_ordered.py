@@ -111,6 +111,8 @@ def test_all_keys_and_starts(spark):
     lookup = spark.createDataFrame([(500,)], "last_key bigint")
     looked = W.surrogate_keys(source, None, ["bk"], "id", ["seq"], mode="all", start_from=lookup)
     assert min(r.id for r in looked.collect()) == 501
+    assert W.advance_lookup(lookup, source).first()[0] == 506
+    assert W.advance_lookup(lookup, source, target, ["bk"]).first()[0] == 503
     empty = target.where("id < 0")
     first = W.surrogate_keys(source, empty, ["bk"], "id", ["seq"])
     assert sorted(r.id for r in first.collect()) == list(range(1, 7))
