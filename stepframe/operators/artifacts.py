@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepframe.functions.scalars import json_field, path_extension, path_segment_after, text_head
@@ -124,11 +124,10 @@ def suffix_reconcile(jobs: DataFrame, listing: DataFrame) -> DataFrame:
     is_code = (F.col("task") == CODE_TASK) & names
     code = listing.where(is_code).join(ext, "job")
     code = code.withColumn("_expected", F.concat_ws(".", "job", "ext"))
-    # At most two rows per job meet here: the two possible names of its code file.
-    has = code.groupBy("job").agg(F.max(F.col("file_name") == F.col("_expected")).alias("_has"))
-    fixed = code.join(has, "job").withColumns({
-        "renamed": ~F.col("_has"),
-        "file_name": F.when(F.col("_has"), F.col("file_name")).otherwise(F.col("_expected"))})
+    # At most two rows per job meet in this window: the two possible names of its code file.
+    has = F.max(F.col("file_name") == F.col("_expected")).over(Window.partitionBy("job"))
+    fixed = code.withColumn("renamed", ~has).withColumn(
+        "file_name", F.when(F.col("renamed"), F.col("_expected")).otherwise(F.col("file_name")))
     others = listing.where(~is_code).withColumn("renamed", F.lit(False))
     return others.unionByName(fixed.select(*others.columns))
 

@@ -106,7 +106,8 @@ def apply_folded(current: DataFrame, folded: DataFrame, key: str, fields: Sequen
                  insert_new: bool = False) -> DataFrame:
     """The table after folded changes; changes for keys that it lacks are left out, or added
     with ``insert_new``."""
-    joined = current.alias("c").join(folded.alias("n"), _same("c", "n", [key]),
+    # Plain equality keeps the folded rows where their aggregate put them.
+    joined = current.alias("c").join(folded.alias("n"), F.col(f"c.`{key}`") == F.col(f"n.`{key}`"),
                                      "full" if insert_new else "left")
     new = {key: F.coalesce(F.col(f"c.`{key}`"), F.col(f"n.`{key}`"))}
     for f in fields:

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stepframe.session import materialize
+
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
@@ -21,8 +23,8 @@ def testdata_baseline(rows: DataFrame, key: str, source: DataFrame, columns: Seq
     """One synthetic row per key, inside the value range and cardinality of the source columns.
 
     Numbers take one of ``n_distinct`` evenly spaced values from lowest to highest; texts are
-    ``<column>_<i>`` with i below ``n_distinct``.  The profile is a one-row subquery;
-    ``exact=False`` counts distinct values with a sketch.
+    ``<column>_<i>`` with i below ``n_distinct``.  ``exact=False``
+    counts distinct values with a sketch.
     """
     fields = {f.name: f.dataType for f in source.schema.fields}
     number = {c: isinstance(fields[c], T.NumericType) for c in columns}
@@ -30,8 +32,8 @@ def testdata_baseline(rows: DataFrame, key: str, source: DataFrame, columns: Seq
     ranges = [F.struct(distinct(c).alias("n"),
                        (F.min(c) if number[c] else F.lit(0)).alias("lo"),
                        (F.max(c) if number[c] else F.lit(0)).alias("hi")).alias(c) for c in columns]
-    # One subquery for all columns: the source is read once.
-    profile = source.select(F.struct(*ranges)).scalar()
+    # One row, stored: the source is read once however many columns ask for it.
+    profile = materialize(source.select(F.struct(*ranges).alias("profile")), "profile").scalar()
     out = [F.col(key)]
     for c in columns:
         of = profile[c]
