@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepframe.functions.missing import missing_le
-from stepframe.operators.ordered import _same, positions, running, split_hot
+from stepframe.operators.ordered import _same, _sized, positions, running, split_hot
 
 
 def _merge_pipeline(frame: DataFrame, by, n, owners, presence, path: str) -> DataFrame:
@@ -38,6 +38,7 @@ def _merge_pipeline(frame: DataFrame, by, n, owners, presence, path: str) -> Dat
     ends = filled.groupBy(*by).agg(*[
         F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_sf_rn"))).alias(f"{c}_end")
         for c in carried])
+    ends = _sized(ends, "ends")
     joined = filled.alias("f").join(ends.alias("e"), _same("f", "e", by))
     return joined.select(
         *[F.col(f"f.`{k}`") for k in by], "_sf_rn",

@@ -52,6 +52,16 @@ def _lay_out(df: DataFrame, keys: Sequence[str | Column]) -> DataFrame:
     return materialize(laid, "ordered").withColumn(_CHUNK, F.shiftright(F.col(_POS), 33))
 
 
+def _sized(df: DataFrame, label: str) -> DataFrame:
+    """A small side of a join, stored, so that Spark plans with its real size.
+
+    Below the broadcast limit the large side is then not shuffled at all; above it Spark sorts
+    and AQE splits large groups.  Without this, the size of an aggregate is only known after
+    the large side has been shuffled for nothing.
+    """
+    return materialize(df, label)
+
+
 def _running_window(df, by, order_by, sums, lasts) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
     new = {o: F.coalesce(F.sum(e).over(w), F.lit(0)) for o, e in sums.items()}
@@ -77,7 +87,7 @@ def _running_chunked(df, by, order_by, sums, lasts) -> DataFrame:
         before.append(F.last(f"_sf_t_{o}", ignorenulls=True).over(earlier).alias(f"_sf_b_{o}"))
         here = F.last(f"_sf_v_{o}", ignorenulls=True).over(w)
         new[o] = F.coalesce(here, F.col(f"_sf_b_{o}"))
-    starts = laid.groupBy(*group).agg(*totals).select(*group, *before)
+    starts = _sized(laid.groupBy(*group).agg(*totals).select(*group, *before), "starts")
     joined = laid.alias("l").join(starts.alias("s"), _same("l", "s", group), "left")
     joined = joined.select("l.*", *[f"s.`_sf_b_{o}`" for o in {**sums, **lasts}])
     return joined.withColumns(new).select(*df.columns, *new)
@@ -111,6 +121,7 @@ def _positions_chunked(df, by, order_by, out: str) -> DataFrame:
     earlier = Window.partitionBy(*by).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("_sf_n").over(earlier), F.lit(0))
     starts = runs.select(*group, (before - F.col("_sf_first") + 1).alias("_sf_shift"))
+    starts = _sized(starts, "starts")
     joined = laid.alias("l").join(starts.alias("s"), _same("l", "s", group))
     number = (F.col(_POS) + F.col("_sf_shift")).cast("bigint").alias(out)
     return joined.select(*[F.col(f"l.`{c}`") for c in df.columns], number)
@@ -159,7 +170,7 @@ def first_last_flags(df: DataFrame, order_key: str, by: Sequence[str] = ()) -> D
     """
     ends = [F.min(order_key).alias("_sf_lo"), F.max(order_key).alias("_sf_hi")]
     if by:
-        edges = df.groupBy(*by).agg(*ends)
+        edges = _sized(df.groupBy(*by).agg(*ends), "edges")
         out = df.alias("d").join(edges.alias("e"), _same("d", "e", by))
         out = out.select("d.*", "_sf_lo", "_sf_hi")
     else:
@@ -186,7 +197,7 @@ def group_remerge(df: DataFrame, by: Sequence[str], aggs: dict[str, Column]) ->
     Aggregate, then join: the aggregate combines before the shuffle, and the join can be
     broadcast or split by AQE when one group is large, which a window cannot.
     """
-    grouped = df.groupBy(*by).agg(*[a.alias(o) for o, a in aggs.items()])
+    grouped = _sized(df.groupBy(*by).agg(*[a.alias(o) for o, a in aggs.items()]), "groups")
     joined = df.alias("d").join(grouped.alias("g"), _same("d", "g", by))
     return joined.select("d.*", *[f"g.`{o}`" for o in aggs])
 
