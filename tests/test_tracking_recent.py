@@ -21,7 +21,7 @@ def test_recent_tasks_of_each_owner(spark):
 
 
 def test_tasks_are_cut_before_the_join(spark):
-    tasks = spark.range(10).selectExpr("id % 3 AS project_id", "id AS task_id", "id AS updated_at")
-    projects = spark.range(3).selectExpr("id AS project_id", "CAST(id % 2 AS STRING) AS user_id")
+    tasks = spark.range(1000).selectExpr("id % 300 AS project_id", "id AS task_id", "id AS updated_at")
+    projects = spark.range(300).selectExpr("id AS project_id", "CAST(id % 2 AS STRING) AS user_id")
     plan = recent_activity(tasks, projects, ["task_id"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 4
