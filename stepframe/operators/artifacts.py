@@ -76,21 +76,37 @@ def code_suffixes(jobs: DataFrame, listing: DataFrame) -> DataFrame:
     return jobs.select("job").join(chosen, "job", "left").select("job", ext.alias("ext"))
 
 
-def expected_artifacts(jobs: DataFrame, listing: DataFrame) -> DataFrame:
-    """(job, task, ext, file_name): five rows per job."""
-    tasks = F.array(*[F.struct(F.lit(t).alias("task"), F.lit(name).alias("template"))
-                      for t, name in EXPECTED_FILES.items()])
-    rows = code_suffixes(jobs, listing).select("job", "ext", F.inline(tasks))
-    name = F.replace(F.col("template"), F.lit("{job}"), F.col("job"))
-    name = F.replace(name, F.lit("{ext}"), F.col("ext"))
-    return rows.select("job", "task", "ext", name.alias("file_name"))
-
-
 def artifact_completeness(jobs: DataFrame, listing: DataFrame) -> DataFrame:
-    """Each expected artifact with its content and whether it is there."""
-    found = listing.select("job", "task", "file_name", "content", F.lit(True).alias("_there"))
-    rows = expected_artifacts(jobs, listing).join(found, ["job", "task", "file_name"], "left")
-    return rows.withColumn("present", F.col("_there").isNotNull()).drop("_there")
+    """Each expected artifact (five per job) with its content and whether it is there.
+
+    The few expected files of a job are gathered into one row first, so the jobs are joined
+    once and become five rows only after that; other files are dropped before the shuffle.
+    """
+    names = {t: F.lit(n) for t, n in EXPECTED_FILES.items() if t != CODE_TASK}
+    names |= {f"{CODE_TASK}.{x}": F.concat("job", F.lit(f".{x}")) for x in ("sql", "py")}
+    slot = F.when(F.lit(False), F.lit(""))
+    for s, name in names.items():
+        slot = slot.when((F.col("task") == s.split(".")[0]) & (F.col("file_name") == name), F.lit(s))
+    files = listing.select("job", slot.alias("_slot"), "content").where("_slot is not null")
+    found = files.groupBy("job").agg(*[
+        F.first(F.when(F.col("_slot") == s, F.struct("content")), ignorenulls=True).alias(f"_{s}")
+        for s in names])
+    rows = jobs.select("job").join(found, "job", "left")
+    choice = json_field(F.col(f"_{DECISION_TASK}.content"), "platform_choice")
+    ext = F.when(choice == "PySpark", F.lit("py")).otherwise(F.lit("sql"))
+    rows = rows.withColumn("ext", ext)
+
+    def entry(task: str) -> Column:
+        name, file = F.lit(EXPECTED_FILES[task]), F.col(f"`_{task}`") if task != CODE_TASK else None
+        if task == CODE_TASK:
+            name = F.concat_ws(".", "job", "ext")
+            file = F.when(F.col("ext") == "py", F.col(f"`_{task}.py`")).otherwise(F.col(f"`_{task}.sql`"))
+        return F.struct(F.lit(task).alias("task"), name.alias("file_name"),
+                        file["content"].alias("content"), file.isNotNull().alias("present"))
+
+    every = F.inline(F.array(*[entry(t) for t in EXPECTED_FILES]))
+    return rows.select("job", "ext", every).select(
+        "job", "task", "ext", "file_name", "content", "present")
 
 
 def job_verdict(completeness: DataFrame) -> DataFrame:

@@ -21,18 +21,22 @@ SCRIPTS = """(SELECT p_partkey AS script_id,
   || CASE WHEN p_type IN ('LARGE', 'PROMO') THEN '%let a = 1; %if 1 %then %do; ' ELSE '' END
   || CASE WHEN p_type = 'LARGE' AND p_size < 25 THEN '%macro m; %let b = 2; %do i = 1 %to 3; ' ELSE '' END AS text
 FROM {part})"""
-LISTING = """(SELECT job, task, file_name, MIN(content) AS content FROM (
-  SELECT 'job' || CAST(l_orderkey AS STRING) AS job,
-    CASE l_linenumber WHEN 1 THEN 'analyze_sas' WHEN 2 THEN 'decide_platform' WHEN 4 THEN 'test_and_validate'
+LISTING = """(SELECT 'job' || CAST(l_orderkey AS STRING) AS job,
+    CASE line WHEN 1 THEN 'analyze_sas' WHEN 2 THEN 'decide_platform' WHEN 4 THEN 'test_and_validate'
          WHEN 5 THEN 'review_and_approve' ELSE 'translate_code' END AS task,
-    CASE l_linenumber WHEN 1 THEN 'analysis.json' WHEN 2 THEN 'decision.json' WHEN 4 THEN 'validation_report.json'
+    CASE line WHEN 1 THEN 'analysis.json' WHEN 2 THEN 'decision.json' WHEN 4 THEN 'validation_report.json'
          WHEN 5 THEN 'final_approval.json'
-         WHEN 7 THEN 'notes' || CAST(l_partkey AS STRING) || CASE WHEN l_quantity > 25 THEN '.txt' ELSE '.log' END
-         ELSE 'job' || CAST(l_orderkey AS STRING) || CASE WHEN l_returnflag = 'A' THEN '.py' ELSE '.sql' END END AS file_name,
-    CASE WHEN l_linenumber = 2 AND l_returnflag = 'A' THEN '{"platform_choice": "PySpark"}'
-         WHEN l_linenumber = 2 AND l_returnflag = 'N' THEN '{"platform_choice": "pyspark"}'
-         WHEN l_linenumber = 2 THEN '{broken' ELSE 'text of ' || CAST(l_partkey AS STRING) END AS content
-  FROM <lineitem>) GROUP BY job, task, file_name)"""
+         WHEN 7 THEN 'notes' || CAST(note AS STRING) || CASE WHEN variant THEN '.txt' ELSE '.log' END
+         ELSE 'job' || CAST(l_orderkey AS STRING) || CASE WHEN variant THEN '.py' ELSE '.sql' END END AS file_name,
+    CASE WHEN line = 2 AND flag = 1 THEN '{"platform_choice": "PySpark"}'
+         WHEN line = 2 AND flag = 2 THEN '{"platform_choice": "pyspark"}'
+         WHEN line = 2 THEN '{broken' ELSE 'text of ' || CAST(part AS STRING) END AS content
+  FROM (SELECT l_orderkey, CASE WHEN l_linenumber = 6 THEN 3 ELSE l_linenumber END AS line,
+               CASE WHEN l_linenumber = 7 THEN l_partkey ELSE 0 END AS note,
+               CASE WHEN l_linenumber IN (3, 6) THEN l_returnflag = 'A' ELSE l_linenumber = 7 AND l_quantity > 25 END AS variant,
+               MIN(l_partkey) AS part,
+               MIN(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END) AS flag
+        FROM <lineitem> GROUP BY 1, 2, 3, 4))"""
 JOBS = "(SELECT 'job' || CAST(o_orderkey AS STRING) AS job FROM <orders>)"
 
 
