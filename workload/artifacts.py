@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stepframe.operators import artifacts as R
 from stepframe.operators import scripts as C
 from stepframe.operators import testdata as X
+from stepframe.session import materialize
 from workload.registry import query
 from workload.summaries import PROFILE_SQL, order_profile
 
@@ -55,8 +56,10 @@ def jobs(t):
 
 
 def listing(t):
+    """The stored artifacts, written once as the table that they would be."""
     t.lineitem.createOrReplaceTempView("stepframe_lineitem")
-    return t.spark.sql(f"SELECT * FROM {LISTING.replace('<lineitem>', 'stepframe_lineitem')}")
+    made = t.spark.sql(f"SELECT * FROM {LISTING.replace('<lineitem>', 'stepframe_lineitem')}")
+    return materialize(made, "listing")
 
 
 STEPS_SQL = f"""
