@@ -174,9 +174,8 @@ def first_last_flags(df: DataFrame, order_key: str, by: Sequence[str] = ()) -> D
         out = df.alias("d").join(edges.alias("e"), _same("d", "e", by))
         out = out.select("d.*", "_sf_lo", "_sf_hi")
     else:
-        edges = df.agg(*ends)
-        out = df.withColumns({"_sf_lo": edges.select("_sf_lo").scalar(),
-                              "_sf_hi": edges.select("_sf_hi").scalar()})
+        edges = df.select(F.struct(*ends)).scalar()
+        out = df.withColumns({"_sf_lo": edges["_sf_lo"], "_sf_hi": edges["_sf_hi"]})
     return out.withColumns({"is_first": F.col(order_key) == F.col("_sf_lo"),
                             "is_last": F.col(order_key) == F.col("_sf_hi")}
                            ).drop("_sf_lo", "_sf_hi")

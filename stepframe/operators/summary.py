@@ -46,10 +46,12 @@ def freq_oneway(df: DataFrame, column: str, include_missing: bool = False) -> Da
     """COUNT and PERCENT per level.
 
     A missing level is listed, but it is not part of the percent base and has no percent
-    unless ``include_missing``.  The total is a scalar subquery, not an unpartitioned window.
+    unless ``include_missing``.  The total is a scalar subquery over the counts, whose shuffle
+    both share: the table is read once, and there is no unpartitioned window.
     """
-    total = df.select(F.count(F.lit(1) if include_missing else F.col(column))).scalar()
     counts = df.groupBy(column).agg(F.count(F.lit(1)).cast("bigint").alias("COUNT"))
+    base = F.lit(True) if include_missing else F.col(column).isNotNull()
+    total = counts.select(F.sum(F.when(base, F.col("COUNT")))).scalar()
     percent = F.col("COUNT") * F.lit(100.0) / total
     if not include_missing:
         percent = F.when(F.col(column).isNotNull(), percent)

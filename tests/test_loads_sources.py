@@ -10,6 +10,11 @@ from stepframe.operators import load as D
 from stepframe.operators import rows as R
 
 
+def test_scale_conf():
+    assert session.scale_conf(10 ** 9)["spark.sql.shuffle.partitions"] == "200"
+    assert session.scale_conf(1 << 40)["spark.sql.shuffle.partitions"] == "4096"
+
+
 @pytest.fixture()
 def folder(tmp_path):
     return str(tmp_path)
