@@ -71,7 +71,10 @@ def input_numeric(c) -> Column:
 
 
 def catx(separator: str, *parts) -> Column:
-    """Parts stripped and joined by ``separator``; blank and missing parts are left out."""
+    """Parts stripped and joined by ``separator``; blank and missing parts are left out.
+
+    Give numbers as text by ``put_numeric`` or ``put_best``, here and in ``cats``.
+    """
     kept = [F.nullif(F.trim(_col(p).cast("string")), F.lit("")) for p in parts]
     return F.concat_ws(separator, *kept)
 

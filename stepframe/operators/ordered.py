@@ -90,7 +90,8 @@ def _running_chunked(df, by, order_by, sums, lasts) -> DataFrame:
     starts = _sized(laid.groupBy(*group).agg(*totals).select(*group, *before), "starts")
     joined = laid.alias("l").join(starts.alias("s"), _same("l", "s", group), "left")
     joined = joined.select("l.*", *[f"s.`_sf_b_{o}`" for o in {**sums, **lasts}])
-    return joined.withColumns(new).select(*df.columns, *new)
+    kept = [c for c in df.columns if c not in new]
+    return joined.withColumns(new).select(*kept, *new)
 
 
 def running(df: DataFrame, by: Sequence[str], order_by: Sequence[str | Column],
@@ -124,7 +125,7 @@ def _positions_chunked(df, by, order_by, out: str) -> DataFrame:
     starts = _sized(starts, "starts")
     joined = laid.alias("l").join(starts.alias("s"), _same("l", "s", group))
     number = (F.col(_POS) + F.col("_sf_shift")).cast("bigint").alias(out)
-    return joined.select(*[F.col(f"l.`{c}`") for c in df.columns], number)
+    return joined.select(*[F.col(f"l.`{c}`") for c in df.columns if c != out], number)
 
 
 def positions(df: DataFrame, by: Sequence[str], order_by: Sequence[str | Column],
@@ -277,6 +278,7 @@ def surrogate_keys(source: DataFrame, target: DataFrame | None, business_key: Se
     with ``order_by`` as tie-break.  keep="all" also returns target rows absent from the source.
     The target has one row per business key.
     """
+    source = source.drop(key)
     last = start_value(start_from, target, key)
     if mode == "all" or target is None:
         order = list(dict.fromkeys(order_by if mode == "all" else [*business_key, *order_by]))

@@ -84,6 +84,7 @@ def audit_log_append(spark: SparkSession, writes: DataFrame, at: str, agent: str
     """Append log lines to a log table split by step, and return the whole log."""
     lines = audit_log_lines(writes, at, agent, path)
     lines.write.mode("append").partitionBy("step").parquet(log_path)
-    return spark.read.parquet(log_path)
+    # With a schema, a step named like a number stays text.
+    return spark.read.schema(lines.schema).parquet(log_path)
 
 

@@ -114,12 +114,12 @@ def test_loops(spark, as_rows):
 
 def test_audit_log(spark, folder, as_rows):
     writes = spark.sql("""SELECT * FROM VALUES
-        (TIMESTAMP_NTZ '2024-01-01 10:00:00', 'a1', '/o/jobs/j/tasks/s/f.json'),
+        (TIMESTAMP_NTZ '2024-01-01 10:00:00', 'a1', '/o/jobs/j/tasks/007/f.json'),
         (TIMESTAMP_NTZ '2024-01-01 10:00:00', 'a1', '/o/elsewhere/f.json') AS t(at, agent, path)""")
     for _ in range(2):
         log = S.audit_log_append(spark, writes, "at", "agent", "path", folder + "/log")
     assert as_rows(log.select("job", "step", "line")) == [
-        ("j", "s", "[2024-01-01 10:00:00] [a1] Wrote: /o/jobs/j/tasks/s/f.json")] * 2
+        ("j", "007", "[2024-01-01 10:00:00] [a1] Wrote: /o/jobs/j/tasks/007/f.json")] * 2
 
 
 def test_align_and_replace(spark, folder, as_rows):

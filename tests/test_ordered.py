@@ -166,3 +166,17 @@ def test_top_n_is_cut_before_the_shuffle(spark):
 def test_max_key_of_empty_table(spark):
     df = spark.createDataFrame([], "k bigint")
     assert spark.range(1).select(W.max_key(df, "k").alias("m")).first().m == 0
+
+
+@pytest.mark.parametrize("path", ["window", "chunked"])
+def test_existing_output_column_is_replaced(spark, path):
+    df = spark.range(5).selectExpr("id % 2 AS g", "id AS i", "99 AS rn")
+    got = W.positions(df, ["g"], ["i"], path=path)
+    assert sorted(got.columns) == ["g", "i", "rn"]
+    assert sorted((r.i, r.rn) for r in got.collect()) == [(0, 1), (1, 1), (2, 2), (3, 2), (4, 3)]
+
+
+def test_source_key_column_is_replaced(spark):
+    source, target = parts(spark)
+    got = W.surrogate_keys(source.withColumn("id", F.lit(-1)), target, ["bk"], "id", ["seq"])
+    assert {r.seq: r.id for r in got.collect()} == {1: 43, 2: 10, 3: 41, 4: 42, 5: 40, 6: 10}
