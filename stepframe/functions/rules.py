@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from stepframe.functions.missing import _col, _val, missing_gt, missing_lt, not_blank
+from stepframe.functions.missing import _col, _val, missing_gt, missing_lt
 
 
 def strictly_between(c, low, high, missing_low: bool = True) -> Column:
@@ -60,6 +60,3 @@ def has_text(c) -> Column:
     """Flag for "some text is stored here"; an empty or missing text gives false."""
     return F.length(F.coalesce(_col(c), F.lit(""))) > 0
 
-
-__all__ = ["strictly_between", "band_ladder", "binary_branch", "ifc", "clamp", "in_domain",
-           "has_text", "not_blank"]

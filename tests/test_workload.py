@@ -44,3 +44,24 @@ def test_no_query_runs_python_per_row(spark):
         for operator in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroups", "CartesianProduct",
                          "BroadcastNestedLoopJoin"):
             assert operator not in plan, f"{key}: {operator}"
+
+
+def plan_of(spark, key):
+    return entry.queries()[key](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    assert "EqualTo(o_orderstatus,O)" in plan_of(spark, "where_filter")
+    assert "StringStartsWith(p_name,s)" in plan_of(spark, "subsetting_if")
+    assert "In(p_type, [" in plan_of(spark, "in_list_filter")
+    assert "GreaterThanOrEqual(l_quantity,10.0)" in plan_of(spark, "between_filter")
+    assert "ReadSchema: struct<l_orderkey:bigint,l_linenumber:int,l_quantity:double>" in plan_of(spark, "keep_drop")
+    assert "ReadSchema: struct<o_orderstatus:string>" in plan_of(spark, "count_by_status")
+    star = plan_of(spark, "lookup_star_join")
+    assert "EqualTo(l_returnflag,R)" in star and "l_shipdate" not in star
+
+
+def test_frequencies_read_the_table_once(spark):
+    df = entry.queries()["freq_oneway"](spark, FOLDER)
+    df.collect()
+    assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
