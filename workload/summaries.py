@@ -136,14 +136,17 @@ def monthly_usage(t):
 
 @query("conversion_time_stats", """
 SELECT o_custkey AS user_id, COUNT(completed) AS files_converted,
+       CAST(coalesce(SUM(n_parts), 0) AS BIGINT) AS dependencies_mapped,
        round(AVG(epoch(completed) - epoch(o_orderdate)), 4) AS avg_conversion_seconds
-FROM orders LEFT JOIN (SELECT l_orderkey, MAX(l_shipdate) AS completed FROM lineitem GROUP BY l_orderkey)
-     ON l_orderkey = o_orderkey
+FROM orders LEFT JOIN (SELECT l_orderkey, MAX(l_shipdate) AS completed, COUNT(DISTINCT l_partkey) AS n_parts
+                       FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey
 GROUP BY o_custkey""")
 def conversion_time_stats(t):
-    done = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("completed"))
+    done = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.max("l_shipdate").alias("completed"), F.count_distinct("l_partkey").alias("n_parts"))
     work = t.orders.join(done, "o_orderkey", "left").withColumnRenamed("o_custkey", "user_id")
-    out = A.conversion_time_stats(work, ["user_id"], "o_orderdate", "completed")
+    out = A.conversion_time_stats(work, ["user_id"], "o_orderdate", "completed", {
+        "dependencies_mapped": F.coalesce(F.sum("n_parts"), F.lit(0))})
     return out.withColumn("avg_conversion_seconds", F.round("avg_conversion_seconds", 4))
 
 
