@@ -11,22 +11,48 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def class_means(df: DataFrame, classes: Sequence[str], stats: dict[str, Column],
+# Statistics that can be put together from those of the finest classes: partial aggregates per
+# class, and the statistic from the partials of several classes.
+_PARTIALS = {
+    "n": ({"n": F.count}, lambda p: F.sum(p["n"])),
+    "sum": ({"sum": F.sum}, lambda p: F.sum(p["sum"])),
+    "mean": ({"sum": F.sum, "n": F.count}, lambda p: F.sum(p["sum"]) / F.nullif(F.sum(p["n"]), F.lit(0))),
+    "min": ({"min": F.min}, lambda p: F.min(p["min"])),
+    "max": ({"max": F.max}, lambda p: F.max(p["max"])),
+}
+
+
+def class_means(df: DataFrame, classes: Sequence[str], stats: dict[str, Column | tuple[str, str]],
                 nway: bool = False, types: Sequence[int] | None = None,
                 include_missing: bool = False) -> DataFrame:
     """Statistics per class level and for all coarser combinations down to the overall row.
 
-    Adds ``_TYPE_`` (a bit is set for each class variable in use, the last one is bit 0) and
-    ``_FREQ_`` (rows of the group).  Rows with a missing class level count nowhere unless
-    ``include_missing``.  ``nway`` keeps the finest combination only; ``types`` picks
-    combinations, so rows are not expanded for the ones not asked for.
+    ``stats`` maps an output to (statistic, column) with statistic one of n, sum, mean, min, max,
+    or to any aggregate Column.  Adds ``_TYPE_`` (a bit is set for each class variable in use,
+    the last one is bit 0) and ``_FREQ_`` (rows of the group).  Rows with a missing class level
+    count nowhere unless ``include_missing``.  ``nway`` keeps the finest combination only;
+    ``types`` picks combinations, so rows are not expanded for the ones not asked for.
+
+    With named statistics the rows are reduced to the finest classes first, and only these few
+    are expanded to the coarser combinations; aggregate Columns expand the rows themselves.
+    A table without rows gives no rows.
     """
     k = len(classes)
     full = (1 << k) - 1
     if not include_missing:
         df = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in classes]))
-    freq = F.count(F.lit(1)).cast("bigint").alias("_FREQ_")
-    aggs = [freq, *[s.alias(o) for o, s in stats.items()]]
+    named = all(isinstance(s, tuple) for s in stats.values())
+    rows = F.count(F.lit(1))
+    if named:
+        needed = {(part, column): make for name, column in stats.values()
+                  for part, make in _PARTIALS[name][0].items()}
+        at = {key: f"_sf_{i}" for i, key in enumerate(needed)}
+        df = df.groupBy(*classes).agg(rows.alias("_sf_rows"), *[
+            make(column).alias(at[part, column]) for (part, column), make in needed.items()])
+        rows = F.sum("_sf_rows")
+        stats = {out: _PARTIALS[name][1]({part: at[part, column] for part in _PARTIALS[name][0]})
+                 for out, (name, column) in stats.items()}
+    aggs = [rows.cast("bigint").alias("_FREQ_"), *[s.alias(o) for o, s in stats.items()]]
     if nway:
         out = df.groupBy(*classes).agg(*aggs).withColumn("_TYPE_", F.lit(full))
     else:

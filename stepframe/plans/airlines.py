@@ -56,7 +56,7 @@ def airlines_job(rows: DataFrame, name: str = "Airline", cost: str = "TotalopCos
     return AirlinesResult(
         airlines=rated,
         airlines_p=rated.where(F.col(name).startswith(prefix)),
-        chart_hbar=class_means(rated, ["RATING"], {f"Mean_{cost}": F.avg(cost)}),
+        chart_hbar=class_means(rated, ["RATING"], {f"Mean_{cost}": ("mean", cost)}),
         chart_vbar=freq_oneway(rated, "RATING"),
         fastplane=having_remerge(rated.select(name, speed), speed),
     )

@@ -26,6 +26,25 @@ def test_class_means_with_missing_level(rated, as_rows):
     assert as_rows(got) == [(None, 0, 4, 130 / 3), (None, 1, 1, 50.0), (4, 1, 1, 70.0), (5, 1, 2, 10.0)]
 
 
+@pytest.mark.parametrize("keep", [True, False])
+def test_named_statistics_equal_plain_aggregates(spark, keep):
+    df = spark.range(500).selectExpr("nullif(id % 3, 2) AS a", "nullif(id % 7, 5) AS b", "id % 2 AS c",
+                                     "CAST(nullif(id % 11, 4) AS DOUBLE) AS v", "nullif(id, 77) AS w")
+    classes = ["a", "b", "c"]
+    named = A.class_means(df, classes, {"n": ("n", "v"), "s": ("sum", "v"), "m": ("mean", "v"), "lo": ("min", "w"),
+                                        "hi": ("max", "w"), "mw": ("mean", "w")}, include_missing=keep)
+    plain = A.class_means(df, classes, {"n": F.count("v"), "s": F.sum("v"), "m": F.avg("v"), "lo": F.min("w"),
+                                        "hi": F.max("w"), "mw": F.avg("w")}, include_missing=keep)
+    assert named.columns == plain.columns and named.dtypes == plain.dtypes
+    assert U.compare_verdict(named, plain).first().verdict == "PASS"
+
+
+def test_class_means_of_no_rows(spark, as_rows):
+    df = spark.createDataFrame([], "a int, v double")
+    for stats in ({"m": ("mean", "v"), "n": ("n", "v")}, {"m": F.avg("v"), "n": F.count("v")}):
+        assert as_rows(A.class_means(df, ["a"], stats)) == []
+
+
 def test_class_means_types_and_nway(spark, as_rows):
     df = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "x", 3)], "c1 string, c2 string, v int")
     stats = {"total": F.sum("v")}

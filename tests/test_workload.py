@@ -25,6 +25,15 @@ def test_query_equals_sql(spark, db, key):
     assert not types
 
 
+@pytest.mark.parametrize("key", ["match_merge", "merge_with_presence", "cars_job", "retain_counter", "task_versions",
+                                 "nest_children", "context_bundle"])
+def test_query_equals_sql_when_groups_count_as_large(spark, db, key, monkeypatch):
+    from stepframe.operators import ordered
+    from tools.check_oracles import compare
+    monkeypatch.setattr(ordered, "HOT_ROWS", 3)
+    compare(entry.queries()[key](spark, FOLDER), db, entry.oracle_sql()[key])
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["RATING", "_TYPE_", "_FREQ_", "Mean_price"] and df.count() > 0

@@ -29,7 +29,8 @@ SELECT RATING, CASE WHEN GROUPING(RATING) = 1 THEN 0 ELSE 1 END AS _TYPE_, COUNT
        round(AVG(price), 4) AS Mean_price
 FROM {RATED_SQL} WHERE RATING IS NOT NULL GROUP BY GROUPING SETS ((RATING), ())""")
 def class_means(t):
-    return A.class_means(rated(t), ["RATING"], {"Mean_price": F.round(F.avg("price"), 4)})
+    out = A.class_means(rated(t), ["RATING"], {"Mean_price": ("mean", "price")})
+    return out.withColumn("Mean_price", F.round("Mean_price", 4))
 
 
 @query("class_means_multi", """
@@ -40,8 +41,9 @@ GROUP BY CUBE (l_returnflag, l_linestatus, line)""")
 def class_means_multi(t):
     df = t.lineitem.withColumn("line", F.nullif("l_linenumber", F.lit(7)))
     out = A.class_means(df, ["l_returnflag", "l_linestatus", "line"], {
-        "mean_quantity": F.round(F.avg("l_quantity"), 4), "max_tax": F.round(F.max("l_tax"), 4)})
-    return out.withColumn("_TYPE_", F.col("_TYPE_").cast("bigint"))
+        "mean_quantity": ("mean", "l_quantity"), "max_tax": ("max", "l_tax")})
+    return out.withColumns({"_TYPE_": F.col("_TYPE_").cast("bigint"),
+                            "mean_quantity": F.round("mean_quantity", 4), "max_tax": F.round("max_tax", 4)})
 
 
 @query("class_means_nway", """
