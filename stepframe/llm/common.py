@@ -23,6 +23,11 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+def lower_words(text: str) -> list[bytes]:
+    """In a task: the words with A-Z in lower case, as UTF-8."""
+    return text.encode().lower().split()
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once, also where ``use`` puts it into a lambda."""
     return F.element_at(F.transform(F.array(value), use), 1)
