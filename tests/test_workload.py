@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
+from workload import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
@@ -18,7 +19,7 @@ def db():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("key", sorted(entry.queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_query_equals_sql(spark, db, key):
     from tools.check_oracles import compare
     _, types = compare(entry.queries()[key](spark, FOLDER), db, entry.oracle_sql()[key])
@@ -48,7 +49,7 @@ def test_inventory_is_covered():
 
 def test_no_query_runs_python_per_row(spark):
     """All plans stay on the JVM side."""
-    for key, fn in entry.queries().items():
+    for key, fn in QUERIES.items():
         plan = fn(spark, FOLDER)._jdf.queryExecution().toString()
         for operator in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroups", "CartesianProduct",
                          "BroadcastNestedLoopJoin"):
