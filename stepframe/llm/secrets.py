@@ -64,12 +64,13 @@ class Markov:
 def labelled_samples(docs: DataFrame, sample_docs: int, strings: int) -> tuple[list[str], list[str]]:
     """Random strings and ordinary identifiers.
 
-    At most ``sample_docs`` documents, those of least hash, are read for labels: what the fixed patterns
+    At most ``sample_docs`` documents, by least remainder of their hash, are read for labels: what the fixed patterns
     match is random, words outside are ordinary, alone and joined as identifiers are.  ``strings`` more
     random ones are drawn from the usual alphabets by a fixed seed, so that small tables do too.
     """
-    texts = [r["text"] for r in docs.filter(F.col("text").isNotNull()).select("text", F.xxhash64("text").alias("h"))
-             .orderBy("h", "text").limit(sample_docs).collect()]
+    docs = docs.filter(F.col("text").isNotNull()).select("text", F.pmod(F.xxhash64("text"), F.lit(1_000_000)).alias("h"))
+    below = -(-2_000_000 * sample_docs // max(1, docs.count()))  # twice as many, so that tasks send few
+    texts = [r["text"] for r in docs.filter(F.col("h") < below).orderBy("h", "text").limit(sample_docs).collect()]
     rng = random.Random(17)
     found = ["".join(rng.choices(ALPHABETS[k % len(ALPHABETS)], k=rng.randrange(20, 48))) for k in range(strings)]
     plain = []
@@ -84,7 +85,7 @@ def labelled_samples(docs: DataFrame, sample_docs: int, strings: int) -> tuple[l
     return found, plain
 
 
-def secret_scan(docs: DataFrame, sample_docs: int = 2000, strings: int = 5000, least_ratio: float = 0.4) -> DataFrame:
+def secret_scan(docs: DataFrame, sample_docs: int = 1000, strings: int = 5000, least_ratio: float = 0.4) -> DataFrame:
     """Rows (doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans), one per row of ``docs``.
 
     Needs ``doc_id`` and ``text``; nothing else is read.  Spans are kind:start:end in code points, end
