@@ -48,14 +48,14 @@ def uniform(seed: int, *identity: Column) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(2.0 ** 52)
 
 
-def mix_plan(rows: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = 3, block_rows: int = 20_000) -> DataFrame:
+def mix_plan(rows: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = 3, block_rows: int = 5_000) -> DataFrame:
     """Copies for rows (source, doc_id, size, u), one per distinct row.
 
     Returns these columns with ``rows`` (how many equal rows there were), ``source_size``, ``target``,
     ``sure`` (copies each of them gets) and ``extra`` (how many of them get one more).
 
-    Ranks are found in blocks: the rank's value is cut into many ranges, so a source with most of the
-    rows is spread over many tasks, and words before a range come from the ranges' sums.
+    Ranks are found in blocks: a source's ranks follow its draws, which are cut into even ranges, so a
+    source with most of the rows is spread over many tasks; words before a range come from the ranges' sums.
     """
     blocks = max(1, math.ceil(rows.count() / block_rows))
     counted = rows.groupBy("source", "doc_id", "size", "u").agg(F.count("*").alias("rows"))
@@ -68,8 +68,7 @@ def mix_plan(rows: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = 3, bl
     targets = targets.withColumn("odds", F.col("odds") / (1 - F.col("odds")))
     ranked = counted.join(targets, counted["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     rank = F.when(F.col("odds") > 0, F.col("u") / (1 - F.col("u")) / F.col("odds")).otherwise(F.col("u") / (1 - F.col("u")))
-    ranked = ranked.withColumn("rank", rank).withColumn(
-        "block", F.floor(F.col("rank") / (1 + F.col("rank")) * blocks))
+    ranked = ranked.withColumn("rank", rank).withColumn("block", F.floor(F.col("u") * blocks))
     words = F.col("size") * F.col("rows")
     inside = Window.partitionBy("source", "block").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
