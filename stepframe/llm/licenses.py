@@ -43,8 +43,12 @@ TEMPLATES = (
 
 
 def licence_words(text: Column) -> Column:
-    """Words of the text in lower case (A-Z only): runs of digits, letters and everything beyond ASCII."""
-    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """Words of the text with A-Z in lower case: runs of digits, letters and everything beyond ASCII.
+
+    Letters beyond ASCII get lower case too, which moves no word and makes none of the notices' words:
+    the Kelvin sign is the only one that would become an ASCII letter alone, and is taken out first.
+    """
+    lower = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u043a")))
     return F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))
 
 
