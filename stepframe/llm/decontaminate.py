@@ -1,8 +1,9 @@
 """Benchmark decontamination: every passage of the documents is a BM25 query against an index of test items.
 
-The index is inverted, by term, with the largest impact of each term overall and in each block of items.
-A passage's bound decides whether it can reach any item's threshold, then which blocks; only those are
-scored.  Items above their threshold are verified by the overlap of question and answer.
+The index is inverted, by term, with the largest impact of each term in each block of items.  An item's
+common terms can't reach its threshold together, so only the others open it: a passage has to hold
+enough of them.  Then the blocks' bounds decide, then the item's score.  Items above their threshold
+are verified by the overlap of question and answer.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ K1, B = 1.2, 0.75
 #: Items in a block of the index, and items in an index that is sent to the executors at a time.
 BLOCK, ITEMS = 64, 20_000
 SHINGLE = 5
+#: Share of an item's threshold that its most common terms may give without opening it.
+COMMON = 0.6
 TRIM = ".,;:!?\"'()[]{}<>*_"
 ANSWER = re.compile(r"(?is)\banswer\s*:")
 SLICE_CHARS = 4_000_000
@@ -44,17 +47,23 @@ def question_answer(text: str) -> tuple[str, str]:
 
 @dataclass
 class Index:
-    """Items by number: ids, terms in order, where the answer begins, thresholds; impacts by term and item."""
+    """Items by number: ids, term numbers in order, where the answer begins, thresholds; impacts.
+
+    ``opens`` has by term (from ``offsets``) the items that it opens and its impact there; ``need`` is what
+    such impacts have to sum up to, the threshold without all that the other terms could give.
+    """
 
     ids: list[int]
     terms: list[str]
     words: list[np.ndarray]
     answers: list[int]
-    impact: list[tuple[np.ndarray, np.ndarray]]  # by term: items, impacts
-    most: np.ndarray                            # by term
+    impact: list[tuple[np.ndarray, np.ndarray]]  # by item: terms, impacts
+    offsets: np.ndarray
+    opens: tuple[np.ndarray, np.ndarray]
     block_most: np.ndarray                      # by term and block
     least: np.ndarray                           # by item
-    window: int
+    need: np.ndarray
+    pane: int
     block: int
 
 
@@ -70,19 +79,24 @@ def build_index(items: list[tuple[int, str]], frequencies: dict[str, int], total
     words = [np.array([number[w] for w in q + a]) for _, q, a in rows]
     mean = sum(map(len, words)) / len(words)
     idf = np.array([math.log(1 + (total - frequencies[w] + 0.5) / (frequencies[w] + 0.5)) for w in terms])
-    postings: list[list[tuple[int, float]]] = [[] for _ in terms]
-    for at, ws in enumerate(words):
-        for t, n in zip(*np.unique(ws, return_counts=True)):
-            postings[t].append((at, idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(ws) / mean))))
-    impact = [(np.array([i for i, _ in p]), np.array([x for _, x in p])) for p in postings]
+    impact, opened = [], []
     block_most = np.zeros((len(terms), -(-len(rows) // BLOCK)))
-    for t, (at, x) in enumerate(impact):
-        np.maximum.at(block_most[t], at // BLOCK, x)
-    own = np.zeros(len(rows))
+    least, need = np.zeros(len(rows)), np.zeros(len(rows))
     for at, ws in enumerate(words):
-        own[at] = sum(impact[t][1][np.searchsorted(impact[t][0], at)] for t in np.unique(ws))
-    return Index([i for i, _, _ in rows], terms, words, [len(q) for _, q, _ in rows], impact, block_most.max(axis=1),
-                 block_most, own * share, 2 * max(map(len, words)), BLOCK)
+        own, n = np.unique(ws, return_counts=True)
+        x = idf[own] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(ws) / mean))
+        impact.append((own, x))
+        block_most[own, at // BLOCK] = np.maximum(block_most[own, at // BLOCK], x)
+        rising = np.argsort(x, kind="stable")
+        common = int(np.searchsorted(np.cumsum(x[rising]), share * COMMON * x.sum()))
+        least[at] = share * x.sum()
+        need[at] = least[at] - x[rising[:common]].sum()
+        opened += [(own[k], at, x[k]) for k in rising[common:]]
+    opened.sort()
+    offsets = np.searchsorted([t for t, _, _ in opened], np.arange(len(terms) + 1))
+    return Index([i for i, _, _ in rows], terms, words, [len(q) for _, q, _ in rows], impact, offsets,
+                 (np.array([i for _, i, _ in opened]), np.array([x for _, _, x in opened])), block_most, least,
+                 need, max(map(len, words)), BLOCK)
 
 
 def _shingles(words: np.ndarray) -> set:
@@ -107,43 +121,68 @@ def _overlaps(index: Index, item: int, passage: np.ndarray) -> tuple[float, floa
     return share(words[:cut]), share(words[cut:])
 
 
-def search(index: Index, ids: np.ndarray, overlap: float) -> dict[int, tuple[float, float, float]]:
-    """Verified items of a document from its term numbers (-1: no term of the index): (score, question, answer).
+def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    own, at = np.unique(keys, return_inverse=True)
+    return own, np.bincount(at, weights=values, minlength=len(own))
+
+
+def candidates(index: Index, ids: np.ndarray, panes: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+    """(pane, items) whose opening terms in this pane and the next one may be enough, from term numbers and their panes."""
+    opens = np.flatnonzero((ids >= 0) & (np.diff(index.offsets)[ids] > 0))
+    seen = np.unique(panes[opens] * len(index.terms) + ids[opens])
+    pane, term = np.divmod(seen, len(index.terms))
+    n = index.offsets[term + 1] - index.offsets[term]
+    at = np.repeat(index.offsets[term] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+    items, size = index.opens[0][at], len(index.least)
+    keys = np.repeat(pane, n) * size + items
+    keys, sums = _sums(np.concatenate([keys, keys - size]), np.tile(index.opens[1][at], 2))
+    pane, item = np.divmod(keys, size)
+    good = sums >= index.need[item] - 1e-9
+    pane, item = pane[good], item[good]
+    edges = np.flatnonzero(np.append(True, pane[1:] != pane[:-1])) if len(pane) else np.zeros(0, int)
+    for a, b in zip(edges, np.append(edges[1:], len(pane))):
+        yield int(pane[a]), item[a:b].tolist()
+
+
+def verified(index: Index, passage: np.ndarray, items: list[int], overlap: float) -> Iterator[tuple[int, float, float, float]]:
+    """(item, score, question, answer) of the items that the passage reaches and holds."""
+    terms = np.unique(passage[passage >= 0])
+    bounds = index.block_most[np.ix_(terms, sorted({i // index.block for i in items}))].sum(axis=0)
+    block = dict(zip(sorted({i // index.block for i in items}), bounds))
+    for item in items:
+        if block[item // index.block] < index.least[item]:
+            continue
+        own, x = index.impact[item]
+        score = float(x[np.isin(own, terms, assume_unique=True)].sum())
+        if score >= index.least[item]:
+            q, a = _overlaps(index, item, passage)
+            if q >= overlap:
+                yield item, score, q, a
+
 
-    Windows of twice the longest item follow at half their length, so any item lies whole in one.
+def search(index: Index, ids: np.ndarray, edges: np.ndarray, overlap: float) -> Iterator[tuple[int, int, float, float, float]]:
+    """(document, item, score, question, answer) for documents of term numbers (-1: no term of the index).
+
+    A passage is two panes of the longest item's length each, and the next one begins a pane later, so
+    any item lies whole in one.  An item's best passage counts.
     """
-    out: dict[int, tuple[float, float, float]] = {}
-    step = max(1, index.window // 2)
-    lowest, block = index.least.min(), index.block
-    bound = np.append(0.0, np.cumsum(np.where(ids >= 0, index.most[ids], 0.0)))
-    starts = np.arange(0, max(1, len(ids) - step), step)
-    ends = np.minimum(starts + index.window, len(ids))
-    for a, b in zip(starts, ends):
-        if bound[b] - bound[a] < lowest:
-            continue
-        passage = ids[a:b]
-        terms = np.unique(passage[passage >= 0])
-        if index.most[terms].sum() < lowest:
-            continue
-        by_block = index.block_most[terms].sum(axis=0)
-        scores: dict[int, float] = {}
-        size = len(index.least)
-        open_blocks = [k for k in np.flatnonzero(by_block > 0) if by_block[k] >= index.least[k * block:(k + 1) * block].min()]
-        if not open_blocks:
-            continue
-        sums = np.zeros(size)
-        for t in terms:
-            at, x = index.impact[t]
-            sums[at] += x
-        for k in open_blocks:
-            span = slice(k * block, min(size, (k + 1) * block))
-            for i in np.flatnonzero(sums[span] >= index.least[span]) + k * block:
-                scores[int(i)] = float(sums[i])
-        for item, score in scores.items():
-            q, r = _overlaps(index, item, passage)
-            if q >= overlap and (item not in out or (q + r, score) > (out[item][1] + out[item][2], out[item][0])):
-                out[item] = (score, q, r)
-    return out
+    lengths = np.diff(edges)
+    first = np.append(0, np.cumsum(lengths // index.pane + 2))
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    panes = first[doc] + (np.arange(len(ids)) - edges[doc]) // index.pane + 1
+    best: dict[tuple[int, int], tuple[float, float, float]] = {}
+    for pane, items in candidates(index, ids, panes):
+        k = int(np.searchsorted(first, pane, side="right")) - 1
+        # Pane 0 of a document is empty: its passage is the first pane alone.
+        a = int(edges[k]) + max(0, pane - int(first[k]) - 1) * index.pane
+        b = min(int(edges[k + 1]), int(edges[k]) + (pane - int(first[k]) + 1) * index.pane)
+        for item, *found in verified(index, ids[a:b], items, overlap):
+            score, q, r = found
+            old = best.get((k, item))
+            if old is None or (q + r, score) > (old[1] + old[2], old[0]):
+                best[k, item] = (score, q, r)
+    for (k, item), found in best.items():
+        yield k, item, *found
 
 
 def contaminations(docs: DataFrame, items: DataFrame, share: float = 0.5, overlap: float = 0.8) -> DataFrame:
@@ -203,10 +242,8 @@ def _search_all(docs: DataFrame, index: Index, overlap: float) -> DataFrame:
                 cut = batch.slice(a, b - a)
                 words = terms_of(pc.fill_null(cut.column(1), ""))
                 numbers = pc.fill_null(pc.index_in(words.values, terms), -1).to_numpy().astype(np.int64)
-                edges, rows = words.offsets.to_numpy(), []
-                for doc, x, y in zip(cut.column(0).to_pylist(), edges, edges[1:]):
-                    ids = numbers[x:y]
-                    rows += [(doc, index.ids[i], *s) for i, s in search(index, ids, overlap).items()]
+                docs_, edges = cut.column(0).to_pylist(), words.offsets.to_numpy().astype(np.int64)
+                rows = [(docs_[k], index.ids[i], *s) for k, i, *s in search(index, numbers, edges, overlap)]
                 columns = [list(c) for c in zip(*rows)] or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 2 + [pa.float64()] * 3)],
                                                  names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
