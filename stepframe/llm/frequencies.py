@@ -2,7 +2,7 @@
 
 A row holds one token of one batch of documents with the documents that hold it and how often: a
 hundred million (document, token) pairs become a few million rows.  Documents are numbered by row,
-so repeated ids stay apart; each batch has rows of its own for the documents themselves.
+so repeated ids stay apart; each batch has one row for the documents themselves.
 """
 
 from __future__ import annotations
@@ -14,11 +14,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of text that are cut into tokens at a time; bounds a task's memory, changes no result.
-SLICE_CHARS = 4_000_000
+#: Characters that are cut into tokens at a time, and (document, token) pairs of a batch.  Both bound a
+#: task's memory and change no result.
+SLICE_CHARS, BATCH_PAIRS = 4_000_000, 4_000_000
 
-FREQUENCIES = ("token string, is_document boolean, rows array<long>, counts array<long>, ids array<long>, "
-               "marks array<boolean>, marked long")
+#: A pair is the document's place in the batch and its count in one number; a count above the largest
+#: that fits takes several pairs.
+COUNT_BITS = 11
+MOST = (1 << COUNT_BITS) - 1
+BATCH_DOCUMENTS = 1 << (31 - COUNT_BITS)
+
+FREQUENCIES = ("token string, base long, pairs array<int>, marked long, "
+               "documents array<struct<doc_id:long,mark:boolean,size:long>>")
+_DOCUMENTS = pa.list_(pa.struct([("doc_id", pa.int64()), ("mark", pa.bool_()), ("size", pa.int64())]))
 
 
 def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -29,59 +37,92 @@ def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     yield from ((a, b) for a, b in zip(edges, edges[1:]) if b > a)
 
 
+class _Batch:
+    """Pairs of the documents since the last batch."""
+
+    def __init__(self, base: int):
+        self.base, self.numbers, self.parts, self.pairs = base, {}, [], 0
+        self.ids, self.marks, self.sizes = [], [], []
+
+    def add(self, tokens: list[list], ids: list, marks: list[bool], sizes: list[int]) -> None:
+        first, counts = len(self.ids), np.array([len(t) for t in tokens], np.int64)
+        self.ids += ids
+        self.marks += marks
+        self.sizes += sizes
+        flat = pa.array([t for ts in tokens for t in ts])
+        if not len(flat):
+            return
+        coded = flat.dictionary_encode()
+        numbers = self.numbers
+        own = np.array([numbers.setdefault(t, len(numbers)) for t in coded.dictionary.cast(pa.string()).to_pylist()], np.int64)
+        keys, n = np.unique(own[coded.indices.to_numpy()] * len(tokens) + np.repeat(np.arange(len(tokens)), counts), return_counts=True)
+        token, doc = np.divmod(keys, len(tokens))
+        self.parts.append((token.astype(np.int32), (doc + first).astype(np.int32), n.astype(np.int32)))
+        self.pairs += len(n)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        documents = pa.StructArray.from_arrays([pa.array(self.ids, pa.int64()), pa.array(self.marks, pa.bool_()),
+                                                pa.array(self.sizes, pa.int64())], fields=list(_DOCUMENTS.value_type))
+        one = pa.array([0, len(self.ids)], pa.int32())
+        places = pa.array((np.arange(len(self.ids)) << COUNT_BITS).astype(np.int32))
+        # Its text stands for no token: tokens hold no blank behind another character.
+        yield self._table(pa.array([f"documents from {self.base}"]), pa.ListArray.from_arrays(one, places),
+                          pa.array([0], pa.int64()), pa.ListArray.from_arrays(one, documents))
+        if not self.parts:
+            return
+        token, doc, n = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.argsort(token, kind="stable")
+        token, doc, n = token[order], doc[order], n[order]
+        marked = np.bincount(token, weights=n * np.array(self.marks)[doc], minlength=len(self.numbers)).astype(np.int64)
+        times = -(-n // MOST)
+        if times.max() > 1:
+            whole = np.cumsum(times) - 1
+            rest = np.full(int(times.sum()), MOST, np.int32)
+            rest[whole] = n - (times - 1) * MOST
+            token, doc, n = np.repeat(token, times), np.repeat(doc, times), rest
+        edges = np.searchsorted(token, np.arange(len(self.numbers) + 1))
+        pairs = (doc.astype(np.int64) << COUNT_BITS | n).astype(np.int32)
+        names = list(self.numbers)
+        for a in range(0, len(names), 50_000):
+            b = min(len(names), a + 50_000)
+            yield self._table(pa.array(names[a:b], pa.string()), pa.ListArray.from_arrays(
+                pa.array((edges[a:b + 1] - edges[a]).astype(np.int32)), pa.array(pairs[edges[a]:edges[b]])),
+                pa.array(marked[a:b]), pa.nulls(b - a, _DOCUMENTS))
+
+    def _table(self, token, pairs, marked, documents) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([token, pa.array([self.base] * len(token), pa.int64()), pairs, marked, documents],
+                                          names=["token", "base", "pairs", "marked", "documents"])
+
+
 def token_frequencies(docs: DataFrame, split: Callable[[list[str]], list[list]], size: Callable[[str, int], int],
-                      slice_chars: int = SLICE_CHARS) -> DataFrame:
+                      slice_chars: int = SLICE_CHARS, batch_pairs: int = BATCH_PAIRS) -> DataFrame:
     """Rows as in the module's text from rows (doc_id, text, mark).
 
-    ``split`` gives the tokens of each text, as str or bytes.  A document's row has for each document
-    of the slice its row number, ``size(text, tokens)``, doc_id and mark.  ``marked`` is how often the
-    token stands in documents with a true mark.
+    ``split`` gives the tokens of each text, as str or bytes; ``size(text, tokens)`` is kept with each
+    document.  ``marked`` is how often the token stands in documents with a true mark.
     """
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            texts = ["" if t is None else t for t in batch.column(2).to_pylist()]
+        batch = None
+        for got in it:
+            texts = ["" if t is None else t for t in got.column(2).to_pylist()]
+            rows, ids, marks = (got.column(k).to_pylist() for k in (0, 1, 3))
             for a, b in slices(np.array([len(t) + 16 for t in texts]), slice_chars):
-                yield from one(batch.slice(a, b - a), texts[a:b])
-
-    def one(batch: pa.RecordBatch, texts: list[str]) -> Iterator[pa.RecordBatch]:
-        tokens = split(texts)
-        rows, ids, marks = batch.column(0).to_numpy(), batch.column(1), batch.column(3)
-        counts = np.array([len(t) for t in tokens], dtype=np.int64)
-        sizes = [size(t, int(n)) for t, n in zip(texts, counts)]
-        head = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind) if not isinstance(x, pa.Array) else x)
-        yield table(pa.array([f"document {rows[0]}"]), True, head(rows, pa.int64()), head(sizes, pa.int64()),
-                    head(ids, pa.int64()), head(marks, pa.bool_()), pa.array([0], pa.int64()))
-        flat = pa.array([t for ts in tokens for t in ts])
-        if not len(flat):
-            return
-        coded = flat.dictionary_encode()
-        pairs, n = np.unique(coded.indices.to_numpy().astype(np.int64) * len(texts) + np.repeat(np.arange(len(texts)), counts),
-                             return_counts=True)
-        token, doc = np.divmod(pairs, len(texts))
-        known = np.arange(len(coded.dictionary))
-        edges = pa.array(np.append(np.searchsorted(token, known), len(token)), pa.int32())
-        marked = np.bincount(token, weights=n * marks.to_numpy(zero_copy_only=False)[doc], minlength=len(known)).astype(np.int64)
-        # A large result is handed on in parts.
-        whole = table(coded.dictionary.cast(pa.string()), False, pa.ListArray.from_arrays(edges, pa.array(rows[doc])),
-                      pa.ListArray.from_arrays(edges, pa.array(n.astype(np.int64))), None, None, pa.array(marked))
-        for at in range(0, whole.num_rows, 50_000):
-            yield whole.slice(at, 50_000)
-
-    def table(token, is_document, rows, counts, ids, marks, marked) -> pa.RecordBatch:
-        k = len(token)
-        return pa.RecordBatch.from_arrays(
-            [token, pa.array([is_document] * k), rows, counts, pa.nulls(k, pa.list_(pa.int64())) if ids is None else ids,
-             pa.nulls(k, pa.list_(pa.bool_())) if marks is None else marks, marked],
-            names=["token", "is_document", "rows", "counts", "ids", "marks", "marked"])
+                if batch and (batch.pairs >= batch_pairs or rows[b - 1] - batch.base >= BATCH_DOCUMENTS):
+                    yield from batch.rows()
+                    batch = None
+                batch = batch or _Batch(rows[a])
+                tokens = split(texts[a:b])
+                batch.add(tokens, ids[a:b], marks[a:b], [size(t, len(n)) for t, n in zip(texts[a:b], tokens)])
+        if batch:
+            yield from batch.rows()
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text", "mark")
     return numbered.mapInArrow(batches, FREQUENCIES)
 
 
 def spread(frequencies: DataFrame, *more: str) -> DataFrame:
-    """One row per (row, token) pair and per document: row, count, doc_id, mark, is_document and ``more``."""
-    at = F.col("at")
-    pick = lambda c, i: F.get(F.col(c), i)
-    return frequencies.select("*", F.posexplode("rows").alias("at", "row")).select(
-        "row", pick("counts", at).alias("count"), pick("ids", at).alias("doc_id"), pick("marks", at).alias("mark"),
-        "is_document", *more)
+    """Rows (row, count, document) for each pair, the document null, and for each document, with count 0; and ``more``."""
+    place = F.shiftright("pair", COUNT_BITS)
+    return frequencies.select("base", "documents", *more, F.explode("pairs").alias("pair")).select(
+        (F.col("base") + place).alias("row"), F.col("pair").bitwiseAND(F.lit(MOST)).alias("count"),
+        F.get("documents", place).alias("document"), *more)

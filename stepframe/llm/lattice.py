@@ -9,7 +9,7 @@ joined to per-document frequencies.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -43,28 +43,10 @@ class Lattice:
     """
 
     def __init__(self, pieces: dict[str, int], scores: np.ndarray):
-        self.pieces, self.scores = pieces, scores.tolist()
+        self.pieces, self.scores, self.chances = pieces, scores.tolist(), np.exp(scores).tolist()
         self.longest = max(map(len, pieces))
         self.stems = {p[:k] for p in pieces for k in range(1, len(p) + 1)}
 
-    def edges(self, text: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each place the edges that begin there: (end, score, pieces)."""
-        pieces, scores, stems, out = self.pieces, self.scores, self.stems, []
-        for i in range(len(text)):
-            here = []
-            for j in range(i + 1, min(len(text), i + self.longest) + 1):
-                part = text[i:j]
-                if part not in stems:
-                    break
-                k = pieces.get(part)
-                if k is not None:
-                    here.append((j, scores[k], (k,)))
-            if text[i] not in pieces:
-                ids = tuple(pieces[f"<0x{b:02X}>"] for b in text[i].encode())
-                here.append((i + 1, sum(scores[k] for k in ids), ids))
-            out.append(here)
-        return out
-
     def forward(self, text: str) -> float:
         """Log of the summed probability of all segmentations."""
         pieces, scores, stems, longest, n = self.pieces, self.scores, self.stems, self.longest, len(text)
@@ -105,24 +87,63 @@ class Lattice:
         """Log probability that pieces build the word and end there."""
         return self.forward(MARK + token) + self.scores[-1]
 
-    def expect(self, text: str, times: float, into: np.ndarray) -> None:
-        """Add to ``into`` how often each piece is expected in ``times`` such words."""
-        edges, n = self.edges(text), len(text)
-        back = [-math.inf] * n + [0.0]
-        for i in range(n - 1, -1, -1):
-            parts = [s + back[j] for j, s, _ in edges[i]]
-            top = max(parts, default=-math.inf)
-            if top > -math.inf:
-                back[i] = top + math.log(sum(math.exp(x - top) for x in parts))
-        mass = [0.0] * (n + 1)
-        mass[0] = times
-        for i in range(n):
-            if mass[i] > 0:
-                for j, s, ids in edges[i]:
-                    part = mass[i] * math.exp(s + back[j] - back[i])
-                    mass[j] += part
+    def expect(self, text: str, weigh: Callable[[float], float], into: list[float]) -> float:
+        """Add to ``into`` how often each piece is expected in ``weigh(log probability)`` such words; returns that number.
+
+        Chances are kept as they are, or as logs where they would be too small for a float.
+        """
+        edges, n, at = self._edges(text), len(text), [1.0] + [0.0] * len(text)
+        for i, j, p, _ in edges:
+            at[j] += at[i] * p
+        if at[n] > 1e-290:
+            times = weigh(math.log(at[n]))
+            share = lambda i, j, p: at[i] * p / at[j]
+        else:
+            logs: list = [[0.0]] + [[] for _ in text]
+            for i, j, p, ids in edges:
+                if isinstance(logs[i], list):
+                    top = max(logs[i])
+                    logs[i] = top + math.log(sum(math.exp(x - top) for x in logs[i]))
+                logs[j].append(logs[i] + self._log(ids))
+            top = max(logs[n])
+            logs[n] = top + math.log(sum(math.exp(x - top) for x in logs[n]))
+            times = weigh(logs[n])
+            share = lambda i, j, p: math.exp(logs[i] + self._log(ids) - logs[j])
+        mass = [0.0] * n + [times]
+        for i, j, p, ids in reversed(edges):
+            if mass[j]:
+                part = mass[j] * share(i, j, p)
+                mass[i] += part
+                if isinstance(ids, int):
+                    into[ids] += part
+                else:
                     for k in ids:
                         into[k] += part
+        return times
+
+    def _log(self, ids: int | tuple[int, ...]) -> float:
+        return self.scores[ids] if isinstance(ids, int) else sum(self.scores[k] for k in ids)
+
+    def _edges(self, text: str) -> list[tuple[int, int, float, int | tuple[int, ...]]]:
+        """(begin, end, chance, piece or bytes) of the pieces at places that can be reached, by begin."""
+        pieces, chances, stems, longest, n, out = self.pieces, self.chances, self.stems, self.longest, len(text), []
+        reached = [True] + [False] * n
+        for i in range(n):
+            if not reached[i]:
+                continue
+            for j in range(i + 1, min(n, i + longest) + 1):
+                part = text[i:j]
+                k = pieces.get(part)
+                if k is not None:
+                    out.append((i, j, chances[k], k))
+                    reached[j] = True
+                elif part not in stems:
+                    break
+            if text[i] not in pieces:
+                ids = tuple(pieces[f"<0x{b:02X}>"] for b in text[i].encode())
+                out.append((i, i + 1, math.prod(chances[k] for k in ids), ids))
+                reached[i + 1] = True
+        return out
 
 
 def _to_scores(counts: np.ndarray, pieces: dict[str, int], smoothing: float) -> np.ndarray:
@@ -173,12 +194,14 @@ def train(words: DataFrame, total: int, single: int, model: str, rounds: int = 1
         scores = _to_scores(counts, vocabulary(model), smoothing)
 
         def expected(tokens: list[str], times: list[int], sums: np.ndarray, scores=scores, whole=whole) -> None:
-            lattice = Lattice(vocabulary(model), scores)
+            lattice, into = Lattice(vocabulary(model), scores), [0.0] * size
             for t, n in zip(tokens, times):
-                built = (1 - whole) * math.exp(lattice.word(t))
-                part = n * built / (built + whole * (n - 1) / total) if built > 0 or n > 1 else float(n)
-                lattice.expect(MARK + t, part, sums)
-                sums[-1] += part
+                def weigh(log: float, n=n) -> float:
+                    built = (1 - whole) * math.exp(log + lattice.scores[-1])
+                    return n * built / (built + whole * (n - 1) / total) if built > 0 or n > 1 else float(n)
+
+                into[-1] += lattice.expect(MARK + t, weigh, into)
+            sums += np.array(into)
 
         counts = _gather(words, size, expected)
         whole = min(0.999, max(0.5, 1 - counts[-1] / total)) if total else 0.0
@@ -199,11 +222,11 @@ def lattice_scores(docs: DataFrame, model: str, rounds: int = 1) -> DataFrame:
     marked = docs.select("doc_id", "text", (F.pmod(crc, F.lit(HELD_OUT_OF)) != 0).alias("mark"))
     frequencies = materialize(token_frequencies(marked, lambda texts: [lower_words(t) for t in texts], lambda t, n: n + 1),
                               "token-frequencies")
-    words = materialize(frequencies.filter(~F.col("is_document")).groupBy("token").agg(F.sum("marked").alias("n")), "token-counts")
+    words = materialize(frequencies.filter("documents is null").groupBy("token").agg(F.sum("marked").alias("n")), "token-counts")
     known = words.filter("n > 0")
     totals = known.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
                        F.count(F.when(F.col("n") == 1, 1)).alias("single")).first()
-    ends = frequencies.filter("is_document").select(F.explode("marks").alias("mark")).filter("mark").count()
+    ends = frequencies.filter("documents is not null").select(F.explode("documents").alias("d")).filter("d.mark").count()
     seen, n, distinct = totals["n"], totals["n"] + ends, totals["v"] + (ends > 0)
     scores, whole = train(known, seen, totals["single"], model, rounds)
     end = (ends + 0.5) / (n + 1)
@@ -221,13 +244,12 @@ def lattice_scores(docs: DataFrame, model: str, rounds: int = 1) -> DataFrame:
                 got.append((top + math.log(math.exp(built - top) + math.exp(as_one - top)) + math.log(1 - end)) / math.log(10))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.float64())], names=["known", "n", "log"])
 
-    scored = words.mapInArrow(score, "known string, n long, log double").select("known", "n", "log", base(F.col("n")).alias("base"))
+    scored = words.mapInArrow(score, "known string, n long, log double").select("known", "n", "log", base(F.col("n")).alias("plain"))
     joined = frequencies.drop("marked").join(scored, F.col("token") == F.col("known"), "left")
-    pair, count = ~F.col("is_document"), F.col("count")
-    total = lambda c: F.coalesce(F.sum(F.when(pair, c)), F.lit(0))
-    sums = spread(joined, "n", "log", "base").groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("mark").alias("mark"), F.sum(F.when(~pair, count)).alias("n_tokens"),
-        total(F.when(F.col("n") > 0, count)).alias("known"), total(count * F.col("base")).alias("base"), total(count * F.col("log")).alias("log"))
+    total = lambda c: F.sum(F.col("count") * F.coalesce(c, F.lit(0)))
+    sums = spread(joined, "n", "log", "plain").groupBy("row").agg(
+        F.max("document.doc_id").alias("doc_id"), F.max("document.mark").alias("mark"), F.max("document.size").alias("n_tokens"),
+        F.sum(F.when(F.col("n") > 0, F.col("count")).otherwise(F.lit(0))).alias("known"), total("plain").alias("base"), total("log").alias("log"))
     return sums.select(
         "doc_id", (~F.col("mark")).alias("held_out"), "n_tokens", (F.col("known") + F.lit(int(ends > 0))).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + base(F.lit(ends).cast("long"))).alias("base_score"),

@@ -56,7 +56,7 @@ def distinct_pre_tokens(docs: DataFrame) -> DataFrame:
             texts, seen = batch.column(0).to_pylist(), set()
             for text in texts:
                 seen.update(pre_tokens(text or ""))
-                if len(seen) >= 200_000:
+                if len(seen) >= 1_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["token"])
                     seen = set()
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["token"])
@@ -80,9 +80,8 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
     pieces = distinct_pre_tokens(docs).mapInArrow(count, "known string, pieces int")
     frequencies = token_frequencies(docs.select("doc_id", "text", F.lit(False).alias("mark")),
                                     lambda texts: [pre_tokens(t) for t in texts], lambda t, n: len(t.encode()))
-    joined = frequencies.drop("marks", "marked").withColumn("marks", F.lit(None).cast("array<boolean>")).join(
-        pieces, F.col("token") == F.col("known"), "left")
+    joined = frequencies.drop("marked").join(pieces, F.col("token") == F.col("known"), "left")
     sums = spread(joined, "pieces").groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.sum(F.when(F.col("is_document"), F.col("count"))).alias("n_bytes"),
-        F.coalesce(F.sum(F.when(~F.col("is_document"), F.col("count") * F.col("pieces"))), F.lit(0).cast("long")).alias("n_tokens"))
+        F.max("document.doc_id").alias("doc_id"), F.max("document.size").alias("n_bytes"),
+        F.sum(F.col("count").cast("long") * F.coalesce("pieces", F.lit(0))).alias("n_tokens"))
     return sums.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

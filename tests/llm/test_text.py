@@ -42,13 +42,23 @@ def test_edits_equal_the_full_table():
             b = np.concatenate([b[:at], [np.uint64(rng.randrange(6))] * rng.randrange(2), b[at + rng.randrange(2):]]).astype(np.uint64)
         if not len(b):
             continue
-        most, want = rng.randrange(1, 15), distance(a.tolist(), b.tolist())
-        want = want if want <= most else None
-        assert dedup.edits(a, b, most) == want and dedup._in_band(a, b, max(most, abs(len(a) - len(b)))) in (want, want or distance(a.tolist(), b.tolist()), None)
+        most, least = rng.randrange(1, 15), distance(a.tolist(), b.tolist())
+        want = least if least <= most else None
+        got = dedup.edits(a, b, most)
+        assert (got is None) == (want is None) and (got is None or least <= got <= most)
         if abs(len(a) - len(b)) <= most:
             assert dedup._in_band(a, b, most) == want and dedup._along_diagonals(a, b, most) == want
 
 
+def test_longest_rising_run():
+    rng = random.Random(6)
+    for _ in range(100):
+        y = np.array(rng.sample(range(30), 9))
+        kept = y[dedup._rising(y)]
+        best = max(len(c) for n in range(10) for c in itertools.combinations(y, n) if list(c) == sorted(c))
+        assert (np.diff(kept) > 0).all() and len(kept) == best
+
+
 def brute_classes(rows, similarity=0.8):
     """Classes by comparing all pairs of distinct texts that could be so similar."""
     texts = {}
@@ -176,13 +186,17 @@ def test_forward_sums_all_segmentations():
         chance = lambda s: math.prod(chances[pieces[p]] for p in s)
         total = sum(map(chance, ways))
         assert math.isclose(model.forward(text), math.log(total))
-        sums = np.zeros(len(parts) + 1)
-        model.expect(text, 2.0, sums)
+        sums = [0.0] * (len(parts) + 1)
+        assert model.expect(text, lambda log: 2.0 * (abs(log - math.log(total)) < 1e-9), sums) == 2.0
         want = collections.Counter()
         for s in ways:
             for p in s:
                 want[p] += 2 * chance(s) / total
         assert all(math.isclose(sums[pieces[p]], want[p], abs_tol=1e-9) for p in parts[:8])
+    for many in (3, 700):  # chances far below the least float
+        sums = [0.0] * (len(parts) + 1)
+        model.expect("▁" + "é" * many, lambda log: 1.0, sums)
+        assert math.isclose(sums[pieces["<0xC3>"]], many) and math.isclose(sums[0], 1)
     assert math.isclose(model.forward("▁é"), math.log(chances[0] * chances[pieces["<0xC3>"]] * chances[pieces["<0xA9>"]]))
 
 
@@ -219,6 +233,18 @@ def test_pre_tokens_add_up_to_the_whole(pieces):
         assert sum(tokens.piece_counts(pieces, pre)) == len(pieces.encode(t)), repr(t)
 
 
+def test_frequencies_in_many_batches(spark, odd):
+    from stepframe.llm.frequencies import spread, token_frequencies
+    docs = odd.select("doc_id", "text", F.lit(True).alias("mark")).union(spark.createDataFrame([(77, "again " * 5000, True)], "a long, b string, c boolean"))
+    cut = lambda texts: [t.split() for t in texts]
+    many = token_frequencies(docs, cut, lambda t, n: n, slice_chars=300, batch_pairs=50)
+    pairs = spread(many, "token").filter("document is null").groupBy("row", "token").agg(F.sum("count").alias("n"))
+    heads = spread(many).filter("document is not null").select("row", "document.*")
+    got = collections.Counter((r.doc_id, r.token, r.n) for r in pairs.join(heads, "row").collect())
+    assert got == collections.Counter((r.doc_id, w, n) for r in docs.collect() for w, n in collections.Counter((r.text or "").split()).items())
+    assert heads.count() == docs.count() == heads.select("row").distinct().count()
+
+
 # secrets
 
 def secrets_base(t):
