@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters that are not ASCII white space.
@@ -46,3 +47,15 @@ def same(names: dict[str, str]) -> Column:
     for a, b in names.items():
         out &= F.col(a).eqNullSafe(F.col(b))
     return out
+
+
+@contextmanager
+def rows_in_batch(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that are run inside hand at most so many rows at a time to Python; for rows that may be large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
