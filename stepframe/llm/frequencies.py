@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +23,9 @@ SLICE_CHARS, BATCH_PAIRS = 4_000_000, 4_000_000
 #: that fits takes several pairs.
 COUNT_BITS = 11
 MOST = (1 << COUNT_BITS) - 1
-BATCH_DOCUMENTS = 1 << (31 - COUNT_BITS)
+BATCH_DOCUMENTS = 1 << (32 - COUNT_BITS)
 
-FREQUENCIES = ("token string, base long, pairs array<int>, marked long, "
+FREQUENCIES = ("token string, base long, pairs binary, marked long, "
                "documents array<struct<doc_id:long,mark:boolean,size:long>>")
 _DOCUMENTS = pa.list_(pa.struct([("doc_id", pa.int64()), ("mark", pa.bool_()), ("size", pa.int64())]))
 
@@ -38,7 +39,7 @@ def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 
 class _Batch:
-    """Pairs of the documents since the last batch."""
+    """Pairs of the documents since the last batch, each one number: token, place, count."""
 
     def __init__(self, base: int):
         self.base, self.numbers, self.parts, self.pairs = base, {}, [], 0
@@ -55,39 +56,43 @@ class _Batch:
         coded = flat.dictionary_encode()
         numbers = self.numbers
         own = np.array([numbers.setdefault(t, len(numbers)) for t in coded.dictionary.cast(pa.string()).to_pylist()], np.int64)
-        keys, n = np.unique(own[coded.indices.to_numpy()] * len(tokens) + np.repeat(np.arange(len(tokens)), counts), return_counts=True)
-        token, doc = np.divmod(keys, len(tokens))
-        self.parts.append((token.astype(np.int32), (doc + first).astype(np.int32), n.astype(np.int32)))
+        keys = own[coded.indices.to_numpy()] << 32 | (np.repeat(np.arange(first, first + len(tokens)), counts) << COUNT_BITS)
+        keys, n = np.unique(keys, return_counts=True)
+        if n.max() > MOST:
+            times = -(-n // MOST)
+            last = np.cumsum(times) - 1
+            parts = np.full(int(times.sum()), MOST)
+            parts[last] = n - (times - 1) * MOST
+            keys, n = np.repeat(keys, times), parts
+        self.parts.append(keys | n)
         self.pairs += len(n)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         documents = pa.StructArray.from_arrays([pa.array(self.ids, pa.int64()), pa.array(self.marks, pa.bool_()),
                                                 pa.array(self.sizes, pa.int64())], fields=list(_DOCUMENTS.value_type))
-        one = pa.array([0, len(self.ids)], pa.int32())
-        places = pa.array((np.arange(len(self.ids)) << COUNT_BITS).astype(np.int32))
         # Its text stands for no token: tokens hold no blank behind another character.
-        yield self._table(pa.array([f"documents from {self.base}"]), pa.ListArray.from_arrays(one, places),
-                          pa.array([0], pa.int64()), pa.ListArray.from_arrays(one, documents))
+        yield self._table(pa.array([f"documents from {self.base}"]), pa.array([b""], pa.binary()), pa.array([0], pa.int64()),
+                          pa.ListArray.from_arrays(pa.array([0, len(self.ids)], pa.int32()), documents))
         if not self.parts:
             return
-        token, doc, n = (np.concatenate(x) for x in zip(*self.parts))
-        order = np.argsort(token, kind="stable")
-        token, doc, n = token[order], doc[order], n[order]
-        marked = np.bincount(token, weights=n * np.array(self.marks)[doc], minlength=len(self.numbers)).astype(np.int64)
-        times = -(-n // MOST)
-        if times.max() > 1:
-            whole = np.cumsum(times) - 1
-            rest = np.full(int(times.sum()), MOST, np.int32)
-            rest[whole] = n - (times - 1) * MOST
-            token, doc, n = np.repeat(token, times), np.repeat(doc, times), rest
-        edges = np.searchsorted(token, np.arange(len(self.numbers) + 1))
-        pairs = (doc.astype(np.int64) << COUNT_BITS | n).astype(np.int32)
+        keys = np.concatenate(self.parts)
+        self.parts = []
+        keys.sort()
         names = list(self.numbers)
+        edges = np.searchsorted(keys, np.arange(len(names) + 1) << 32)
+        marks = np.array(self.marks)
+        # By text, so that neighbours are alike and shuffle files smaller.
+        order = pc.sort_indices(pa.array(names)).to_numpy()
         for a in range(0, len(names), 50_000):
-            b = min(len(names), a + 50_000)
-            yield self._table(pa.array(names[a:b], pa.string()), pa.ListArray.from_arrays(
-                pa.array((edges[a:b + 1] - edges[a]).astype(np.int32)), pa.array(pairs[edges[a]:edges[b]])),
-                pa.array(marked[a:b]), pa.nulls(b - a, _DOCUMENTS))
+            some = order[a:a + 50_000]
+            sizes = edges[some + 1] - edges[some]
+            starts = np.cumsum(sizes) - sizes
+            pairs = keys[np.arange(int(sizes.sum())) + np.repeat(edges[some] - starts, sizes)].astype(np.uint32)
+            marked = np.add.reduceat((pairs & MOST) * marks[pairs >> COUNT_BITS], starts).astype(np.int64)
+            binary = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(np.append(starts, sizes.sum()).astype(np.int32) * 4),
+                                                                  pa.py_buffer(pairs)])
+            yield self._table(pa.array([names[k] for k in some], pa.string()), binary, pa.array(marked),
+                              pa.nulls(len(some), _DOCUMENTS))
 
     def _table(self, token, pairs, marked, documents) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([token, pa.array([self.base] * len(token), pa.int64()), pairs, marked, documents],
@@ -120,9 +125,51 @@ def token_frequencies(docs: DataFrame, split: Callable[[list[str]], list[list]],
     return numbered.mapInArrow(batches, FREQUENCIES)
 
 
-def spread(frequencies: DataFrame, *more: str) -> DataFrame:
-    """Rows (row, count, document) for each pair, the document null, and for each document, with count 0; and ``more``."""
-    place = F.shiftright("pair", COUNT_BITS)
-    return frequencies.select("base", "documents", *more, F.explode("pairs").alias("pair")).select(
-        (F.col("base") + place).alias("row"), F.col("pair").bitwiseAND(F.lit(MOST)).alias("count"),
-        F.get("documents", place).alias("document"), *more)
+def document_sums(frequencies: DataFrame, values: dict[str, Callable[[pa.RecordBatch], np.ndarray]]) -> DataFrame:
+    """Per document (row, doc_id, mark, size) and, for each value, the sum of counts times the token's value.
+
+    A value's function gives one number per row of the batch.  Tasks sum what they hold by document
+    before the shuffle.
+    """
+    names = list(values)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in it:
+            documents, base = batch.column(batch.schema.names.index("documents")), batch.column(batch.schema.names.index("base")).to_numpy()
+            for k in np.flatnonzero(documents.is_valid()):
+                got = documents[int(k)].values
+                yield table(base[k] + np.arange(len(got)), [got.field(i) for i in range(3)], [np.zeros(len(got))] * len(names))
+            pairs = batch.column(batch.schema.names.index("pairs"))
+            edges = np.frombuffer(pairs.buffers()[1], np.int32)[pairs.offset:pairs.offset + len(pairs) + 1].astype(np.int64)
+            data = pairs.buffers()[2]
+            if data is None or edges[-1] == edges[0]:
+                continue
+            flat = np.frombuffer(data, np.uint32, count=int(edges[-1] - edges[0]) // 4, offset=int(edges[0])).astype(np.int64)
+            times = np.diff(edges) // 4
+            count = flat & MOST
+            held.append((np.repeat(base, times) + (flat >> COUNT_BITS), *[count * np.repeat(f(batch), times) for f in values.values()]))
+            size += len(flat)
+            if size >= BATCH_PAIRS // 2:
+                yield summed(held)
+                held, size = [], 0
+        if held:
+            yield summed(held)
+
+    def summed(held: list) -> pa.RecordBatch:
+        rows, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+        return table(rows, [pa.nulls(len(rows), t) for t in (pa.int64(), pa.bool_(), pa.int64())],
+                     [np.bincount(at, weights=np.concatenate([h[k] for h in held])) for k in range(1, len(names) + 1)])
+
+    def table(rows, document, sums) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows), *document, *[pa.array(x) for x in sums]],
+                                          names=["row", "doc_id", "mark", "size", *names])
+
+    parts = frequencies.mapInArrow(batches, "row long, doc_id long, mark boolean, size long, " + ", ".join(f"{n} double" for n in names))
+    return parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("mark").alias("mark"), F.max("size").alias("size"),
+                                    *[F.sum(n).alias(n) for n in names])
+
+
+def column(name: str) -> Callable[[pa.RecordBatch], np.ndarray]:
+    """A value that is a column of the rows, 0 where it is null."""
+    return lambda batch: pc.fill_null(batch.column(batch.schema.names.index(name)), 0).to_numpy(zero_copy_only=False)

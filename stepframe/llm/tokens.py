@@ -1,21 +1,29 @@
-"""Token counts: pieces are counted once per distinct pre-token and joined to per-document frequencies."""
+"""Token counts: pieces are counted once per distinct pre-token and joined to per-document frequencies.
+
+Frequencies are dealt out by pre-token, so the join needs no table of all pre-tokens, and go back to
+their documents as sums.  Ids of pieces are never kept.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepframe.llm.frequencies import spread, token_frequencies
+from stepframe.llm.frequencies import document_sums, token_frequencies
 
 #: No piece has a blank behind another character or a line feed: a pre-token is a run of blanks with
 #: what follows, or a line feed with what follows.  The model puts a blank before each text.
 PRE_TOKEN = re.compile(r" +[^ \n]*|\n[^ \n]*")
 
+#: Rows of a pre-token that more documents of a batch hold are dealt to so many tasks.
+MANY, PARTS = 2000, 64
+
 
 @lru_cache(maxsize=2)
 def processor(model: str):
@@ -49,39 +57,28 @@ def piece_counts(found, tokens: list[str]) -> list[int]:
     return [max(1, len(p)) if t[0] == " " else len(p) - 1 for t, p in zip(tokens, pieces)]
 
 
-def distinct_pre_tokens(docs: DataFrame) -> DataFrame:
-    """Distinct pre-tokens of all texts."""
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            texts, seen = batch.column(0).to_pylist(), set()
-            for text in texts:
-                seen.update(pre_tokens(text or ""))
-                if len(seen) >= 1_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["token"])
-                    seen = set()
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["token"])
-
-    return docs.select("text").mapInArrow(batches, "token string").distinct()
-
-
 def token_counts(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
     """Rows (doc_id, n_bytes, n_tokens, over_limit), one per row of ``docs``.
 
     Needs ``doc_id`` and ``text``; nothing else is read.  A null text counts as empty, an empty text has
     no tokens, ids may be null or repeated (each row counts by itself), an empty table gives none.
-    Frequencies of a very common pre-token are spread over its batches' rows, which a join can split.
+    Rows of one pre-token meet in one task, which counts its pieces once; one that very many documents
+    hold is dealt to some tasks more, by batch.
     """
-    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            tokens = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(piece_counts(processor(model), tokens), pa.int32())],
-                                             names=["known", "pieces"])
+    def pieces() -> Callable[[pa.RecordBatch], np.ndarray]:
+        known: dict[str, int] = {}
+
+        def of(batch: pa.RecordBatch) -> np.ndarray:
+            tokens, is_token = batch.column(0).to_pylist(), batch.column(3).is_null().to_pylist()
+            new = list({t for t, good in zip(tokens, is_token) if good and t not in known})
+            known.update(zip(new, piece_counts(processor(model), new)))
+            return np.array([known.get(t, 0) for t in tokens], np.int64)
+        return of
 
-    pieces = distinct_pre_tokens(docs).mapInArrow(count, "known string, pieces int")
     frequencies = token_frequencies(docs.select("doc_id", "text", F.lit(False).alias("mark")),
                                     lambda texts: [pre_tokens(t) for t in texts], lambda t, n: len(t.encode()))
-    joined = frequencies.drop("marked").join(pieces, F.col("token") == F.col("known"), "left")
-    sums = spread(joined, "pieces").groupBy("row").agg(
-        F.max("document.doc_id").alias("doc_id"), F.max("document.size").alias("n_bytes"),
-        F.sum(F.col("count").cast("long") * F.coalesce("pieces", F.lit(0))).alias("n_tokens"))
-    return sums.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    part = F.when(F.octet_length("pairs") > 4 * MANY, F.pmod(F.xxhash64("base"), F.lit(PARTS))).otherwise(F.lit(0))
+    dealt = frequencies.select("token", "base", "pairs", "documents").repartition("token", part)
+    sums = document_sums(dealt, {"pieces": pieces()})
+    n = F.col("pieces").cast("long")
+    return sums.select("doc_id", F.col("size").alias("n_bytes"), n.alias("n_tokens"), (n > limit).alias("over_limit"))

@@ -234,15 +234,17 @@ def test_pre_tokens_add_up_to_the_whole(pieces):
 
 
 def test_frequencies_in_many_batches(spark, odd):
-    from stepframe.llm.frequencies import spread, token_frequencies
+    from stepframe.llm import frequencies
     docs = odd.select("doc_id", "text", F.lit(True).alias("mark")).union(spark.createDataFrame([(77, "again " * 5000, True)], "a long, b string, c boolean"))
     cut = lambda texts: [t.split() for t in texts]
-    many = token_frequencies(docs, cut, lambda t, n: n, slice_chars=300, batch_pairs=50)
-    pairs = spread(many, "token").filter("document is null").groupBy("row", "token").agg(F.sum("count").alias("n"))
-    heads = spread(many).filter("document is not null").select("row", "document.*")
-    got = collections.Counter((r.doc_id, r.token, r.n) for r in pairs.join(heads, "row").collect())
-    assert got == collections.Counter((r.doc_id, w, n) for r in docs.collect() for w, n in collections.Counter((r.text or "").split()).items())
-    assert heads.count() == docs.count() == heads.select("row").distinct().count()
+    many = frequencies.token_frequencies(docs, cut, lambda t, n: n, slice_chars=300, batch_pairs=50)
+    value = lambda batch: np.array([len(t) for t in batch.column(0).to_pylist()], float)
+    got = frequencies.document_sums(many, {"chars": value, "words": lambda b: np.ones(b.num_rows)}).collect()
+    assert collections.Counter((r.doc_id, r["size"], r.words, r.chars) for r in got) == collections.Counter(
+        (r.doc_id, len(w), len(w), sum(map(len, w))) for r in docs.collect() for w in [(r.text or "").split()])
+    assert len({r.row for r in got}) == docs.count() and all(r.mark for r in got)
+    marked = {r.token: r.n for r in many.filter("documents is null").groupBy("token").agg(F.sum("marked").alias("n")).collect()}
+    assert marked == collections.Counter(w for r in docs.collect() for w in (r.text or "").split())
 
 
 # secrets
