@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters that are cut into tokens at a time, and (document, token) pairs of a batch.  Both bound a
@@ -23,9 +23,9 @@ SLICE_CHARS, BATCH_PAIRS = 4_000_000, 4_000_000
 #: that fits takes several pairs.
 COUNT_BITS = 11
 MOST = (1 << COUNT_BITS) - 1
-BATCH_DOCUMENTS = 1 << (32 - COUNT_BITS)
+BATCH_DOCUMENTS = 1 << (31 - COUNT_BITS)
 
-FREQUENCIES = ("token string, base long, pairs binary, marked long, "
+FREQUENCIES = ("token string, base long, pairs array<int>, marked long, "
                "documents array<struct<doc_id:long,mark:boolean,size:long>>")
 _DOCUMENTS = pa.list_(pa.struct([("doc_id", pa.int64()), ("mark", pa.bool_()), ("size", pa.int64())]))
 
@@ -70,9 +70,11 @@ class _Batch:
     def rows(self) -> Iterator[pa.RecordBatch]:
         documents = pa.StructArray.from_arrays([pa.array(self.ids, pa.int64()), pa.array(self.marks, pa.bool_()),
                                                 pa.array(self.sizes, pa.int64())], fields=list(_DOCUMENTS.value_type))
+        one = pa.array([0, len(self.ids)], pa.int32())
+        places = pa.array((np.arange(len(self.ids)) << COUNT_BITS).astype(np.int32))
         # Its text stands for no token: tokens hold no blank behind another character.
-        yield self._table(pa.array([f"documents from {self.base}"]), pa.array([b""], pa.binary()), pa.array([0], pa.int64()),
-                          pa.ListArray.from_arrays(pa.array([0, len(self.ids)], pa.int32()), documents))
+        yield self._table(pa.array([f"documents from {self.base}"]), pa.ListArray.from_arrays(one, places),
+                          pa.array([0], pa.int64()), pa.ListArray.from_arrays(one, documents))
         if not self.parts:
             return
         keys = np.concatenate(self.parts)
@@ -87,11 +89,10 @@ class _Batch:
             some = order[a:a + 50_000]
             sizes = edges[some + 1] - edges[some]
             starts = np.cumsum(sizes) - sizes
-            pairs = keys[np.arange(int(sizes.sum())) + np.repeat(edges[some] - starts, sizes)].astype(np.uint32)
+            pairs = keys[np.arange(int(sizes.sum())) + np.repeat(edges[some] - starts, sizes)].astype(np.int32)
             marked = np.add.reduceat((pairs & MOST) * marks[pairs >> COUNT_BITS], starts).astype(np.int64)
-            binary = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(np.append(starts, sizes.sum()).astype(np.int32) * 4),
-                                                                  pa.py_buffer(pairs)])
-            yield self._table(pa.array([names[k] for k in some], pa.string()), binary, pa.array(marked),
+            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, sizes.sum()).astype(np.int32)), pa.array(pairs))
+            yield self._table(pa.array([names[k] for k in some], pa.string()), lists, pa.array(marked),
                               pa.nulls(len(some), _DOCUMENTS))
 
     def _table(self, token, pairs, marked, documents) -> pa.RecordBatch:
@@ -125,51 +126,15 @@ def token_frequencies(docs: DataFrame, split: Callable[[list[str]], list[list]],
     return numbered.mapInArrow(batches, FREQUENCIES)
 
 
-def document_sums(frequencies: DataFrame, values: dict[str, Callable[[pa.RecordBatch], np.ndarray]]) -> DataFrame:
+def document_sums(frequencies: DataFrame, **values: Column) -> DataFrame:
     """Per document (row, doc_id, mark, size) and, for each value, the sum of counts times the token's value.
 
-    A value's function gives one number per row of the batch.  Tasks sum what they hold by document
-    before the shuffle.
+    A value is an expression of the columns of ``frequencies``; null counts as 0.
     """
-    names = list(values)
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in it:
-            documents, base = batch.column(batch.schema.names.index("documents")), batch.column(batch.schema.names.index("base")).to_numpy()
-            for k in np.flatnonzero(documents.is_valid()):
-                got = documents[int(k)].values
-                yield table(base[k] + np.arange(len(got)), [got.field(i) for i in range(3)], [np.zeros(len(got))] * len(names))
-            pairs = batch.column(batch.schema.names.index("pairs"))
-            edges = np.frombuffer(pairs.buffers()[1], np.int32)[pairs.offset:pairs.offset + len(pairs) + 1].astype(np.int64)
-            data = pairs.buffers()[2]
-            if data is None or edges[-1] == edges[0]:
-                continue
-            flat = np.frombuffer(data, np.uint32, count=int(edges[-1] - edges[0]) // 4, offset=int(edges[0])).astype(np.int64)
-            times = np.diff(edges) // 4
-            count = flat & MOST
-            held.append((np.repeat(base, times) + (flat >> COUNT_BITS), *[count * np.repeat(f(batch), times) for f in values.values()]))
-            size += len(flat)
-            if size >= BATCH_PAIRS // 2:
-                yield summed(held)
-                held, size = [], 0
-        if held:
-            yield summed(held)
-
-    def summed(held: list) -> pa.RecordBatch:
-        rows, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-        return table(rows, [pa.nulls(len(rows), t) for t in (pa.int64(), pa.bool_(), pa.int64())],
-                     [np.bincount(at, weights=np.concatenate([h[k] for h in held])) for k in range(1, len(names) + 1)])
-
-    def table(rows, document, sums) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(rows), *document, *[pa.array(x) for x in sums]],
-                                          names=["row", "doc_id", "mark", "size", *names])
-
-    parts = frequencies.mapInArrow(batches, "row long, doc_id long, mark boolean, size long, " + ", ".join(f"{n} double" for n in names))
-    return parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("mark").alias("mark"), F.max("size").alias("size"),
-                                    *[F.sum(n).alias(n) for n in names])
-
-
-def column(name: str) -> Callable[[pa.RecordBatch], np.ndarray]:
-    """A value that is a column of the rows, 0 where it is null."""
-    return lambda batch: pc.fill_null(batch.column(batch.schema.names.index(name)), 0).to_numpy(zero_copy_only=False)
+    place, names = F.shiftright("pair", COUNT_BITS), list(values)
+    pairs = frequencies.select("base", "documents", *[v.alias(n) for n, v in values.items()], F.explode("pairs").alias("pair"))
+    count = F.col("pair").bitwiseAND(F.lit(MOST)).cast("long")
+    each = pairs.select((F.col("base") + place).alias("row"), F.get("documents", place).alias("document"),
+                        *[(count * F.coalesce(n, F.lit(0))).alias(n) for n in names])
+    return each.groupBy("row").agg(*[F.max(f"document.{n}").alias(n) for n in ("doc_id", "mark", "size")],
+                                   *[F.sum(n).alias(n) for n in names])

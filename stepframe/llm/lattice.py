@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepframe.llm.common import lower_words
-from stepframe.llm.frequencies import column, document_sums, token_frequencies
+from stepframe.llm.frequencies import document_sums, token_frequencies
 from stepframe.session import materialize
 
 #: Added to each piece's expected count.
@@ -245,10 +245,8 @@ def lattice_scores(docs: DataFrame, model: str, rounds: int = 1) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.float64())], names=["known", "n", "log"])
 
     scored = words.mapInArrow(score, "known string, n long, log double").select("known", "n", "log", base(F.col("n")).alias("plain"))
-    joined = frequencies.drop("marked").join(scored, F.col("token") == F.col("known"), "left").select(
-        "base", "pairs", "documents", F.coalesce(F.col("n") > 0, F.lit(False)).cast("int"), "log", "plain").toDF(
-        "base", "pairs", "documents", "seen", "log", "plain")
-    sums = document_sums(joined, {n: column(n) for n in ("seen", "log", "plain")})
+    joined = frequencies.drop("marked").join(scored, F.col("token") == F.col("known"), "left")
+    sums = document_sums(joined, seen=(F.col("n") > 0).cast("int"), plain=F.col("plain"), log=F.col("log"))
     return sums.select(
         "doc_id", (~F.col("mark")).alias("held_out"), F.col("size").alias("n_tokens"),
         (F.col("seen") + F.lit(int(ends > 0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),

@@ -7,11 +7,10 @@ their documents as sums.  Ids of pieces are never kept.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,20 +64,17 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
     Rows of one pre-token meet in one task, which counts its pieces once; one that very many documents
     hold is dealt to some tasks more, by batch.
     """
-    def pieces() -> Callable[[pa.RecordBatch], np.ndarray]:
+    @F.pandas_udf("int")
+    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known: dict[str, int] = {}
-
-        def of(batch: pa.RecordBatch) -> np.ndarray:
-            tokens, is_token = batch.column(0).to_pylist(), batch.column(3).is_null().to_pylist()
-            new = list({t for t, good in zip(tokens, is_token) if good and t not in known})
+        for tokens in batches:
+            new = list({t for t in tokens if t not in known})
             known.update(zip(new, piece_counts(processor(model), new)))
-            return np.array([known.get(t, 0) for t in tokens], np.int64)
-        return of
+            yield tokens.map(known).astype("int32")
 
     frequencies = token_frequencies(docs.select("doc_id", "text", F.lit(False).alias("mark")),
                                     lambda texts: [pre_tokens(t) for t in texts], lambda t, n: len(t.encode()))
-    part = F.when(F.octet_length("pairs") > 4 * MANY, F.pmod(F.xxhash64("base"), F.lit(PARTS))).otherwise(F.lit(0))
+    part = F.when(F.size("pairs") > MANY, F.pmod(F.xxhash64("base"), F.lit(PARTS))).otherwise(F.lit(0))
     dealt = frequencies.select("token", "base", "pairs", "documents").repartition("token", part)
-    sums = document_sums(dealt, {"pieces": pieces()})
-    n = F.col("pieces").cast("long")
-    return sums.select("doc_id", F.col("size").alias("n_bytes"), n.alias("n_tokens"), (n > limit).alias("over_limit"))
+    sums = document_sums(dealt.withColumn("pieces", pieces("token")), n_tokens=F.col("pieces"))
+    return sums.select("doc_id", F.col("size").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -238,8 +238,7 @@ def test_frequencies_in_many_batches(spark, odd):
     docs = odd.select("doc_id", "text", F.lit(True).alias("mark")).union(spark.createDataFrame([(77, "again " * 5000, True)], "a long, b string, c boolean"))
     cut = lambda texts: [t.split() for t in texts]
     many = frequencies.token_frequencies(docs, cut, lambda t, n: n, slice_chars=300, batch_pairs=50)
-    value = lambda batch: np.array([len(t) for t in batch.column(0).to_pylist()], float)
-    got = frequencies.document_sums(many, {"chars": value, "words": lambda b: np.ones(b.num_rows)}).collect()
+    got = frequencies.document_sums(many, chars=F.length("token"), words=F.lit(1)).collect()
     assert collections.Counter((r.doc_id, r["size"], r.words, r.chars) for r in got) == collections.Counter(
         (r.doc_id, len(w), len(w), sum(map(len, w))) for r in docs.collect() for w in [(r.text or "").split()])
     assert len({r.row for r in got}) == docs.count() and all(r.mark for r in got)
