@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from stepframe.llm.common import let, with_new
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: The phrases of the base rule with their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -49,7 +50,7 @@ def licence_words(text: Column) -> Column:
     the Kelvin sign is the only one that would become an ASCII letter alone, and is taken out first.
     """
     lower = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u043a")))
-    return F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(lower, BETWEEN), "")
 
 
 def notices() -> list[tuple[str, list[str], list[str], bool]]:
