@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 #: task's memory and change no result.
 SLICE_CHARS, BATCH_PAIRS = 4_000_000, 4_000_000
 
-#: A pair is the document's place in the batch and its count in one number; a count above the largest
-#: that fits takes several pairs.
-COUNT_BITS = 11
-MOST = (1 << COUNT_BITS) - 1
-BATCH_DOCUMENTS = 1 << (31 - COUNT_BITS)
+#: Places of documents in a batch and counts fit short numbers; a larger count takes several pairs.
+BITS = 15
+MOST = (1 << BITS) - 1
+
+FREQUENCIES = ("token string, base long, places array<smallint>, counts array<smallint>, marked long, "
+               "documents array<struct<doc_id:long,mark:boolean,size:long>>")
+_DOCUMENTS = 1 << (31 - COUNT_BITS)
 
 FREQUENCIES = ("token string, base long, pairs array<int>, marked long, "
                "documents array<struct<doc_id:long,mark:boolean,size:long>>")
@@ -56,7 +58,7 @@ class _Batch:
         coded = flat.dictionary_encode()
         numbers = self.numbers
         own = np.array([numbers.setdefault(t, len(numbers)) for t in coded.dictionary.cast(pa.string()).to_pylist()], np.int64)
-        keys = own[coded.indices.to_numpy()] << 32 | (np.repeat(np.arange(first, first + len(tokens)), counts) << COUNT_BITS)
+        keys = own[coded.indices.to_numpy()] << 32 | (np.repeat(np.arange(first, first + len(tokens)), counts) << BITS)
         keys, n = np.unique(keys, return_counts=True)
         if n.max() > MOST:
             times = -(-n // MOST)
@@ -70,11 +72,11 @@ class _Batch:
     def rows(self) -> Iterator[pa.RecordBatch]:
         documents = pa.StructArray.from_arrays([pa.array(self.ids, pa.int64()), pa.array(self.marks, pa.bool_()),
                                                 pa.array(self.sizes, pa.int64())], fields=list(_DOCUMENTS.value_type))
-        one = pa.array([0, len(self.ids)], pa.int32())
-        places = pa.array((np.arange(len(self.ids)) << COUNT_BITS).astype(np.int32))
+        one, size = pa.array([0, len(self.ids)], pa.int32()), len(self.ids)
         # Its text stands for no token: tokens hold no blank behind another character.
-        yield self._table(pa.array([f"documents from {self.base}"]), pa.ListArray.from_arrays(one, places),
-                          pa.array([0], pa.int64()), pa.ListArray.from_arrays(one, documents))
+        yield self._table(pa.array([f"documents from {self.base}"]), pa.ListArray.from_arrays(one, pa.array(np.arange(size, dtype=np.int16))),
+                          pa.ListArray.from_arrays(one, pa.array(np.zeros(size, np.int16))), pa.array([0], pa.int64()),
+                          pa.ListArray.from_arrays(one, documents))
         if not self.parts:
             return
         keys = np.concatenate(self.parts)
@@ -89,15 +91,22 @@ class _Batch:
             some = order[a:a + 50_000]
             sizes = edges[some + 1] - edges[some]
             starts = np.cumsum(sizes) - sizes
-            pairs = keys[np.arange(int(sizes.sum())) + np.repeat(edges[some] - starts, sizes)].astype(np.int32)
-            marked = np.add.reduceat((pairs & MOST) * marks[pairs >> COUNT_BITS], starts).astype(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, sizes.sum()).astype(np.int32)), pa.array(pairs))
-            yield self._table(pa.array([names[k] for k in some], pa.string()), lists, pa.array(marked),
+            pairs = keys[np.arange(int(sizes.sum())) + np.repeat(edges[some] - starts, sizes)] & 0xFFFFFFFF
+            places, counts = (pairs >> BITS).astype(np.int16), (pairs & MOST).astype(np.int16)
+            marked = np.add.reduceat(counts.astype(np.int64) * marks[places], starts)
+            # Counts are left out where all are 1.
+            told = np.maximum.reduceat(counts, starts) > 1
+            yield self._table(pa.array([names[k] for k in some], pa.string()), _lists(sizes, places),
+                              _lists(np.where(told, sizes, 0), counts[np.repeat(told, sizes)]), pa.array(marked),
                               pa.nulls(len(some), _DOCUMENTS))
 
-    def _table(self, token, pairs, marked, documents) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([token, pa.array([self.base] * len(token), pa.int64()), pairs, marked, documents],
-                                          names=["token", "base", "pairs", "marked", "documents"])
+    def _table(self, token, places, counts, marked, documents) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([token, pa.array([self.base] * len(token), pa.int64()), places, counts, marked, documents],
+                                          names=["token", "base", "places", "counts", "marked", "documents"])
+
+
+def _lists(sizes: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(values))
 
 
 def token_frequencies(docs: DataFrame, split: Callable[[list[str]], list[list]], size: Callable[[str, int], int],
@@ -112,8 +121,9 @@ def token_frequencies(docs: DataFrame, split: Callable[[list[str]], list[list]],
         for got in it:
             texts = ["" if t is None else t for t in got.column(2).to_pylist()]
             rows, ids, marks = (got.column(k).to_pylist() for k in (0, 1, 3))
-            for a, b in slices(np.array([len(t) + 16 for t in texts]), slice_chars):
-                if batch and (batch.pairs >= batch_pairs or rows[b - 1] - batch.base >= BATCH_DOCUMENTS):
+            # An empty text counts too, so that no slice has more documents than a batch can number.
+            for a, b in slices(np.array([len(t) + 1 + slice_chars // MOST for t in texts]), slice_chars):
+                if batch and (batch.pairs >= batch_pairs or rows[b - 1] - batch.base >= 1 << BITS):
                     yield from batch.rows()
                     batch = None
                 batch = batch or _Batch(rows[a])
@@ -131,10 +141,10 @@ def document_sums(frequencies: DataFrame, **values: Column) -> DataFrame:
 
     A value is an expression of the columns of ``frequencies``; null counts as 0.
     """
-    place, names = F.shiftright("pair", COUNT_BITS), list(values)
-    pairs = frequencies.select("base", "documents", *[v.alias(n) for n, v in values.items()], F.explode("pairs").alias("pair"))
-    count = F.col("pair").bitwiseAND(F.lit(MOST)).cast("long")
-    each = pairs.select((F.col("base") + place).alias("row"), F.get("documents", place).alias("document"),
+    names = list(values)
+    pairs = frequencies.select("base", "counts", "documents", *[v.alias(n) for n, v in values.items()], F.posexplode("places").alias("at", "place"))
+    count = F.coalesce(F.get("counts", F.col("at")), F.lit(1)).cast("long")
+    each = pairs.select((F.col("base") + F.col("place")).alias("row"), F.get("documents", F.col("place")).alias("document"),
                         *[(count * F.coalesce(n, F.lit(0))).alias(n) for n in names])
     return each.groupBy("row").agg(*[F.max(f"document.{n}").alias(n) for n in ("doc_id", "mark", "size")],
                                    *[F.sum(n).alias(n) for n in names])

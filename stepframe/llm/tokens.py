@@ -74,7 +74,7 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
 
     frequencies = token_frequencies(docs.select("doc_id", "text", F.lit(False).alias("mark")),
                                     lambda texts: [pre_tokens(t) for t in texts], lambda t, n: len(t.encode()))
-    part = F.when(F.size("pairs") > MANY, F.pmod(F.xxhash64("base"), F.lit(PARTS))).otherwise(F.lit(0))
-    dealt = frequencies.select("token", "base", "pairs", "documents").repartition("token", part)
+    part = F.when(F.size("places") > MANY, F.pmod(F.xxhash64("base"), F.lit(PARTS))).otherwise(F.lit(0))
+    dealt = frequencies.select("token", "base", "places", "counts", "documents").repartition("token", part)
     sums = document_sums(dealt.withColumn("pieces", pieces("token")), n_tokens=F.col("pieces"))
     return sums.select("doc_id", F.col("size").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -235,7 +235,7 @@ def test_pre_tokens_add_up_to_the_whole(pieces):
 
 def test_frequencies_in_many_batches(spark, odd):
     from stepframe.llm import frequencies
-    docs = odd.select("doc_id", "text", F.lit(True).alias("mark")).union(spark.createDataFrame([(77, "again " * 5000, True)], "a long, b string, c boolean"))
+    docs = odd.select("doc_id", "text", F.lit(True).alias("mark")).union(spark.createDataFrame([(77, "again " * 70000, True)], "a long, b string, c boolean"))
     cut = lambda texts: [t.split() for t in texts]
     many = frequencies.token_frequencies(docs, cut, lambda t, n: n, slice_chars=300, batch_pairs=50)
     got = frequencies.document_sums(many, chars=F.length("token"), words=F.lit(1)).collect()
