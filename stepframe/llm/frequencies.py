@@ -25,10 +25,6 @@ MOST = (1 << BITS) - 1
 
 FREQUENCIES = ("token string, base long, places array<smallint>, counts array<smallint>, marked long, "
                "documents array<struct<doc_id:long,mark:boolean,size:long>>")
-_DOCUMENTS = 1 << (31 - COUNT_BITS)
-
-FREQUENCIES = ("token string, base long, pairs array<int>, marked long, "
-               "documents array<struct<doc_id:long,mark:boolean,size:long>>")
 _DOCUMENTS = pa.list_(pa.struct([("doc_id", pa.int64()), ("mark", pa.bool_()), ("size", pa.int64())]))
 
 
