@@ -46,9 +46,10 @@ def put_numeric(c, width: int, align: str = "right") -> Column:
     ``align="left"`` gives the text without leading blanks.  A number that needs more than
     ``width`` characters shows as asterisks.
     """
-    number = F.round(_col(c)).cast("bigint").cast("string")
-    text = F.coalesce(number, F.lit("."))
-    text = F.when(F.length(text) > width, F.lit("*" * width)).otherwise(text)
+    number = F.round(_col(c))
+    small = F.abs(number) < 1e18
+    text = F.coalesce(F.when(small, number).cast("bigint").cast("string"), F.lit("."))
+    text = F.when(~small | (F.length(text) > width), F.lit("*" * width)).otherwise(text)
     return text if align == "left" else F.lpad(text, width, " ")
 
 
@@ -56,7 +57,9 @@ def put_best(c) -> Column:
     """Shortest plain text of a number: whole numbers without decimals, missing as a period."""
     c = _col(c).cast("double")
     whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
-    text = F.when(whole, c.cast("bigint").cast("string")).otherwise(c.cast("string"))
+    # Plain notation where 38 digits hold the number: doubles between 1e-15 and 1e15 have 17 at most.
+    plain = F.regexp_replace(F.when((F.abs(c) < 1e15) & (F.abs(c) >= 1e-6), c).cast("decimal(38,22)").cast("string"), r"\.?0+$", "")
+    text = F.when(whole, F.when(whole, c).cast("bigint").cast("string")).otherwise(F.coalesce(plain, c.cast("string")))
     return F.coalesce(text, F.lit("."))
 
 
@@ -102,9 +105,10 @@ def dollar_format(c, width: int = 9, decimals: int = 2) -> Column:
     by one; a number that still does not fit shows as asterisks.  Missing shows as a period.
     """
     c = _col(c)
-    plain = F.format_number(c, decimals)
+    shown = lambda d: F.format_number(F.round(c, d), d)  # noqa: E731  (halves go up)
+    plain = shown(decimals)
     shapes = [F.concat(F.lit("$"), plain), plain]
-    shapes += [F.translate(F.format_number(c, d), ",", "") for d in range(decimals, -1, -1)]
+    shapes += [F.translate(shown(d), ",", "") for d in range(decimals, -1, -1)]
     text = F.when(c.isNull(), F.lit("."))
     for shape in shapes:
         text = text.when(F.length(shape) <= width, shape)

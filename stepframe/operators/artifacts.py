@@ -132,17 +132,17 @@ def artifact_fallback(completeness: DataFrame) -> DataFrame:
 def suffix_reconcile(jobs: DataFrame, listing: DataFrame) -> DataFrame:
     """Code stored with the other suffix is listed under the expected name.
 
-    Only where the expected file is not there.  Run this before ``artifact_fallback``, or the
+    Only where the expected file is not there; files of unknown jobs stay as they are.  Run this before ``artifact_fallback``, or the
     default would hide good code.
     """
     ext = code_suffixes(jobs, listing)
     names = F.col("file_name").isin(F.concat("job", F.lit(".sql")), F.concat("job", F.lit(".py")))
-    is_code = (F.col("task") == CODE_TASK) & names
-    code = listing.where(is_code).join(ext, "job")
+    is_code = F.coalesce((F.col("task") == CODE_TASK) & names, F.lit(False))
+    code = listing.where(is_code).join(ext, "job", "left")
     code = code.withColumn("_expected", F.concat_ws(".", "job", "ext"))
     # At most two rows per job meet in this window: the two possible names of its code file.
     has = F.max(F.col("file_name") == F.col("_expected")).over(Window.partitionBy("job"))
-    fixed = code.withColumn("renamed", ~has).withColumn(
+    fixed = code.withColumn("renamed", ~has & F.col("ext").isNotNull()).withColumn(
         "file_name", F.when(F.col("renamed"), F.col("_expected")).otherwise(F.col("file_name")))
     others = listing.where(~is_code).withColumn("renamed", F.lit(False))
     return others.unionByName(fixed.select(*others.columns))

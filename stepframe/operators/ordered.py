@@ -70,6 +70,8 @@ def _running_window(df, by, order_by, sums, lasts) -> DataFrame:
 
 
 def _running_chunked(df, by, order_by, sums, lasts) -> DataFrame:
+    # Sums of sums are wider, stored structs may hold nulls: both ways give the window's types.
+    types = {f.name: f.dataType.simpleString() for f in _running_window(df, by, order_by, sums, lasts).schema.fields}
     laid = _lay_out(df, [*by, *order_by])
     laid = laid.withColumns({f"_sf_v_{o}": e for o, e in {**sums, **lasts}.items()})
     group = [_CHUNK, *by]
@@ -86,12 +88,12 @@ def _running_chunked(df, by, order_by, sums, lasts) -> DataFrame:
         totals.append(F.max_by(F.col(f"_sf_v_{o}"), at).alias(f"_sf_t_{o}"))
         before.append(F.last(f"_sf_t_{o}", ignorenulls=True).over(earlier).alias(f"_sf_b_{o}"))
         here = F.last(f"_sf_v_{o}", ignorenulls=True).over(w)
-        new[o] = F.coalesce(here, F.col(f"_sf_b_{o}"))
+        new[o] = F.coalesce(here.cast(types[o]), F.col(f"_sf_b_{o}").cast(types[o]))
     starts = _sized(laid.groupBy(*group).agg(*totals).select(*group, *before), "starts")
     joined = laid.alias("l").join(starts.alias("s"), _same("l", "s", group), "left")
     joined = joined.select("l.*", *[f"s.`_sf_b_{o}`" for o in {**sums, **lasts}])
     kept = [c for c in df.columns if c not in new]
-    return joined.withColumns(new).select(*kept, *new)
+    return joined.withColumns({o: c.cast(types[o]) for o, c in new.items()}).select(*kept, *new)
 
 
 def running(df: DataFrame, by: Sequence[str], order_by: Sequence[str | Column],
@@ -213,17 +215,13 @@ def usage_limit_flag(requests: DataFrame, by: Sequence[str], order_by: Sequence[
                      limit: int, request_key: str) -> DataFrame:
     """Accept the first ``limit`` requests per group; later ones are rejected and not counted.
 
-    Only accepted requests need a number, so each group is cut to ``limit`` rows before the
-    shuffle; the join back is on the unique request key and spreads a hot group evenly.
+    Every row is a request, also where ``request_key`` repeats; the key only breaks ties of the order.
     """
-    order = [F.col(c).asc() for c in order_by]
-    needed = requests.select(*dict.fromkeys([*by, *order_by, request_key]))
-    accepted = top_n_per_group(needed, by, order, limit, "used_after")
-    accepted = accepted.select(request_key, "used_after")
-    flagged = requests.join(accepted, request_key, "left")
-    return flagged.withColumns({
-        "accepted": F.col("used_after").isNotNull(),
-        "used_after": F.coalesce(F.col("used_after"), F.lit(limit))})
+    order = list(dict.fromkeys([*order_by, request_key]))
+    numbered = positions(requests, by, order, out="used_after")
+    return numbered.withColumns({
+        "accepted": F.col("used_after") <= limit,
+        "used_after": F.least(F.col("used_after"), F.lit(limit)).cast("int")})
 
 
 def versions(changes: DataFrame, key: Sequence[str], order_by: Sequence[str | Column],

@@ -16,11 +16,15 @@ from pyspark.sql import functions as F
 COMMENT = r"(?s)/\*.*?\*/"
 STEP_START = r"(?i)(^|;)\s*(data|proc)\s"
 NAME = r"([A-Za-z_][A-Za-z0-9_.]*)"
-OUTPUT_TABLE = rf"(?i)(?:^data\s+|\bout\s*=\s*|\bcreate\s+(?:table|view)\s+){NAME}"
-INPUT_TABLE = rf"(?i)(?:\bset\s+|\bmerge\s+|\bfrom\s+|\bjoin\s+|\sdata\s*=\s*){NAME}"
+QUOTED = r"'[^']*'|\"[^\"]*\""
+OPTIONS = r"\([^()]*\)"
 MACRO = r"(?i)%(?:macro|let|if|do)\b"
 # Fixed list (ours): procedures that count as advanced statistics.
 ADVANCED = ("reg", "glm", "logistic", "mixed", "arima", "genmod", "nlin", "phreg", "varclus")
+# Fixed list: words of the macro language that call no macro.
+MACRO_WORDS = ("macro mend let if then else do to by end while until global local put include eval sysevalf sysfunc "
+               "qsysfunc str nrstr quote bquote nrbquote superq scan upcase lowcase substr length index return goto abort "
+               "sysexec sysget symdel").split()
 _MARK = "\u0001"
 
 
@@ -36,18 +40,63 @@ def script_step_inventory(scripts: DataFrame, text: str = "text") -> DataFrame:
                         F.nullif(proc, F.lit("")).alias("proc"), F.col("s").alias("text"))
 
 
+def _listed(text: Column) -> Column:
+    """Table names of a list such as ``a(in=x) b end=last``, in lower case: without options of either kind."""
+    bare = F.regexp_replace(F.regexp_replace(text, OPTIONS, " "), r"[A-Za-z_]\w*\s*=\s*[^\s;]+", " ")
+    return F.transform(F.regexp_extract_all(F.split_part(bare, F.lit("/"), F.lit(1)), F.lit(NAME), F.lit(1)), F.lower)
+
+
+def _named(statement: Column, pattern: str) -> Column:
+    """Names that the pattern's group catches, in lower case."""
+    return F.transform(F.regexp_extract_all(statement, F.lit(pattern), F.lit(1)), F.lower)
+
+
+def _from_lists(statement: Column) -> Column:
+    """Tables of FROM lists and joins: the first name of each part between commas."""
+    lists = F.regexp_extract_all(statement, F.lit(
+        r"(?i)\b(?:from|join)\s+([^();]*?)(?=\bwhere\b|\bgroup\b|\border\b|\bhaving\b|\bon\b|\bleft\b|\bright\b"
+        r"|\binner\b|\bfull\b|\bcross\b|\bnatural\b|\bjoin\b|\bunion\b|[()]|$)"), F.lit(1))
+    first = F.transform(F.flatten(F.transform(lists, lambda x: F.split(x, ","))),
+                        lambda x: F.lower(F.regexp_extract(x, rf"^\s*{NAME}", 1)))
+    return F.filter(first, lambda x: x != "")
+
+
 def script_lineage_edges(steps: DataFrame) -> DataFrame:
-    """Distinct (script_id, src, dst): tables a step reads and the tables it makes."""
-    found = steps.select(
-        "script_id",
-        F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(INPUT_TABLE), F.lit(1)),
-                                     F.lower)).alias("srcs"),
-        F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(OUTPUT_TABLE), F.lit(1)),
-                                     F.lower)).alias("dsts"))
-    one = found.select("script_id", "dsts", F.explode("srcs").alias("src"))
+    """Distinct (script_id, src, dst): tables that are read and the tables made from them.
+
+    In PROC SQL source and target belong to one statement, elsewhere to one step.  Lists of SET,
+    MERGE and FROM count in full.  A sort without OUT, UPDATE and DELETE write what they read; an
+    append writes its base.
+    """
+    bare = F.regexp_replace("text", QUOTED, " ")
+    statements = F.transform(F.split(bare, ";"), lambda x: F.trim(x))
+    is_sql = F.coalesce(F.col("proc") == "sql", F.lit(False))
+    units = steps.select("script_id", "kind", "proc", F.explode(F.when(is_sql, statements).otherwise(F.array(bare))).alias("s"))
+    s = F.col("s")
+    own = _named(s, rf"(?i)^(?:update|delete\s+from)\s+{NAME}")
+    made = F.concat(_named(s, rf"(?i)\bcreate\s+(?:table|view)\s+{NAME}"), _named(s, rf"(?i)^insert\s+into\s+{NAME}"))
+    data_out = _listed(F.regexp_extract(s, r"(?i)^data\s+([^;]*)", 1))
+    data_in = F.flatten(F.transform(F.regexp_extract_all(s, F.lit(r"(?i);\s*(?:set|merge|update|modify)\s+([^;]*)"), F.lit(1)), _listed))
+    read, out = _named(s, rf"(?i)\bdata\s*=\s*{NAME}"), _named(s, rf"(?i)\bout\s*=\s*{NAME}")
+    in_place = (F.col("proc") == "sort") & (F.size(out) == 0)
+    is_data = F.col("kind") == "data"
+    srcs = F.when(is_data, data_in).when(is_sql, F.concat(own, F.when(F.size(own) > 0, F.array()).otherwise(_from_lists(s)))).otherwise(read)
+    dsts = (F.when(is_data, F.filter(data_out, lambda x: x != "_null_")).when(is_sql, F.concat(own, made)).when(in_place, read)
+            .when(F.col("proc") == "append", _named(s, rf"(?i)\bbase\s*=\s*{NAME}")).otherwise(out))
+    one = units.select("script_id", dsts.alias("dsts"), F.explode(srcs).alias("src"))
     return one.select("script_id", "src", F.explode("dsts").alias("dst")).distinct()
 
 
+def script_macro_edges(scripts: DataFrame, text: str = "text") -> DataFrame:
+    """Distinct (script_id, macro, role): macros that a script defines and those that it calls."""
+    plain = F.regexp_replace(F.regexp_replace(F.col(text), COMMENT, " "), r"'[^']*'", " ")
+    defined = _named(plain, r"(?i)%macro\s+([A-Za-z_]\w*)")
+    called = F.filter(_named(plain, r"%([A-Za-z_]\w*)"), lambda x: ~x.isin(MACRO_WORDS))
+    pairs = F.concat(F.transform(defined, lambda m: F.struct(m.alias("macro"), F.lit("defined").alias("role"))),
+                     F.transform(called, lambda m: F.struct(m.alias("macro"), F.lit("called").alias("role"))))
+    return scripts.select("script_id", F.inline(pairs)).distinct()
+
+
 def script_dependency_count(edges: DataFrame, by: Sequence[str] = ("script_id",)) -> DataFrame:
     """Distinct upstream tables per script or per any coarser grouping."""
     return edges.groupBy(*by).agg(F.count_distinct("src").alias("dependencies_count"))

