@@ -6,7 +6,9 @@ Each comparison below is an ordinary expression that never returns NULL.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -40,7 +42,14 @@ def missing_ge(a, b) -> Column:
 
 
 def is_missing(c) -> Column:
-    return _col(c).isNull()
+    """NULL, or a text that is empty or all blanks."""
+    return F.coalesce(F.rtrim(_col(c).cast("string")), F.lit("")) == ""
+
+
+def plain_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``df`` with these text columns as keys: without trailing blanks, blank ones NULL."""
+    text = [c for c, kind in df.dtypes if c in columns and kind == "string"]
+    return df.withColumns({c: F.nullif(F.rtrim(F.col(f"`{c}`")), F.lit("")) for c in text}) if text else df
 
 
 def is_blank(c) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stepframe.operators.ordered import _same
+from stepframe.session import replace_table
 
 
 def align_to_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -36,8 +37,11 @@ def append_force(base: DataFrame, data: DataFrame) -> DataFrame:
 
 
 def table_load_replace(df: DataFrame, schema: T.StructType, path: str) -> DataFrame:
-    """Store ``df`` as a new table of the declared schema at ``path`` and read it back."""
-    align_to_schema(df, schema).write.mode("overwrite").parquet(path)
+    """Store ``df`` as a new table of the declared schema at ``path`` and read it back.
+
+    The old table is there until the new one is complete.
+    """
+    replace_table(align_to_schema(df, schema), path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 

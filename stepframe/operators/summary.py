@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stepframe.functions.missing import plain_text
+
 
 # Statistics that can be put together from those of the finest classes: partial aggregates per
 # class, and the statistic from the partials of several classes.
@@ -39,6 +41,7 @@ def class_means(df: DataFrame, classes: Sequence[str], stats: dict[str, Column |
     """
     k = len(classes)
     full = (1 << k) - 1
+    df = plain_text(df, classes)
     if not include_missing:
         df = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in classes]))
     named = all(isinstance(s, tuple) for s in stats.values())
@@ -75,7 +78,7 @@ def freq_oneway(df: DataFrame, column: str, include_missing: bool = False) -> Da
     unless ``include_missing``.  The total is a scalar subquery over the counts, whose shuffle
     both share: the table is read once, and there is no unpartitioned window.
     """
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).cast("bigint").alias("COUNT"))
+    counts = plain_text(df, [column]).groupBy(column).agg(F.count(F.lit(1)).cast("bigint").alias("COUNT"))
     base = F.lit(True) if include_missing else F.col(column).isNotNull()
     total = counts.select(F.sum(F.when(base, F.col("COUNT")))).scalar()
     percent = F.col("COUNT") * F.lit(100.0) / total

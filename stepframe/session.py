@@ -58,6 +58,25 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def replace_table(df: DataFrame, path: str, **options: str) -> None:
+    """Store ``df`` at ``path`` in place of what is there, which stays until all is written.
+
+    A write that fails leaves the old table as it was; ``df`` may read it.
+    """
+    spark, new, old = df.sparkSession, f"{path.rstrip('/')}-new-{uuid.uuid4().hex}", f"{path.rstrip('/')}-old-{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(new)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+
+    def swap(fs, p) -> None:
+        if fs.exists(p):
+            fs.rename(p, at(old))
+        fs.rename(at(new), p)
+        fs.delete(at(old), True)
+
+    _files(spark, path.rstrip("/"), swap)
+    spark.catalog.refreshByPath(path)
+
+
 def scale_conf(input_bytes: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
     """Session settings for a job over ``input_bytes`` of data.
 

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepframe.functions.scalars import path_segment_after
+from stepframe.session import replace_table
 
 
 def library_write(df: DataFrame, library: str, table: str) -> str:
     """Replace a table of a library and return where it is."""
     if "/" in library:
         path = f"{library.rstrip('/')}/{table}.parquet"
-        df.write.mode("overwrite").parquet(path)
+        replace_table(df, path)
         return path
     df.write.mode("overwrite").saveAsTable(f"{library}.{table}")
     return f"{library}.{table}"

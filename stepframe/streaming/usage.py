@@ -40,3 +40,16 @@ def stream_monthly_usage(requests: DataFrame, out_path: str, checkpoint: str,
 def months_of(days: DataFrame, user: str = "user_id") -> DataFrame:
     return days.groupBy(user, F.year("day").alias("year"), F.month("day").alias("month")).agg(
         F.sum("request_count").cast("bigint").alias("request_count"))
+
+
+def months_so_far(requests: DataFrame, days: DataFrame, user: str = "user_id", at: str = "ts",
+                  event: str = "event_id") -> DataFrame:
+    """Months from the closed days and, counted in batch, the requests of the days that are still open.
+
+    ``requests`` is the table behind the stream; only rows after the last closed day are read.
+    """
+    day = F.to_date(at)
+    last = days.select(F.max("day")).scalar()
+    tail = requests.where(last.isNull() | (day > last)).select(user, event, day.alias("day")).dropDuplicates([event])
+    still_open = tail.groupBy(user, "day").agg(F.count(F.lit(1)).cast("bigint").alias("request_count"))
+    return months_of(days.select(user, "day", "request_count").unionByName(still_open), user)

@@ -91,3 +91,23 @@ def test_compare_needs_equal_columns(spark):
         sets.dataset_compare(a, a.withColumn("more", F.lit(1)), ["id"])
     with pytest.raises(ValueError):
         sets.dataset_compare(a, a, tol=0.1)
+
+
+def test_blank_classes_are_missing(spark):
+    from stepframe.functions import is_missing
+    from stepframe.operators.summary import class_means, freq_oneway
+    df = spark.createDataFrame([("a", 1.0), ("a  ", 3.0), ("", 5.0), ("  ", 7.0), (None, 9.0)], "c string, x double")
+    assert sorted(((r.c, r.COUNT, r.PERCENT) for r in freq_oneway(df, "c").collect()), key=str) == [("a", 2, 100.0), (None, 3, None)]
+    got = class_means(df, ["c"], {"m": ("mean", "x")}).collect()
+    assert sorted(((r.c, r["_FREQ_"], r.m) for r in got), key=str) == [("a", 2, 2.0), (None, 2, 2.0)]
+    assert [r[0] for r in df.select(is_missing("c")).collect()] == [False, False, True, True, True]
+
+
+def test_failed_replace_leaves_the_old_table(spark, tmp_path):
+    path = f"file://{tmp_path}/table"
+    session.replace_table(spark.range(3), path)
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        session.replace_table(spark.range(5).select((F.lit(1) / F.col("id")).alias("id")), path)
+    assert spark.read.parquet(path).count() == 3
+    session.replace_table(spark.read.parquet(path).unionAll(spark.range(2)), path)
+    assert spark.read.parquet(path).count() == 5

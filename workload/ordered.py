@@ -91,16 +91,16 @@ def surrogate_key_new(t):
 @query("surrogate_key_keep_all", """
 WITH m AS (SELECT MAX(p_partkey) + 1000 AS last FROM part WHERE p_size <= 25)
 SELECT l_partkey AS p_partkey, l_orderkey, p_partkey + 1000 AS part_id, p_retailprice AS old_price
-FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem WHERE l_quantity > 45) JOIN part ON p_partkey = l_partkey WHERE p_size <= 25
+FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem) JOIN part ON p_partkey = l_partkey WHERE p_size <= 25
 UNION ALL
 SELECT l_partkey, l_orderkey, last + ROW_NUMBER() OVER (ORDER BY l_partkey, l_orderkey), NULL
-FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem WHERE l_quantity > 45), m
+FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem), m
 WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 25)
 UNION ALL
 SELECT p_partkey, NULL, p_partkey + 1000, p_retailprice FROM part
-WHERE p_size <= 25 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)""")
+WHERE p_size <= 25 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem)""")
 def surrogate_key_keep_all(t):
-    source = t.lineitem.where("l_quantity > 45").selectExpr("l_partkey AS p_partkey", "l_orderkey").distinct()
+    source = t.lineitem.selectExpr("l_partkey AS p_partkey", "l_orderkey").distinct()
     return W.surrogate_keys(source, known_parts(t), ["p_partkey"], "part_id", ["l_orderkey"], keep="all")
 
 

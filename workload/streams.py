@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from stepframe.session import scratch_path
-from stepframe.streaming import StatusTable, months_of, stream_monthly_usage, stream_status_upsert
+from stepframe.streaming import StatusTable, months_so_far, stream_monthly_usage, stream_status_upsert
 from workload.loads import CHANGE_ORDER, UPSERT_SQL, change_log, task_table
 from workload.registry import query
 
@@ -16,14 +16,15 @@ def stream_of(t, table: str):
 
 @query("stream_monthly_usage", """
 SELECT user_id, CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month, COUNT(*) AS request_count
-FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT MAX(ts) - INTERVAL 1 HOUR FROM events)
+FROM events
 GROUP BY user_id, year(ts), month(ts)""")
 def usage(t):
-    """Days that the watermark has passed, summed to months."""
+    """Days that the watermark has passed and those still open, summed to months."""
     out = scratch_path(t.spark, "usage-days")
     run = stream_monthly_usage(stream_of(t, "events"), out, scratch_path(t.spark, "usage-state"))
     run.awaitTermination()
-    return months_of(t.spark.read.schema("user_id bigint, day date, request_count bigint").parquet(out))
+    days = t.spark.read.schema("user_id bigint, day date, request_count bigint").parquet(out)
+    return months_so_far(t.events, days)
 
 
 @query("stream_status_upsert", UPSERT_SQL)
