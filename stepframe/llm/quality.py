@@ -2,8 +2,8 @@
 
 Lines are normalised and hashed.  A line's count is the number of distinct documents of the host that
 hold it; lines above the limit are removed, and a document that loses nearly all its words is
-rejected.  Copies must not pass for boilerplate: equal texts are one document, and documents that
-share their other lines as well (near copies) are one family and count once.
+rejected.  Copies must not pass for boilerplate: equal texts are one document, and a line stays if
+much of its documents are of one family, alike in their other lines as well (near copies).
 """
 
 from __future__ import annotations
@@ -89,30 +89,50 @@ def line_table(text: Column) -> Column:
         line_hash(x).alias("line"), F.regexp_count(x, F.lit(WORD)).alias("n")))
 
 
-def common_lines(lines: DataFrame, documents: DataFrame, min_documents: int, min_share: float) -> DataFrame:
-    """Rows (host, line) of the lines above the limit, from distinct rows (host, doc, line) and (host, doc).
+def least_run(line: Column) -> Column:
+    """Least hash of the five-word runs of a normalised line; a shorter line is one run."""
+    def least(ws: Column) -> Column:
+        return F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - (RUN - 1), F.lit(1))),
+                                       lambda i: F.xxhash64(F.slice(ws, i, RUN))))
+    return let(F.split(line, " "), least)
 
-    The limit is the larger of ``min_documents`` and ``min_share`` of the host's distinct documents.
-    A document's family, for one of its lines, is the least hash among its *other* lines that some
-    document shares; without any it is the document itself.  So documents that have nothing but the
-    line in common count each, and near copies count once.  All counts are partial aggregates.
+
+def lines_with_family(text: Column, doc: Column) -> Column:
+    """Distinct normalised lines (line, family) of a text.
+
+    A line's family is the least run of the text's *other* lines, the document itself without any:
+    near copies mostly agree in it, documents that have only this line in common don't.
+    """
+    def of(lines: Column) -> Column:
+        def family(least: Column) -> Column:
+            first, second = F.get(least, F.lit(0)), F.get(least, F.lit(1))
+            return F.transform(lines, lambda x: F.struct(x["line"].alias("line"), F.coalesce(
+                F.when(x["least"] == first, second).otherwise(first), doc).alias("family")))
+        return let(F.sort_array(F.transform(lines, lambda x: x["least"])), family)
+
+    told = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    lines = F.array_distinct(F.transform(F.transform(told, normal_line), lambda x: F.struct(
+        F.xxhash64(x).alias("line"), least_run(x).alias("least"))))
+    return let(lines, of)
+
+
+def common_lines(lines: DataFrame, documents: DataFrame, min_documents: int, min_share: float, max_family: float) -> DataFrame:
+    """Rows (host, line) of the lines above the limit, from distinct rows (host, doc, line, family) and (host, doc).
+
+    The limit is the larger of ``min_documents`` and ``min_share`` of the host's distinct documents; a
+    line of which one family has more than ``max_family`` of the documents belongs to a text that is
+    copied and stays.  All counts are partial aggregates, so a line of all documents is no hot group.
     """
-    shared = lines.groupBy("host", "line").agg(F.count("*").alias("n")).filter("n >= 2").select(
-        F.col("host").alias("host_"), F.col("line").alias("line_"), "n")
-    rows = lines.join(shared, same({"host": "host_", "line": "line_"}))
-    least = rows.groupBy("host", "doc").agg(F.sort_array(F.collect_set(F.struct("line", "n"))).alias("all"))
-    first, second = F.get("all", F.lit(0))["line"], F.get("all", F.lit(1))["line"]
-    family = F.coalesce(F.when(F.col("x.line") == first, second).otherwise(first), F.col("doc"))
-    counted = (least.select("host", "doc", "all", F.explode("all").alias("x")).filter(F.col("x.n") > min_documents)
-               .select("host", F.col("x.line").alias("line"), family.alias("family")).distinct()
-               .groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > min_documents))
+    families = lines.groupBy("host", "line", "family").agg(F.count("*").alias("n"))
+    counted = families.groupBy("host", "line").agg(F.sum("n").alias("n"), F.max("n").alias("most")).filter(
+        (F.col("n") > min_documents) & (F.col("most") <= F.col("n") * max_family))
     hosts = documents.groupBy("host").agg(F.count("*").alias("docs")).withColumnRenamed("host", "host_")
     return counted.join(hosts, same({"host": "host_"})).filter(
         F.col("n") > F.col("docs") * min_share).select("host", "line")
 
 
 def quality_rules(docs: DataFrame, min_documents: int = 20, min_share: float = 0.005, min_left: float = 0.1,
-                  host: str = "source") -> DataFrame:
+                  max_family: float = 0.2, host: str = "source") -> DataFrame:
     """``docs`` with the counts of ``measures`` (long), ``base_failed``, ``clean_text``, ``removed_words`` and ``kept``.
 
     Needs ``text`` and the host column.  A document is kept if it passes the base rules (10 words or
@@ -124,11 +144,10 @@ def quality_rules(docs: DataFrame, min_documents: int = 20, min_share: float = 0
     names = ("host", "doc", "lines")
     base = docs.select("*", measures(F.col("text")).alias(OWN + "m"), *[c.alias(OWN + n) for n, c in zip(names, (
         F.col(host), F.xxhash64("text"), line_table(F.col("text"))))])
-    documents = (docs.select(F.col(host).alias("host"), F.xxhash64("text").alias("doc"), F.array_distinct(F.filter(F.transform(
-        F.split(F.coalesce("text", F.lit("")), "\n"), line_hash), lambda h: h.isNotNull())).alias("lines"))
-        .dropDuplicates(["host", "doc"]))
-    lines = documents.select("host", "doc", F.explode("lines").alias("line"))
-    common = common_lines(lines, documents, min_documents, min_share).select(
+    documents = (docs.select(F.col(host).alias("host"), F.xxhash64("text").alias("doc"), lines_with_family(
+        F.col("text"), F.xxhash64("text")).alias("lines")).dropDuplicates(["host", "doc"]))
+    lines = documents.select("host", "doc", F.explode("lines").alias("x")).select("host", "doc", "x.line", "x.family")
+    common = common_lines(lines, documents, min_documents, min_share, max_family).select(
         F.col("host").alias("host_"), F.col("line").alias("line_"))
     removed = (lines.join(common, same({"host": "host_", "line": "line_"})).groupBy("host", "doc")
                .agg(F.collect_set("line").alias("gone"))
