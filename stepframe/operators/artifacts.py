@@ -71,46 +71,47 @@ def code_suffixes(jobs: DataFrame, listing: DataFrame) -> DataFrame:
     """(job, ext) for every job: 'py' if its decision document says exactly PySpark, else 'sql'."""
     decision = listing.where((F.col("task") == DECISION_TASK)
                              & (F.col("file_name") == EXPECTED_FILES[DECISION_TASK]))
-    chosen = decision.select("job", json_field("content", "platform_choice").alias("_choice"))
-    ext = F.when(F.col("_choice") == "PySpark", F.lit("py")).otherwise(F.lit("sql"))
+    python = json_field("content", "platform_choice") == "PySpark"
+    chosen = decision.select("job", python.alias("_py")).groupBy("job").agg(F.max("_py").alias("_py"))
+    ext = F.when(F.col("_py"), F.lit("py")).otherwise(F.lit("sql"))
     return jobs.select("job").join(chosen, "job", "left").select("job", ext.alias("ext"))
 
 
-def artifact_completeness(jobs: DataFrame, listing: DataFrame) -> DataFrame:
-    """Each expected artifact (five per job) with its content and whether it is there.
+def artifact_completeness(jobs: DataFrame, listing: DataFrame, content: bool = True) -> DataFrame:
+    """Each expected artifact (five per job), whether it is there, and its content unless told otherwise.
 
-    The few expected files of a job are gathered into one row first, so the jobs are joined
-    once and become five rows only after that; other files are dropped before the shuffle.
+    Which files of a job are there comes from flags by a hash aggregate that reads no text; the
+    text of decision documents alone is read for the suffix.  Contents are fetched by one
+    equality join on the file, where they are asked for.
     """
     names = {t: F.lit(n) for t, n in EXPECTED_FILES.items() if t != CODE_TASK}
     names |= {f"{CODE_TASK}.{x}": F.concat("job", F.lit(f".{x}")) for x in ("sql", "py")}
     slot = F.when(F.lit(False), F.lit(""))
     for s, name in names.items():
         slot = slot.when((F.col("task") == s.split(".")[0]) & (F.col("file_name") == name), F.lit(s))
-    files = listing.select("job", slot.alias("_slot"), "content").where("_slot is not null")
-    found = files.groupBy("job").agg(*[
-        F.first(F.when(F.col("_slot") == s, F.struct("content")), ignorenulls=True).alias(f"_{s}")
-        for s in names])
-    rows = jobs.select("job").join(found, "job", "left")
-    choice = json_field(F.col(f"_{DECISION_TASK}.content"), "platform_choice")
-    ext = F.when(choice == "PySpark", F.lit("py")).otherwise(F.lit("sql"))
-    rows = rows.withColumn("ext", ext)
+    files = listing.withColumn("_slot", slot).where("_slot is not null")
+    found = files.select("job", "_slot").groupBy("job").agg(*[
+        F.max(F.col("_slot") == s).alias(f"_{s}") for s in names])
+    rows = code_suffixes(jobs, listing).join(found, "job", "left")
 
     def entry(task: str) -> Column:
-        name, file = F.lit(EXPECTED_FILES[task]), F.col(f"`_{task}`") if task != CODE_TASK else None
+        name, there = F.lit(EXPECTED_FILES[task]), F.col(f"`_{task}`") if task != CODE_TASK else None
         if task == CODE_TASK:
             name = F.concat_ws(".", "job", "ext")
-            file = F.when(F.col("ext") == "py", F.col(f"`_{task}.py`")).otherwise(F.col(f"`_{task}.sql`"))
+            there = F.when(F.col("ext") == "py", F.col(f"`_{task}.py`")).otherwise(F.col(f"`_{task}.sql`"))
         return F.struct(F.lit(task).alias("task"), name.alias("file_name"),
-                        file["content"].alias("content"), file.isNotNull().alias("present"))
+                        F.coalesce(there, F.lit(False)).alias("present"))
 
-    every = F.inline(F.array(*[entry(t) for t in EXPECTED_FILES]))
-    return rows.select("job", "ext", every).select(
+    every = rows.select("job", "ext", F.inline(F.array(*[entry(t) for t in EXPECTED_FILES])))
+    if not content:
+        return every.select("job", "task", "ext", "file_name", "present")
+    texts = files.select("job", "task", "file_name", "content")
+    return every.join(texts, ["job", "task", "file_name"], "left").select(
         "job", "task", "ext", "file_name", "content", "present")
 
 
 def job_verdict(completeness: DataFrame) -> DataFrame:
-    """Per job: artifacts present and whether all are."""
+    """Per job: artifacts present and whether all are.  Completeness without content is enough."""
     present = F.count(F.when(F.col("present"), 1)).cast("bigint")
     return completeness.groupBy("job").agg(
         present.alias("n_present"),
@@ -185,7 +186,7 @@ def context_bundle(listing: DataFrame, suffixes: Sequence[str] = CONTEXT_SUFFIXE
                     F.coalesce(text_head("content", head), F.lit("")))
     rows = rows.select("job", "agent", "file_name", part.alias("_part"))
     numbered = positions(rows, ["job", "agent"], ["file_name"], "_rn", hot_rows)
-    page = F.floor((F.col("_rn") - 1) / page_size).cast("bigint").alias("page")
+    page = F.expr(f"(_rn - 1) div {page_size}").alias("page")
     parts = F.array_sort(F.collect_list(F.struct("_rn", "_part")))
     return numbered.groupBy("job", "agent", page).agg(
         F.count(F.lit(1)).cast("bigint").alias("n_files"),

@@ -134,14 +134,15 @@ def in_target(source: DataFrame, target: DataFrame, by: Sequence[str],
 
 
 def range_join(df: DataFrame, ranges: DataFrame, value: str, low: str, high: str,
-               missing_low: bool = True) -> DataFrame:
+               missing_low: bool = True, salts: int = 64) -> DataFrame:
     """Inner join on ``value between low and high`` as an equality join over buckets.
 
     Each range is filed under a power of two above its length, so it touches at most two
     buckets of that width whatever its length; a value looks up one bucket per width in use.
     The work is a hash or sort-merge join that Spark can broadcast by size or split, never a
-    comparison of every value with every range.  Endless ranges share one bucket.  Both
-    bounds are included.  With ``missing_low`` a missing value or bound counts as lower than
+    comparison of every value with every range.  An endless range would meet all values in
+    one bucket: it is filed under ``salts`` buckets, and a row looks up the one its columns
+    hash to.  Both bounds are included.  With ``missing_low`` a missing value or bound counts as lower than
     every number.
     """
     lowest, any_width = F.lit(-sys.float_info.max), F.lit(2000)
@@ -164,11 +165,15 @@ def range_join(df: DataFrame, ranges: DataFrame, value: str, low: str, high: str
         # Adding zero turns -0.0 into 0.0; as two entries they would match the same rows twice.
         return F.rint(F.col(c) / width) + F.lit(0.0)
 
-    ends = F.array_distinct(F.array(bucket("_sf_lo"), bucket("_sf_hi")))
+    every = F.transform(F.sequence(F.lit(0), F.lit(salts - 1)), lambda s: s.cast("double"))
+    ends = F.when(F.col("_sf_level") == any_width, every).otherwise(
+        F.array_distinct(F.array(bucket("_sf_lo"), bucket("_sf_hi"))))
     filed = filed.withColumn("_sf_bucket", F.explode(ends)).drop("_sf_lo", "_sf_hi")
     probe = df.withColumns({"_sf_v": num(value), "_sf_levels": levels}).where("_sf_v is not null")
     probe = probe.withColumn("_sf_level", F.explode("_sf_levels"))
-    probe = probe.withColumn("_sf_bucket", bucket("_sf_v"))
+    # A hash and no random number: a task that is run again files its rows alike.
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salts)).cast("double")
+    probe = probe.withColumn("_sf_bucket", F.when(F.col("_sf_level") == any_width, salt).otherwise(bucket("_sf_v")))
     v, a, b = F.col(value), F.col(low), F.col(high)
     inside = (missing_le(a, v) & missing_le(v, b)) if missing_low else v.between(a, b)
     joined = probe.drop("_sf_v", "_sf_levels").join(filed, ["_sf_level", "_sf_bucket"])
@@ -197,14 +202,11 @@ def nest_children(parents: DataFrame, children: DataFrame, key: str,
     """
     numbered = positions(children.select(*dict.fromkeys([key, *order_by, *columns])),
                          [key], order_by, "_sf_rn", hot_rows)
-    page = F.floor((F.col("_sf_rn") - 1) / page_size).cast("bigint")
+    page = F.expr(f"(_sf_rn - 1) div {page_size}")
     item = F.struct("_sf_rn", *columns)
     pages = numbered.withColumn("page", page).groupBy(key, "page").agg(
         F.transform(F.array_sort(F.collect_list(item)),
                     lambda x: F.struct(*[x[c].alias(c) for c in columns])).alias(out))
-    with_children = parents.join(pages, key)
-    empty = F.lit(None).cast(pages.schema[out].dataType)
-    empty = F.coalesce(empty, F.array().cast(pages.schema[out].dataType))
-    without = parents.join(children.select(key).distinct(), key, "left_anti")
-    without = without.withColumns({"page": F.lit(0).cast("bigint"), out: empty})
-    return with_children.unionByName(without)
+    none = F.array().cast(pages.schema[out].dataType)
+    return parents.join(pages, key, "left").withColumns({
+        "page": F.coalesce("page", F.lit(0).cast("bigint")), out: F.coalesce(out, none)})

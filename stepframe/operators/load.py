@@ -157,14 +157,16 @@ def counter_upsert(counters: DataFrame, events: DataFrame, by: Sequence[str],
                    count: str = "request_count", limit: Column | int | None = None) -> DataFrame:
     """Add the events to their counters; a counter that is not there starts at 0.
 
-    With a limit, events beyond it are refused and do not count.  Events are counted per
-    group before they meet the counters.
+    With a limit, events beyond it are refused and do not count; a limit column is one of the
+    keys'.  Counters and events are one table with one shuffle, and both combine before it.
     """
-    batch = events.groupBy(*by).agg(F.count(F.lit(1)).cast("bigint").alias("_sf_n"))
-    joined = counters.alias("c").join(batch.alias("b"), _same("c", "b", by), "full")
-    old = F.coalesce(F.col(f"c.`{count}`"), F.lit(0)).cast("bigint")
-    total = old + F.coalesce(F.col("_sf_n"), F.lit(0))
+    keys = [F.col(f"`{k}`") for k in by]
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    held = F.coalesce(F.col(f"`{count}`").cast("bigint"), none)
+    stacked = counters.select(*keys, held.alias("_sf_old"), none.alias("_sf_n")).unionByName(
+        events.select(*keys, none.alias("_sf_old"), one.alias("_sf_n")))
+    summed = stacked.groupBy(*by).agg(F.sum("_sf_old").alias("_sf_old"), F.sum("_sf_n").alias("_sf_n"))
+    old, total = F.col("_sf_old"), F.col("_sf_old") + F.col("_sf_n")
     if limit is not None:
         total = F.greatest(old, F.least(limit if isinstance(limit, Column) else F.lit(limit), total))
-    keys = [F.coalesce(F.col(f"c.`{k}`"), F.col(f"b.`{k}`")).alias(k) for k in by]
-    return joined.select(*keys, total.cast("bigint").alias(count))
+    return summed.select(*by, total.cast("bigint").alias(count))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepframe.operators.ordered import _same
+from stepframe.operators.ordered import _sized, positions
 
 
 def set_concat(tables: Sequence[DataFrame], source_index: str | None = None) -> DataFrame:
@@ -33,46 +33,62 @@ def _differs(a: Column, b: Column, tol: float, dtype: str) -> Column:
     return ~a.eqNullSafe(b)
 
 
+def _surplus(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct rows found more often on one side; ``_sf_d`` is the surplus, above zero for ``a``."""
+    signed = a.withColumn("_sf_d", F.lit(1)).unionByName(b.withColumn("_sf_d", F.lit(-1)))
+    return signed.groupBy(*a.columns).agg(F.sum("_sf_d").alias("_sf_d")).where("_sf_d <> 0")
+
+
+def _each_row(surplus: DataFrame) -> DataFrame:
+    """A row of its own for each unit of surplus, by two short arrays instead of one long one."""
+    many = F.abs("_sf_d")
+    blocks = surplus.withColumn("_sf_b", F.explode(F.sequence(F.lit(0), F.floor((many - 1) / 1000))))
+    inside = F.least(F.lit(1000).cast("bigint"), many - F.col("_sf_b") * 1000)
+    return blocks.withColumn("_sf_i", F.explode(F.sequence(F.lit(1).cast("bigint"), inside))).drop("_sf_b", "_sf_i")
+
+
 def dataset_compare(a: DataFrame, b: DataFrame, keys: Sequence[str] | None = None,
-                    tol: float = 0.0) -> DataFrame:
+                    tol: float = 0.0, hot_rows: int | None = None) -> DataFrame:
     """Differences between two tables with the same columns.
 
-    With unique ``keys``: one row per differing cell (side 'changed', column and both values
-    as text) and one per row on one side only ('only_a' / 'only_b').  Without keys: each
-    distinct row found more often on one side, with the surplus.  Either way each table is
-    shuffled once; equal rows are dropped before anything is spread out.  Tables of different
-    columns or types can't be compared so, nor does a tolerance without keys mean anything:
-    both raise an error.
+    With ``keys``: one row per differing cell (side 'changed', column and both values as text)
+    and one per row on one side only ('only_a' / 'only_b').  Rows that repeat a key pair by
+    position, in the order of their other columns, once equal rows have been taken off both
+    sides; a table never differs from itself.  Missing keys match missing keys.  Without keys:
+    each distinct row found more often on one side, with the surplus.  Either way equal rows
+    cancel in one aggregate over whole rows, so a key with very many rows is spread out, and
+    only what differs is stored and paired.  Tables of different columns or types can't be
+    compared so, nor does a tolerance without keys mean anything: both raise an error.
     """
     if sorted(a.dtypes) != sorted(b.dtypes):
         raise ValueError(f"columns differ: {sorted(set(a.dtypes) ^ set(b.dtypes))}")
     if tol and not keys:
         raise ValueError("a tolerance needs keys")
+    surplus = _surplus(a, b)
     if not keys:
-        signed = a.withColumn("_sf_d", F.lit(1)).unionByName(b.withColumn("_sf_d", F.lit(-1)))
-        surplus = signed.groupBy(*a.columns).agg(F.sum("_sf_d").alias("_sf_d"))
         side = F.when(F.col("_sf_d") > 0, F.lit("only_a")).otherwise(F.lit("only_b"))
-        return surplus.where("_sf_d <> 0").select(
-            side.alias("side"), F.abs("_sf_d").cast("bigint").alias("surplus"), *a.columns)
-    left = a.withColumn("_sf_p", F.lit(True)).alias("a")
-    right = b.withColumn("_sf_p", F.lit(True)).alias("b")
-    joined = left.join(right, _same("a", "b", keys), "full")
+        return surplus.select(side.alias("side"), F.abs("_sf_d").cast("bigint").alias("surplus"), *a.columns)
+    keys = list(keys)
+    rest = [c for c in a.columns if c not in keys]
+    row = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.struct(F.lit(True).alias("_sf_none"))
+    apart = _sized(_each_row(surplus).select(*keys, (F.col("_sf_d") > 0).alias("_sf_in_a"), row.alias("_sf_row")),
+                   "differences")
+    numbered = positions(apart, [*keys, "_sf_in_a"], ["_sf_row"], "_sf_rn", hot_rows)
+    paired = numbered.groupBy(*keys, "_sf_rn").agg(
+        F.first(F.when(F.col("_sf_in_a"), F.col("_sf_row")), ignorenulls=True).alias("_sf_a"),
+        F.first(F.when(~F.col("_sf_in_a"), F.col("_sf_row")), ignorenulls=True).alias("_sf_b"))
     types = dict(a.dtypes)
-    in_a, in_b = F.col("a._sf_p").isNotNull(), F.col("b._sf_p").isNotNull()
 
     def cell(side: str, column, va, vb) -> Column:
         return F.struct(F.lit(side).alias("side"), column.cast("string").alias("column_name"),
                         va.cast("string").alias("a_value"), vb.cast("string").alias("b_value"))
 
-    none = F.lit(None)
-    cells = [F.when(_differs(F.col(f"a.`{c}`"), F.col(f"b.`{c}`"), tol, types[c]),
-                    cell("changed", F.lit(c), F.col(f"a.`{c}`"), F.col(f"b.`{c}`")))
-             for c in a.columns if c not in keys]
-    found = F.when(~in_b, F.array(cell("only_a", none, none, none))) \
-        .when(~in_a, F.array(cell("only_b", none, none, none))) \
+    none, va, vb = F.lit(None), F.col("_sf_a"), F.col("_sf_b")
+    cells = [F.when(_differs(va[c], vb[c], tol, types[c]), cell("changed", F.lit(c), va[c], vb[c])) for c in rest]
+    found = F.when(vb.isNull(), F.array(cell("only_a", none, none, none))) \
+        .when(va.isNull(), F.array(cell("only_b", none, none, none))) \
         .otherwise(F.array_compact(F.array(*cells)) if cells else F.array())
-    key = [F.coalesce(F.col(f"a.`{k}`"), F.col(f"b.`{k}`")).alias(k) for k in keys]
-    return joined.select(*key, F.inline(found))
+    return paired.select(*keys, F.inline(found))
 
 
 def compare_verdict(a: DataFrame, b: DataFrame, keys: Sequence[str] | None = None,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stepframe.functions.rules import band_ladder
 from stepframe.operators.ordered import having_remerge
 from stepframe.operators.summary import class_means, freq_oneway
+from stepframe.session import materialize
 from stepframe.sources.readers import fixed_width_read
 
 # The record layout, the currency columns and the bands.
@@ -51,8 +52,8 @@ class AirlinesResult:
 
 def airlines_job(rows: DataFrame, name: str = "Airline", cost: str = "TotalopCost",
                  speed: str = "Speed", bounds=COST_BOUNDS, prefix: str = "P") -> AirlinesResult:
-    """All five result tables, each lazy: nothing is read until one is used or written."""
-    rated = rows.withColumn("RATING", band_ladder(cost, bounds, RATINGS))
+    """All five result tables, from the rated table stored once: the text is read and parsed one time."""
+    rated = materialize(rows.withColumn("RATING", band_ladder(cost, bounds, RATINGS)), "rated")
     return AirlinesResult(
         airlines=rated,
         airlines_p=rated.where(F.col(name).startswith(prefix)),

@@ -10,7 +10,7 @@ releases the rest.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,6 +58,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete_folders(spark: SparkSession, paths: Sequence[str]) -> None:
+    """Delete folders; ones that are not there are passed over."""
+    for path in paths:
+        _files(spark, path, lambda fs, p: fs.delete(p, True))
+
+
 def replace_table(df: DataFrame, path: str, **options: str) -> None:
     """Store ``df`` at ``path`` in place of what is there, which stays until all is written.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -81,11 +82,16 @@ def audit_log_lines(writes: DataFrame, at: str, agent: str, path: str) -> DataFr
 
 
 def audit_log_append(spark: SparkSession, writes: DataFrame, at: str, agent: str, path: str,
-                     log_path: str) -> DataFrame:
-    """Append log lines to a log table split by step, and return the whole log."""
+                     log_path: str, run: str | None = None, buckets: int = 16) -> DataFrame:
+    """Append log lines to a log table split by run, step and bucket of jobs, and return the whole log.
+
+    A run that is named and repeated replaces its own lines, so a retry logs nothing twice; without
+    a name each call is a run of its own.  A step's lines are in at most ``buckets`` files per run.
+    """
     lines = audit_log_lines(writes, at, agent, path)
-    lines.write.mode("append").partitionBy("step").parquet(log_path)
+    split = lines.withColumn("bucket", F.pmod(F.xxhash64("job"), F.lit(buckets)).cast("int"))
+    split = split.repartition("step", "bucket")
+    split.write.mode("overwrite").partitionBy("step", "bucket").parquet(f"{log_path}/run={run or uuid.uuid4().hex}")
     # With a schema, a step named like a number stays text.
-    return spark.read.schema(lines.schema).parquet(log_path)
-
-
+    stored = spark.read.schema(split.schema.add("run", "string")).parquet(log_path)
+    return stored.select(*lines.columns)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stepframe.operators.load import apply_folded, fold_changes
+from stepframe.session import delete_folders
 
 
 class StatusTable:
@@ -64,11 +65,21 @@ class StatusTable:
         return apply_folded(base, folded, self.key, self.fields, self.version, self.updated)
 
     def compact(self) -> None:
-        """Store the table as a new base.  Run it between runs of the stream."""
+        """Store the table as a new base.  Run it between runs of the stream.
+
+        The base that it replaces and the batches read with it stay until the next compaction,
+        for readers that have begun; older ones are deleted.
+        """
         first, _ = self._base()
         newest = self._changes(first).agg(F.max("batch")).first()[0]
-        if newest is not None:
-            self._store_base(self.read(), newest + 1)
+        if newest is None or newest < first:
+            return
+        self._store_base(self.read(), newest + 1)
+        log = self.spark.read.schema("first_batch bigint").parquet(f"{self.path}/log")
+        before = log.where(F.col("first_batch") < first).agg(F.max("first_batch")).first()[0]
+        if before is not None:
+            gone = [f"base/{before}", *[f"changes/batch={n}" for n in range(before, first)]]
+            delete_folders(self.spark, [f"{self.path}/{folder}" for folder in gone])
 
 
 def stream_status_upsert(changes: DataFrame, table: StatusTable, checkpoint: str,

@@ -4,6 +4,9 @@ import datetime
 import decimal
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from stepframe import session
@@ -111,3 +114,97 @@ def test_failed_replace_leaves_the_old_table(spark, tmp_path):
     assert spark.read.parquet(path).count() == 3
     session.replace_table(spark.read.parquet(path).unionAll(spark.range(2)), path)
     assert spark.read.parquet(path).count() == 5
+
+
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 2)), max_size=12),
+       st.lists(st.tuples(st.integers(0, 2), st.integers(0, 2)), max_size=12), st.sampled_from([None, 1]))
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_compare_pairs_repeated_keys_by_position(spark, left, right, hot):
+    from collections import Counter
+    a = spark.createDataFrame(left, "k int, v int")
+    b = spark.createDataFrame(right, "k int, v int")
+    assert sets.dataset_compare(a, a, ["k"], hot_rows=hot).count() == 0
+    want = []
+    for k in range(3):
+        va, vb = Counter(v for q, v in left if q == k), Counter(v for q, v in right if q == k)
+        x, y = sorted((va - vb).elements()), sorted((vb - va).elements())
+        n = min(len(x), len(y))
+        want += [(k, "changed", "v", str(p), str(q)) for p, q in zip(x, y)]
+        want += [(k, "only_a", None, None, None)] * (len(x) - n) + [(k, "only_b", None, None, None)] * (len(y) - n)
+    assert sorted(map(str, sets.dataset_compare(a, b, ["k"], hot_rows=hot).collect())) == sorted(
+        str(Row(k=k, side=s, column_name=c, a_value=p, b_value=q)) for k, s, c, p, q in want)
+
+
+def test_compare_writes_each_surplus_row(spark):
+    a = spark.range(2500).selectExpr("1 AS k", "'x' AS v")
+    verdict = sets.compare_verdict(a, a.limit(0), ["k"]).first()
+    assert (verdict.n_only_a, verdict.n_only_b, verdict.n_changed, verdict.verdict) == (2500, 0, 0, "FAIL")
+
+
+def test_counters_share_one_shuffle(spark):
+    from stepframe.operators.load import counter_upsert
+    counters = spark.createDataFrame([("u", 3), (None, 1), ("w", None)], "u string, request_count bigint")
+    events = spark.createDataFrame([("u",), ("u",), (None,), ("w",), ("new",)], "u string")
+    made = counter_upsert(counters, events, ["u"], limit=4)
+    assert {r.u: r.request_count for r in made.collect()} == {"u": 4, None: 2, "w": 1, "new": 1}
+    plan = made._jdf.queryExecution().sparkPlan().toString() + made._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and made._jdf.queryExecution().executedPlan().toString().count("Exchange hash") <= 2
+
+
+def test_verdict_reads_no_content_but_of_decisions(spark, tmp_path):
+    from stepframe.operators import artifacts as R
+    path = f"file://{tmp_path}/listing"
+    spark.createDataFrame([("j", "decide_platform", "decision.json", '{"platform_choice": "PySpark"}'),
+                           ("j", "translate_code", "j.py", "x"), ("k", "translate_code", "k.py", "y"),
+                           ("k", "analyze_sas", "analysis.json", None)],
+                          "job string, task string, file_name string, content string").write.parquet(path)
+    jobs, listing = spark.createDataFrame([("j",), ("k",), ("m",)], "job string"), spark.read.parquet(path)
+    verdict = R.job_verdict(R.artifact_completeness(jobs, listing, content=False))
+    assert {r.job: r.n_present for r in verdict.collect()} == {"j": 2, "k": 1, "m": 0}
+    plan = verdict._jdf.queryExecution().optimizedPlan().toString()
+    assert "SortAggregate" not in verdict._jdf.queryExecution().sparkPlan().toString()
+    scans = [s for s in verdict._jdf.queryExecution().sparkPlan().toString().split("\n") if "ReadSchema" in s]
+    assert len(scans) == 2, plan
+    assert all("EqualTo(task,decide_platform)" in s for s in scans if "content:string" in s)
+    full = {(r.job, r.task): r.content for r in R.artifact_completeness(jobs, listing).collect()}
+    assert len(full) == 15 and full["j", "translate_code"] == "x" and full["k", "translate_code"] is None
+
+
+def test_repeated_run_logs_once(spark, tmp_path):
+    from stepframe.sources import audit_log_append
+    writes = spark.sql("""SELECT TIMESTAMP_NTZ '2024-01-01 10:00:00' AS at, 'a1' AS agent,
+                          concat('/o/jobs/', id, '/tasks/007/f.json') AS path FROM range(50)""")
+    for run in ("one", "one", "two"):
+        log = audit_log_append(spark, writes, "at", "agent", "path", f"file://{tmp_path}/log", run=run)
+    assert log.count() == 100 and log.columns == ["job", "step", "line"]
+    assert {r.step for r in log.select("step").collect()} == {"007"}
+
+
+def test_compaction_deletes_what_the_one_before_absorbed(spark, tmp_path):
+    from stepframe.streaming import StatusTable
+    table = StatusTable(spark, f"file://{tmp_path}/status", "id", ["status"], None, None)
+    table.create(spark.createDataFrame([(1, "new")], "id int, status string"))
+    for n, status in enumerate("abcd"):
+        batch = spark.createDataFrame([(1, status, 0, None)], "id int, status string, bumps int, changed_at timestamp_ntz")
+        table.store_batch(batch, n)
+        table.compact()
+        table.compact()
+        assert [r.status for r in table.read().collect()] == [status]
+    assert sorted(p.name for p in (tmp_path / "status" / "changes").iterdir()) == ["batch=-1", "batch=3"]
+    assert sorted(p.name for p in (tmp_path / "status" / "base").iterdir()) == ["3", "4"]
+
+
+def test_endless_ranges_are_spread(spark):
+    from stepframe.operators.joins import range_join
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(20_000).selectExpr("id", "CAST(id % 100 AS double) AS v")
+        ranges = spark.createDataFrame([(None, 49.5, "low"), (90.0, 95.0, "high")], "lo double, hi double, label string")
+        sizes = [r[0] for r in range_join(df, ranges, "v", "lo", "hi").groupBy(F.spark_partition_id()).count()
+                 .select("count").collect()]
+        assert sum(sizes) == 20_000 * 56 // 100 and max(sizes) < 6_000
+    finally:
+        for k in conf:
+            spark.conf.unset(k)

@@ -192,7 +192,7 @@ def artifact_completeness(t):
 @query("job_verdict", f"""
 SELECT job, COUNT(*) FILTER (present) AS n_present, bool_and(present) AS complete FROM ({COMPLETE_SQL}) GROUP BY job""")
 def job_verdict(t):
-    return R.job_verdict(R.artifact_completeness(jobs(t), listing(t)))
+    return R.job_verdict(R.artifact_completeness(jobs(t), listing(t), content=False))
 
 
 @query("artifact_fallback", f"""

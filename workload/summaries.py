@@ -179,7 +179,7 @@ PROFILE_SQL = _profile_sql("orders", [
 
 def order_profile(t):
     df = t.orders.withColumn("o_orderstatus", F.nullif("o_orderstatus", F.lit("P")))
-    return A.column_profile(df).withColumn("mean", F.round("mean", 4))
+    return A.column_profile(df, exact=True).withColumn("mean", F.round("mean", 4))
 
 
 @query("column_profile", PROFILE_SQL)
