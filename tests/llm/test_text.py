@@ -119,6 +119,20 @@ def test_near_duplicates_lose_no_link(spark):
     assert coarse == want  # crowded buckets take more rounds, with the same result
 
 
+def test_near_duplicates_around_a_hub_of_middle_id(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    hub, rows = [word() for _ in range(400)], []
+    for i in range(60):  # 13 % of the words are new, in 6 places: alike to the hub, mostly not to each other
+        copy = list(hub)
+        for a in rng.sample(range(0, 390, 10), 6):
+            copy[a:a + 9] = [word() for _ in range(9)]
+        rows.append((i if i < 30 else i + 1, " ".join(copy)))
+    rows.append((30, " ".join(hub)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.class_id for r in dedup.near_duplicates(df).collect()} == {0}
+
+
 @pytest.mark.parametrize("which", ["odd", "small", "none"])
 def test_near_duplicates_equal_brute_force(request, run, which):
     docs = request.getfixturevalue(which)
