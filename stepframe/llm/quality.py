@@ -119,7 +119,7 @@ def lines_with_family(text: Column, doc: Column) -> Column:
 def common_lines(lines: DataFrame, documents: DataFrame, min_documents: int, min_share: float, max_family: float) -> DataFrame:
     """Rows (host, line) of the lines above the limit, from distinct rows (host, doc, line, family) and (host, doc).
 
-    The limit is the larger of ``min_documents`` and ``min_share`` of the host's distinct documents; a
+    The limit is ``min_documents``, or ``min_share`` of the host's distinct documents if that is more; a
     line of which one family has more than ``max_family`` of the documents belongs to a text that is
     copied and stays.  All counts are partial aggregates, so a line of all documents is no hot group.
     """
@@ -131,13 +131,14 @@ def common_lines(lines: DataFrame, documents: DataFrame, min_documents: int, min
         F.col("n") > F.col("docs") * min_share).select("host", "line")
 
 
-def quality_rules(docs: DataFrame, min_documents: int = 20, min_share: float = 0.005, min_left: float = 0.1,
+def quality_rules(docs: DataFrame, min_documents: int = 20, min_share: float = 0.0, min_left: float = 0.1,
                   max_family: float = 0.2, host: str = "source") -> DataFrame:
     """``docs`` with the counts of ``measures`` (long), ``base_failed``, ``clean_text``, ``removed_words`` and ``kept``.
 
     Needs ``text`` and the host column.  A document is kept if it passes the base rules (10 words or
     more, at most a fifth of them in repeated five-word runs) and if more than ``min_left`` of its
-    words remain when the common lines are gone.  A null text has no words and fails, as does an empty
+    words remain when the common lines are gone.  A line's limit is a number of documents, alike for hosts
+    of every size, unless a ``min_share`` is given.  A null text has no words and fails, as does an empty
     one; its ``clean_text`` is what it was.  A null host is a host of its own.  Other columns go along
     whatever their names; equal rows get equal answers; an empty table stays empty.
     """

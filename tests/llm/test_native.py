@@ -192,6 +192,17 @@ def test_common_lines_go_and_copies_stay(spark):
     assert not got[300].kept and got[300].clean_text == "\nhi" and got[301].clean_text is None and not got[301].kept
 
 
+def test_common_lines_go_from_hosts_of_every_size(spark):
+    from pyspark.sql import functions as F
+    docs = spark.range(6000).select("id", F.when(F.col("id") < 5900, "hot").otherwise("small").alias("source"))
+    own = F.concat_ws(" ", *[F.translate(F.md5(F.concat_ws("-", "id", F.lit(str(k)))), "0123456789", "ghijklmnop") for k in range(12)])
+    has = (F.col("id") < 21) | (F.col("id") >= 5979)  # 21 documents of each host
+    docs = docs.withColumn("text", F.when(has, F.concat(F.lit("all rights reserved by the owner\n"), own)).otherwise(own))
+    got = quality.quality_rules(docs).groupBy("source", "removed_words").count().collect()
+    assert {(r.source, r.removed_words): r["count"] for r in got} == {
+        ("hot", 6): 21, ("hot", 0): 5879, ("small", 6): 21, ("small", 0): 79}
+
+
 def test_quality_verdict_equals_brute_force(spark, small):
     docs = small.withColumn("source", small.source.substr(1, 4))
     want, common = kept_ids(docs.collect(), 1, 0.01, 0.5, 0.5)
