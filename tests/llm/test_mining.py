@@ -2,12 +2,14 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 import stepframe.llm.queries  # noqa: F401  (registers the queries)
+from stepframe.llm.collocations import collocations
 from stepframe.llm.substrings import remove_repeats
 from tests.llm.conftest import crowded
 
@@ -77,3 +79,51 @@ def test_given_table_equals_brute_force(small, run):
     got = sorted(tuple(r)[1:] for r in run("op11_repeated_substrings", documents=docs).collect())
     texts = [r.text for r in docs.collect()]
     assert got == sorted((n, k, s, hashlib.sha256(kept).hexdigest()) for n, k, s, kept in _cut(texts, 400))
+
+
+def _phrases(rows, least, top):
+    """All phrases counted one by one."""
+    counts, n, out = {}, Counter(), []
+    for lang, text in rows:
+        own = counts.setdefault(lang or "und", Counter())
+        folded = (text or "").translate({i: i + 32 for i in range(65, 91)})
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", folded):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            n[lang or "und"] += len(words)
+            own.update(tuple(words[i:i + k]) for i in range(len(words)) for k in range(1, 6) if i + k <= len(words))
+    for lang, own in counts.items():
+        found = {p: a for p, a in own.items() if len(p) > 1 and a >= least}
+        inside = {p[i:i + k] for p, a in found.items() for k in range(2, len(p)) for i in range(len(p) - k + 1) if a >= found[p[i:i + k]]}
+        ranked = []
+        for p in found.keys() - inside:
+            score, k = min((1000 * own[p] * n[lang] // (own[p[:k]] * own[p[k:]]), k) for k in range(1, len(p)))
+            ranked.append((-score, -own[p], " ".join(p).encode(), own[p[:k]], own[p[k:]]))
+        out += [(lang, i, p.decode(), -a, l, r, n[lang], -score) for i, (score, a, p, l, r) in enumerate(sorted(ranked)[:top], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("least, top", [(2, 2000), (12, 7)])
+def test_collocations_equal_brute_force(spark, odd, small, least, top):
+    rare = spark.createDataFrame([("Ab ab,AB  ab\tab\x0bab é\x00x É\x00x é\x00X ab ab é\x00x.é\x00x", None), ("", "en"), (None, None),
+                                  ("ab ab", "und")] * 12, "text string, lang string")
+    docs = small.select("text", "lang").limit(60).union(odd.select("text", "lang")).union(rare)
+    want = _phrases([(r.lang, r.text) for r in docs.collect()], least, top)
+    assert sorted(tuple(r) for r in collocations(crowded(docs), least, top).collect()) == want
+
+
+def test_collocations_whatever_the_filter_lets_pass(spark, small, monkeypatch):
+    import stepframe.llm.collocations as module
+    want = sorted(tuple(r) for r in collocations(small, 40).collect())
+    monkeypatch.setattr(module, "SLICE", 1000)
+    monkeypatch.setattr(module, "_frequent", lambda texts, least: module.np.full(1 << module.FILTER_BITS - 3, 255, module.np.uint8))
+    assert want and sorted(tuple(r) for r in collocations(small, 40).collect()) == want
+
+
+def test_collocations_of_an_empty_table(none):
+    assert collocations(none).count() == 0
+
+
+def test_scores_pass_64_bits(spark):
+    exact = spark.sql("select 1000 * cast(a as decimal(38,0)) * cast(n as decimal(38,0)) div (cast(l as decimal(38,0)) * cast(r as decimal(38,0))) x "
+                      "from values (7000000000L, 90000000000L, 7000000001L, 7000000003L) t(a, n, l, r)").first().x
+    assert exact == 1000 * 7000000000 * 90000000000 // (7000000001 * 7000000003)
