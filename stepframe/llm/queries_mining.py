@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stepframe.llm.collocations import collocations
+from stepframe.llm.negatives import hard_negatives
 from stepframe.llm.registry import query
 from stepframe.llm.substrings import remove_repeats
 
@@ -40,3 +41,26 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 FROM z QUALIFY rank <= 2000""")
 def phrases(table):
     return collocations(table("documents").select("lang", "text"))
+
+
+@query("op13_hard_negatives", sql=r"""
+WITH v AS (SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS vector
+           FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.row, a.vec_id AS anchor_id, a.label = b.label AS same, b.row AS other, b.vec_id AS id,
+             list_inner_product(a.vector, b.vector)::BIGINT AS score
+      FROM v a JOIN v b ON a.row <> b.row WHERE a.vec_id % 100 = 0),
+p AS (SELECT row, anchor_id, other, id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY row ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY row, p.other ORDER BY score DESC, id)::INTEGER AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (row, anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10""")
+def mined(table):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    vector = F.when(~bad, F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)))
+    return hard_negatives(table("embeddings").select("vec_id", label.alias("label"), vector.alias("vector")), F.col("vec_id") % 100 == 0)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import stepframe.llm.queries  # noqa: F401  (registers the queries)
 from stepframe.llm.collocations import collocations
+from stepframe.llm.negatives import hard_negatives
 from stepframe.llm.substrings import remove_repeats
 from tests.llm.conftest import crowded
 
@@ -127,3 +128,86 @@ def test_scores_pass_64_bits(spark):
     exact = spark.sql("select 1000 * cast(a as decimal(38,0)) * cast(n as decimal(38,0)) div (cast(l as decimal(38,0)) * cast(r as decimal(38,0))) x "
                       "from values (7000000000L, 90000000000L, 7000000001L, 7000000003L) t(a, n, l, r)").first().x
     assert exact == 1000 * 7000000000 * 90000000000 // (7000000001 * 7000000003)
+
+
+def _mined(rows, is_anchor, positives=5, negatives=10):
+    """All products, sorted."""
+    rows = [r for r in rows if r[1] is not None and r[2] is not None and None not in r[2]]
+    product = lambda a, b: sum(x * y for x, y in zip(a, b))
+    out = []
+    for anchor in rows:
+        if not is_anchor(anchor[0]):
+            continue
+        ranked = sorted(((-product(anchor[2], r[2]), r[0] is None, r[0] or 0, r[0], r[1]) for r in rows if r is not anchor), key=lambda t: t[:3])
+        for s, *_, id_, label in [t for t in ranked if t[4] == anchor[1]][:positives]:
+            hard = [t for t in ranked if t[4] != anchor[1] and 30 * -s <= 100 * -t[0] <= 90 * -s][:negatives]
+            out += [(anchor[0], id_, n, t[3], -s, -t[0]) for n, t in enumerate(hard, 1)]
+    return _ordered(out)
+
+
+def _ordered(rows):
+    return sorted((tuple(r) for r in rows), key=lambda r: [(x is None, x or 0) for x in r])
+
+
+def _vectors(seed):
+    """Ties, repeated rows and ids, a crowd of equal vectors, nulls in every column, vectors of other lengths."""
+    rng = random.Random(seed)
+    odd = [None, [], [1, None]]
+    rows = [[rng.randrange(300) if rng.random() < .95 else None, rng.choice([0, 1, 1, 2, None]),
+             rng.choice(odd) if rng.random() < .05 else [rng.randrange(-9, 10) for _ in range(rng.choice([7, 7, 7, 3]))]] for _ in range(300)]
+    return rows + [[1000 + i, 1, [3] * 7] for i in range(100)] + [list(r) for r in rows[:20]]
+
+
+@pytest.mark.parametrize("scored, codes", [(512, 16), (1, 4)])
+def test_hard_negatives_equal_brute_force(spark, scored, codes, monkeypatch):
+    import stepframe.llm.negatives as module
+    monkeypatch.setattr(module, "CHUNK", 65_536 if scored > 1 else 50)
+    monkeypatch.setattr(module, "BLOCK", 16_384 if scored > 1 else 7)
+    rows = _vectors(scored)
+    frame = crowded(spark.createDataFrame([tuple(r) for r in rows], "vec_id long, label int, vector array<long>")).repartition(4)
+    got = hard_negatives(frame, F.col("vec_id") % 10 == 0)
+    assert _ordered(got.collect()) == _mined(rows, lambda i: i is not None and i % 10 == 0)
+
+
+def test_cells_are_visited_until_the_window_is_certain():
+    import numpy as np
+    from stepframe.llm.negatives import Index, codebook, nearest
+    rng = np.random.default_rng(2)
+    centres = rng.integers(-900, 900, (6, 8))
+    x = (centres[rng.integers(0, 6, 5000)] + rng.integers(-9, 10, (5000, 8))).astype(np.int16)
+    books = codebook(x[:, :4].astype(float)), codebook(x[:, 4:].astype(float))
+    cells = nearest(x[:, :4], books[0]) * len(books[1]) + nearest(x[:, 4:], books[1])
+    x, cells = x[np.argsort(cells, kind="stable")], np.sort(cells)
+    index = Index({"chunk": 0, "bits": 16, "ids": np.arange(5000).tobytes(), "known": np.ones(5000, bool).tobytes(),
+                   "labels": (np.arange(5000) % 2).tobytes(), "cells": cells.astype(np.int32).tobytes(), "vectors": x.tobytes()}, books)
+    scored = []
+    take, index.scores = index.scores, lambda at, q: scored.append(len(at)) or take(at, q)
+    q = x[77].astype(np.int64)
+    scores, at = index.positives(q, 1, 77, 5)
+    want = sorted((-int(x[i].astype(int) @ q), i) for i in range(1, 5000, 2) if i != 77)[:5]
+    assert [(-s, i) for s, i in zip(scores.tolist(), at.tolist())] == want and sum(scored) < 2500
+    bounds = [b for b, _ in index.visits(q)]
+    assert bounds == sorted(bounds, reverse=True) and sum(len(r) for _, r in index.visits(q)) == 5000
+
+
+def test_scores_are_exact_beyond_doubles(spark):
+    big = (1 << 30) + 1
+    rows = [(0, 0, [big, 1]), (1, 0, [big, 3]), (2, 0, [big, 2]), (3, 1, [big // 2, 5]), (4, 1, [big // 2, 7])]
+    frame = spark.createDataFrame(rows, "vec_id long, label int, vector array<long>")
+    assert _ordered(hard_negatives(frame, F.col("vec_id") == 0).collect()) == _mined(rows, lambda i: i == 0)
+
+
+def test_hard_negatives_of_an_empty_table_and_without_anchors(spark):
+    none = spark.createDataFrame([], "vec_id long, label int, vector array<long>")
+    assert hard_negatives(none, F.col("vec_id") >= 0).count() == 0
+    one = spark.createDataFrame([(1, 1, [1]), (2, 0, [1])], none.schema)
+    assert hard_negatives(one, F.lit(False)).count() == 0 and hard_negatives(one, F.lit(True)).count() == 0
+
+
+def test_query_leaves_bad_vectors_out_and_moves_labels(spark, run):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, 9, [.5, .25]), (100, 0, [.5, .5]), (1, 0, [.5, .5]), (3, 5, [.2, .25]), (4, 5, [nan, .3]), (5, 5, [inf, .3]), (6, 5, [None, .3]), (8, None, [.2, .2])]
+    frame = spark.createDataFrame([(i, v, l) for i, l, v in rows], "vec_id long, embedding array<float>, label int")
+    got = run("op13_hard_negatives", embeddings=frame)
+    moved = [(i, (l + 1) % 10 if i % 7 == 0 else l, [int(256 * x // 1) for x in v]) for i, l, v in rows if i in (0, 100, 1, 3)]
+    assert _ordered(got.collect()) == _mined(moved, lambda i: i % 100 == 0)
