@@ -26,6 +26,8 @@ from stepframe.session import materialize
 LENGTH = 400
 #: Strings whose q-gram is looked for at a time, which bounds a task's memory and changes no result.
 CHUNK = 1 << 20
+#: Rows that a task hands on at a time, or those of one text.
+ROWS = 20_000
 #: Each turn splits a run into at most so many parts.
 PARTS = 16
 
@@ -76,22 +78,26 @@ def _least_grams(data: np.ndarray, length: int) -> np.ndarray:
     return (least & ((np.uint64(1) << _PLACE_BITS) - np.uint64(1))).astype(np.int64)
 
 
-def runs(data: np.ndarray, ends: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(place of the q-gram, first string, last string) of the runs of strings that share their q-gram.
+def runs(data: np.ndarray, stops: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(number of the text, place of the q-gram, first string, last string) of the runs of strings that share their q-gram.
 
-    ``data`` holds texts one after the other, ``ends`` says for each place where its text ends.
+    ``data`` holds texts one after the other, ``stops`` says where each one ends.
     """
     for a in range(0, len(data) - length + 1, CHUNK):
         part = data[a:a + CHUNK + length - 1]
         gram = _least_grams(part, length) + a
-        start = np.arange(a, a + len(gram))
-        inside = start + length <= ends[start]
-        gram, start = gram[inside], start[inside]
+        b = a + len(gram)
+        i, j = np.searchsorted(stops, [a, b - 1], side="right")
+        inner = stops[i:j]
+        text = np.repeat(np.arange(i, j + 1), np.diff(inner, prepend=a, append=b))
+        start = np.arange(a, b)
+        inside = start + length <= stops[text]
+        gram, start, text = gram[inside], start[inside], text[inside]
         if not len(start):
             continue
         first = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (start[1:] != start[:-1] + 1)))
         last = np.append(first[1:], len(start)) - 1
-        yield gram[first], start[first], start[last]
+        yield text[first], gram[first], start[first], start[last]
 
 
 def _long(x: int) -> int:
@@ -116,12 +122,11 @@ def _whole_runs(texts: DataFrame, length: int) -> DataFrame:
             texts = batch.column(2).to_pylist()
             sizes = np.array([len(t) for t in texts], np.int64)
             data, stops = b"".join(texts), np.cumsum(sizes)
-            text_of = np.repeat(np.arange(len(sizes)), sizes)
+            del texts
             n1, n2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for gram, first, last in runs(np.frombuffer(data, np.uint8), stops[text_of], length):
+            for text, gram, first, last in runs(np.frombuffer(data, np.uint8), stops, length):
                 core = [digest(data[g:g + q]) for g in gram.tolist()]
                 whole = [digest(data[a:b + length], c) for a, b, c in zip(first.tolist(), last.tolist(), core)]
-                text = text_of[first]
                 yield _batch([n1[text], n2[text], gram - (stops - sizes)[text], gram - last, gram - first,
                               np.array(core, np.uint64).view(np.int64), np.array(whole, np.uint64).view(np.int64), np.zeros(len(core), bool)], _TYPES)
 
@@ -135,10 +140,10 @@ def _parts(texts: DataFrame, open_: DataFrame, length: int, before: int, size: i
     joined = once.join(asked, ["n1", "n2"]).select("n1", "n2", F.col("text").cast("binary").alias("text"), "runs")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
+        digest, out = xxhash.xxh3_64_intdigest, [[] for _ in _TYPES]
         for batch in it:
             for n1, n2, text, found in zip(*(batch.column(i) for i in range(4))):
-                n1, n2, data, out = n1.as_py(), n2.as_py(), text.as_py(), ([], [], [], [], [], [])
+                n1, n2, data = n1.as_py(), n2.as_py(), text.as_py()
                 for run in found.values.to_pylist():
                     at, lo, hi, core = run["at"], run["lo"], run["hi"], run["core"] % (1 << 64)
                     own = lo // before * before
@@ -147,9 +152,12 @@ def _parts(texts: DataFrame, open_: DataFrame, length: int, before: int, size: i
                         right = digest(data[at - own - before + 1 + length:at - d - size + 1 + length], core)
                         bucket = digest(data[at - d:at - own], right)
                         whole = digest(data[at - b:at - a + length], bucket)
-                        for c, v in zip(out, (at, a, b, _long(bucket), _long(whole), run["settled"])):
+                        for c, v in zip(out, (n1, n2, at, a, b, _long(bucket), _long(whole), run["settled"])):
                             c.append(v)
-                yield _batch([np.full(len(out[0]), n1), np.full(len(out[0]), n2), *out], _TYPES)
+                if len(out[0]) > ROWS:
+                    yield _batch(out, _TYPES)
+                    out = [[] for _ in _TYPES]
+        yield _batch(out, _TYPES)
 
     return joined.mapInArrow(batches, _PIECES)
 

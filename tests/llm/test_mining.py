@@ -58,11 +58,11 @@ def test_long_texts_are_cut_into_chunks_without_loss(spark, monkeypatch):
     passage = "".join(rng.choice("abcdefgh") for _ in range(90))
     texts = ["".join(rng.choice("abcdefgh") for _ in range(700)) + passage * 2, passage + "x" * 300 + passage]
     data = module.np.frombuffer("".join(texts).encode(), module.np.uint8)
-    ends = module.np.repeat([len(texts[0]), len(data)], [len(texts[0]), len(texts[1])])
+    ends = module.np.array([len(texts[0]), len(data)])
     whole = [module.np.concatenate(x) for x in zip(*module.runs(data, ends, 40))]
     monkeypatch.setattr(module, "CHUNK", 64)
     cut = [module.np.concatenate(x) for x in zip(*module.runs(data, ends, 40))]
-    each = lambda found: {i: g for g, a, b in zip(*(x.tolist() for x in found)) for i in range(a, b + 1)}
+    each = lambda found: {i: (t, g) for t, g, a, b in zip(*(x.tolist() for x in found)) for i in range(a, b + 1)}
     assert each(whole) == each(cut) and len(each(whole)) == len(data) - 2 * 39
 
 
