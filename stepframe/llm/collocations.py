@@ -1,8 +1,8 @@
 """Collocations by top-order marginalisation.
 
 Only the longest windows are counted, five words from each word on, padded where a piece of text ends; ROLLUP sums their
-counts to those of all shorter phrases.  A window is padded as well where two neighbouring words are too rare
-as a pair: no phrase across them can be frequent enough, so the counts of those that are stay exact.
+counts to those of all shorter phrases.  A window is padded as well where two or three neighbouring words are too rare
+together: no phrase across them can be frequent enough, so the counts of those that are stay exact.
 """
 
 from __future__ import annotations
@@ -15,14 +15,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepframe.session import materialize
+from stepframe.session import freed_shuffles, materialize
 
 #: Words in the longest phrases.
 ORDER = 5
 #: Bytes of text that are cut into words at a time; bounds a task's memory and changes no result.
-SLICE = 4_000_000
-#: Size of the filter of frequent words and pairs that tasks are sent, whatever there is of them: 2^25 bits are 4 MB.  One
-#: that fills up lets rare pairs pass, which makes more windows and the same result.
+SLICE = 500_000
+#: Size of each of the two filters of frequent words that tasks are sent, whatever there is of them: 2^25 bits are 4 MB.  One
+#: that fills up lets rare ones pass, which makes more windows and the same result.
 FILTER_BITS = 25
 
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0a\x0b\x0c\x0d\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 10 + b" ")
@@ -59,14 +59,24 @@ def _coded(data: bytes) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     codes = coded.indices.to_numpy()
     codes = codes[kind[codes] != 0]
     hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
-    return np.where(kind[codes] < 0, -1, codes), hashes, coded.dictionary
+    return np.append(np.where(kind[codes] < 0, -1, codes), [-1, -1]), hashes, coded.dictionary
 
 
-def _keys(codes: np.ndarray, hashes: np.ndarray, lang: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of words and of pairs of neighbouring words, and where there is a pair."""
-    word = np.where(codes < 0, np.uint64(0), _mix(hashes[codes] + np.uint64(xxhash.xxh3_64_intdigest(lang))))
-    paired = (codes[:-1] >= 0) & (codes[1:] >= 0)
-    return word, _mix(word[:-1] * _M + word[1:]), paired
+class _Slice:
+    """Hashes of the words of a slice, of pairs and of triples of neighbouring words, and where those are whole."""
+
+    def __init__(self, codes: np.ndarray, hashes: np.ndarray, lang: str):
+        self.is_word = codes >= 0
+        self.word = np.where(self.is_word, _mix(hashes[codes] + np.uint64(xxhash.xxh3_64_intdigest(lang))), np.uint64(0))
+        self.paired = self.is_word[:-1] & self.is_word[1:]
+        self.pair = _mix(self.word[:-1] * _M + self.word[1:])
+        self.tripled = self.paired[:-1] & self.paired[1:]
+        self.triple = _mix(self.pair[:-1] * _M + self.word[2:])
+
+
+def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    bit = (keys >> np.uint64(64 - FILTER_BITS)) & np.uint64(7)
+    return bits[keys >> np.uint64(67 - FILTER_BITS)] >> bit.astype(np.uint8) & 1 > 0
 
 
 def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, list[str]]]:
@@ -76,54 +86,50 @@ def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, list[str]]]:
     yield from texts.items()
 
 
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, a place of each among the given ones, and their counts in sum."""
-    flat, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    return flat, first, np.bincount(place, weights=np.concatenate(counts), minlength=len(flat)).astype(np.int64)
+def _frequent(texts: DataFrame, least: int, pairs=None) -> np.ndarray:
+    """A filter, as bytes of bits, that all words and pairs pass which occur ``least`` times in a language.
 
-
-def _frequent(texts: DataFrame, least: int) -> np.ndarray:
-    """A filter, as bytes of bits, that all words and pairs pass which occur ``least`` times in a language."""
+    With the filter of pairs, that of triples.
+    """
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            keys, counts = [], []
             for lang, found in _by_lang(batch):
                 for codes, hashes, _ in _pieces(found):
-                    word, pair, paired = _keys(codes, hashes, lang)
-                    k, n = np.unique(np.concatenate([word[codes >= 0], pair[paired]]), return_counts=True)
-                    keys.append(k)
-                    counts.append(n)
-            if keys:
-                k, _, n = _summed(keys, counts)
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], names=["key", "n"])
+                    own = _Slice(codes, hashes, lang)
+                    if pairs is None:
+                        keys = np.concatenate([own.word[own.is_word], own.pair[own.paired]])
+                    else:
+                        keys = own.triple[own.tripled & _passes(pairs.value, own.pair[:-1])]
+                    keys, n = np.unique(keys, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
 
     often = texts.mapInArrow(batches, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     # At most 2^19 rows of 64 bits come to the driver.
     bits = often.select(F.shiftrightunsigned("key", 64 - FILTER_BITS).alias("bit")).groupBy(F.expr("bit div 64").alias("cell")).agg(
-        F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits")).toArrow()
+        F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits"))
+    with freed_shuffles(texts.sparkSession):
+        bits = bits.toArrow()
     out = np.zeros(1 << FILTER_BITS - 6, "<u8")
     out[bits.column("cell").to_numpy()] = bits.column("bits").to_numpy().view(np.uint64)
     return out.view(np.uint8)
 
 
-def _windows(texts: DataFrame, passing) -> DataFrame:
+def _windows(texts: DataFrame, pairs, triples) -> DataFrame:
     """Rows (lang, w1 ... w5, n): windows from each word on, null from where they are padded; all null from a rare word."""
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = passing.value
-        passes = lambda key: bits[key >> np.uint64(67 - FILTER_BITS)] >> (
-            (key >> np.uint64(64 - FILTER_BITS)) & np.uint64(7)).astype(np.uint8) & 1 > 0
         for batch in it:
             for lang, found in _by_lang(batch):
                 for codes, hashes, words in _pieces(found):
-                    word, pair, paired = _keys(codes, hashes, lang)
-                    is_word = codes >= 0
-                    on = np.append(paired & passes(pair), np.zeros(ORDER, bool))
-                    open_, key, columns = is_word & passes(word), np.zeros(len(codes), np.uint64), []
+                    own, behind = _Slice(codes, hashes, lang), np.zeros(ORDER, bool)
+                    two = np.append(own.paired & _passes(pairs.value, own.pair), behind)
+                    three = np.append(own.tripled & _passes(triples.value, own.triple), behind) & two[:-1] & two[1:]
+                    open_, key, columns = own.is_word & _passes(pairs.value, own.word), np.zeros(len(codes), np.uint64), []
                     far = np.append(codes, np.full(ORDER, -1))
                     for k in range(ORDER):
                         columns.append(np.where(open_, far[k:k + len(codes)], -1))
                         key = np.where(open_, _mix(key * _M + hashes[columns[k]]), key)
-                        open_ = open_ & on[k:k + len(codes)]
+                        open_ = open_ & (two[:len(codes)] if k == 0 else three[k - 1:k - 1 + len(codes)])
+                    is_word = own.is_word
                     _, first, n = np.unique(key[is_word], return_index=True, return_counts=True)
                     at = np.flatnonzero(is_word)[first]
                     taken = [words.take(pa.array(c[at], pa.int64(), mask=c[at] < 0)).cast(pa.string()) for c in columns]
@@ -139,8 +145,9 @@ WORDS = [f"w{k}" for k in range(1, ORDER + 1)]
 def phrase_counts(docs: DataFrame, least: int) -> DataFrame:
     """Rows (lang, size, phrase, f): all phrases of up to five words that occur ``least`` times; size 0 counts all words."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").filter(F.col("text").isNotNull())
-    passing = texts.sparkSession.sparkContext.broadcast(_frequent(texts, least))
-    longest = materialize(_windows(texts, passing).groupBy("lang", *WORDS).agg(F.sum("n").alias("n")), "windows")
+    send = texts.sparkSession.sparkContext.broadcast
+    pairs = send(_frequent(texts, least))
+    longest = materialize(_windows(texts, pairs, send(_frequent(texts, least, pairs))).groupBy("lang", *WORDS).agg(F.sum("n").alias("n")), "windows")
     # Under ROLLUP, prefixes of k words have the last 5 - k columns grouped away.
     sums = longest.rollup("lang", *WORDS).agg(F.sum("n").alias("f"), F.grouping_id().alias("away"))
     size = F.lit(ORDER) - F.length(F.replace(F.bin("away"), F.lit("0"), F.lit("")))
