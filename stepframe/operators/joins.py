@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepframe.functions.missing import missing_le
+from stepframe.functions.missing import missing_le, plain_text
 from stepframe.operators.ordered import _same, _sized, positions, running, split_hot
 
 
@@ -45,6 +45,16 @@ def _merge_pipeline(frame: DataFrame, by, n, owners, presence, path: str) -> Dat
         *[F.coalesce(F.col(f"f.`{c}`"), F.col(f"e.`{c}_end`")).alias(c) for c in carried])
 
 
+def _compared(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``df`` with its keys as they compare, in columns ``_sf_key_0`` and so on: trailing blanks don't count, a blank text is missing."""
+    named = [f"_sf_key_{i}" for i in range(len(by))]
+    return plain_text(df.withColumns({n: F.col(f"`{k}`") for n, k in zip(named, by)}), named)
+
+
+def _same_keys(left: str, right: str, by: Sequence[str]) -> Column:
+    return _same(left, right, [f"_sf_key_{i}" for i in range(len(by))])
+
+
 def match_merge(inputs: Sequence[tuple[DataFrame, Sequence[str]]], by: Sequence[str],
                 presence: Sequence[str] | None = None, hot_rows: int | None = None,
                 position: str | None = None) -> DataFrame:
@@ -54,13 +64,16 @@ def match_merge(inputs: Sequence[tuple[DataFrame, Sequence[str]]], by: Sequence[
     a key group and must be unique there.  Row i of each table is paired with row i of the
     others; when a table runs out of rows its last values stay.  A column that several tables
     have takes the value of the last listed table that supplied a row at that position.
-    Missing keys match missing keys.  ``presence`` names one flag per table: true when the
+    Missing keys match missing keys, a blank text is missing, and trailing blanks of a key don't count: keys come out
+    without them.  ``presence`` names one flag per table: true when the
     table has any row in the key group.  ``position`` names an output column with the row
     number inside the group.
     """
     by = list(by)
     parts, columns = [], {}
     for i, (table, order_by) in enumerate(inputs):
+        # An order column that is a key has one value in a group, and may be spelled in several ways.
+        table = plain_text(table, by)
         payload = [c for c in table.columns if c not in by]
         for c in payload:
             columns.setdefault(c, []).append(i)
@@ -100,10 +113,13 @@ def merge_with_presence(target: tuple[DataFrame, Sequence[str]],
 
 
 def full_outer_merge(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Merge of two tables with unique keys: one full join, right wins on shared columns."""
-    l = left.withColumn("_sf_l", F.lit(True)).alias("l")
-    r = right.withColumn("_sf_r", F.lit(True)).alias("r")
-    joined = l.join(r, _same("l", "r", by), "full")
+    """Merge of two tables with unique keys: one full join, right wins on shared columns.
+
+    Keys compare without trailing blanks, blank ones as missing, and come out as the right table spells them.
+    """
+    l = _compared(left.withColumn("_sf_l", F.lit(True)), by).alias("l")
+    r = _compared(right.withColumn("_sf_r", F.lit(True)), by).alias("r")
+    joined = l.join(r, _same_keys("l", "r", by), "full")
     in_right = F.col("r._sf_r").isNotNull()
     out: list[Column] = [
         F.when(in_right, F.col(f"r.`{k}`")).otherwise(F.col(f"l.`{k}`")).alias(k) for k in by]
@@ -118,32 +134,33 @@ def full_outer_merge(left: DataFrame, right: DataFrame, by: Sequence[str]) -> Da
 
 
 def not_in_target(source: DataFrame, target: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Source rows without a counterpart in the target; missing keys match missing keys."""
-    return source.alias("s").join(target.select(*by).alias("t"), _same("s", "t", by), "left_anti")
+    """Source rows without a counterpart in the target; missing and blank keys match each other, trailing blanks don't count."""
+    kept = _compared(source, by).alias("s").join(_compared(target.select(*by), by).alias("t"), _same_keys("s", "t", by), "left_anti")
+    return kept.select(*[F.col(f"s.`{c}`") for c in source.columns])
 
 
 def in_target(source: DataFrame, target: DataFrame, by: Sequence[str],
               fetch: Sequence[str] = ()) -> DataFrame:
-    """Source rows that the target already has, with chosen target columns."""
+    """Source rows that the target already has, with chosen target columns; keys compare as in ``not_in_target``."""
+    s, own = _compared(source, by).alias("s"), [F.col(f"s.`{c}`") for c in source.columns]
+    t = _compared(target.select(*dict.fromkeys([*by, *fetch])), by).alias("t")
     if not fetch:
-        return source.alias("s").join(
-            target.select(*by).alias("t"), _same("s", "t", by), "left_semi")
-    t = target.select(*by, *fetch).alias("t")
-    return source.alias("s").join(t, _same("s", "t", by)).select(
-        "s.*", *[f"t.`{c}`" for c in fetch])
+        return s.join(t, _same_keys("s", "t", by), "left_semi").select(*own)
+    return s.join(t, _same_keys("s", "t", by)).select(*own, *[F.col(f"t.`{c}`") for c in fetch])
 
 
 def range_join(df: DataFrame, ranges: DataFrame, value: str, low: str, high: str,
-               missing_low: bool = True, salts: int = 64) -> DataFrame:
+               missing_low: bool = True, cells: int = 64) -> DataFrame:
     """Inner join on ``value between low and high`` as an equality join over buckets.
 
-    Each range is filed under a power of two above its length, so it touches at most two
+    A narrow range is filed under a power of two above its length, so it touches at most two
     buckets of that width whatever its length; a value looks up one bucket per width in use.
+    A range that holds a whole one of ``cells`` cells, cut so that each has about as many values, is filed under
+    each cell that it touches, and a value looks up its own: wide and endless ranges don't meet all values in one bucket.
+    A value on several cuts, because very many rows have it, is dealt to the cells between them by a hash.
     The work is a hash or sort-merge join that Spark can broadcast by size or split, never a
-    comparison of every value with every range.  An endless range would meet all values in
-    one bucket: it is filed under ``salts`` buckets, and a row looks up the one its columns
-    hash to.  Both bounds are included.  With ``missing_low`` a missing value or bound counts as lower than
-    every number.
+    comparison of every value with every range.  Both bounds are included.  With ``missing_low`` a missing
+    value or bound counts as lower than every number.
     """
     lowest, any_width = F.lit(-sys.float_info.max), F.lit(2000)
 
@@ -151,11 +168,15 @@ def range_join(df: DataFrame, ranges: DataFrame, value: str, low: str, high: str
         number = F.col(c).cast("double")
         return F.coalesce(number, lowest) if missing_low else number
 
-    filed = ranges.withColumns({"_sf_lo": num(low), "_sf_hi": num(high)})
-    filed = filed.where("_sf_lo <= _sf_hi")
+    shares = F.array(*[F.lit(i / cells) for i in range(1, cells)])
+    cuts = F.coalesce(df.select(F.percentile_approx(num(value), shares, F.lit(50 * cells))).scalar(), F.array().cast("array<double>"))
+    below = lambda c: F.size(F.filter("_sf_cuts", lambda x: x < F.col(c)))
+    upto = lambda c: F.size(F.filter("_sf_cuts", lambda x: x <= F.col(c)))
+    filed = ranges.withColumns({"_sf_lo": num(low), "_sf_hi": num(high), "_sf_cuts": cuts})
+    filed = filed.where("_sf_lo <= _sf_hi").withColumns({"_sf_first": below("_sf_lo"), "_sf_last": upto("_sf_hi")})
     span = F.greatest(F.col("_sf_hi") - F.col("_sf_lo"), F.lit(2.0 ** -32))
-    endless = (F.col("_sf_lo") == lowest) | (span > 1e300)
-    level = F.when(endless, any_width).otherwise((F.floor(F.log2(span)) + 2).cast("int"))
+    wide = (F.col("_sf_lo") == lowest) | (span > 1e300) | (F.col("_sf_last") - F.col("_sf_first") > 1)
+    level = F.when(wide, any_width).otherwise((F.floor(F.log2(span)) + 2).cast("int"))
     filed = filed.withColumn("_sf_level", level)
     # The widths in use: at most one per power of two, however many ranges there are.
     levels = filed.select(F.collect_set("_sf_level")).scalar()
@@ -165,18 +186,20 @@ def range_join(df: DataFrame, ranges: DataFrame, value: str, low: str, high: str
         # Adding zero turns -0.0 into 0.0; as two entries they would match the same rows twice.
         return F.rint(F.col(c) / width) + F.lit(0.0)
 
-    every = F.transform(F.sequence(F.lit(0), F.lit(salts - 1)), lambda s: s.cast("double"))
-    ends = F.when(F.col("_sf_level") == any_width, every).otherwise(
+    touched = F.transform(F.sequence("_sf_first", "_sf_last"), lambda s: s.cast("double"))
+    ends = F.when(F.col("_sf_level") == any_width, touched).otherwise(
         F.array_distinct(F.array(bucket("_sf_lo"), bucket("_sf_hi"))))
-    filed = filed.withColumn("_sf_bucket", F.explode(ends)).drop("_sf_lo", "_sf_hi")
-    probe = df.withColumns({"_sf_v": num(value), "_sf_levels": levels}).where("_sf_v is not null")
-    probe = probe.withColumn("_sf_level", F.explode("_sf_levels"))
+    filed = filed.withColumn("_sf_bucket", F.explode(ends)).drop("_sf_lo", "_sf_hi", "_sf_cuts", "_sf_first", "_sf_last")
+    probe = df.withColumns({"_sf_v": num(value), "_sf_levels": levels, "_sf_cuts": cuts}).where("_sf_v is not null")
     # A hash and no random number: a task that is run again files its rows alike.
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salts)).cast("double")
-    probe = probe.withColumn("_sf_bucket", F.when(F.col("_sf_level") == any_width, salt).otherwise(bucket("_sf_v")))
+    turn = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    probe = probe.withColumns({"_sf_first": below("_sf_v"), "_sf_last": upto("_sf_v")})
+    own = (F.col("_sf_first") + F.pmod(turn, F.col("_sf_last") - F.col("_sf_first") + 1)).cast("double")
+    probe = probe.withColumn("_sf_cell", own).drop("_sf_cuts", "_sf_first", "_sf_last").withColumn("_sf_level", F.explode("_sf_levels"))
+    probe = probe.withColumn("_sf_bucket", F.when(F.col("_sf_level") == any_width, F.col("_sf_cell")).otherwise(bucket("_sf_v")))
     v, a, b = F.col(value), F.col(low), F.col(high)
     inside = (missing_le(a, v) & missing_le(v, b)) if missing_low else v.between(a, b)
-    joined = probe.drop("_sf_v", "_sf_levels").join(filed, ["_sf_level", "_sf_bucket"])
+    joined = probe.drop("_sf_v", "_sf_levels", "_sf_cell").join(filed, ["_sf_level", "_sf_bucket"])
     return joined.where(inside).drop("_sf_level", "_sf_bucket")
 
 

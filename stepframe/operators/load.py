@@ -158,15 +158,20 @@ def counter_upsert(counters: DataFrame, events: DataFrame, by: Sequence[str],
     """Add the events to their counters; a counter that is not there starts at 0.
 
     With a limit, events beyond it are refused and do not count; a limit column is one of the
-    keys'.  Counters and events are one table with one shuffle, and both combine before it.
+    keys'.  Counters and events are one table with one shuffle, and both combine before it.  Other columns of
+    a counter stay and are missing for a new one.
     """
     keys = [F.col(f"`{k}`") for k in by]
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     held = F.coalesce(F.col(f"`{count}`").cast("bigint"), none)
-    stacked = counters.select(*keys, held.alias("_sf_old"), none.alias("_sf_n")).unionByName(
-        events.select(*keys, none.alias("_sf_old"), one.alias("_sf_n")))
-    summed = stacked.groupBy(*by).agg(F.sum("_sf_old").alias("_sf_old"), F.sum("_sf_n").alias("_sf_n"))
+    other = [c for c in counters.columns if c not in by and c != count]
+    kept = [F.struct(*[F.col(f"`{c}`") for c in other]).alias("_sf_other")] if other else []
+    stacked = counters.select(*keys, held.alias("_sf_old"), none.alias("_sf_n"), *kept).unionByName(
+        events.select(*keys, none.alias("_sf_old"), one.alias("_sf_n")), allowMissingColumns=True)
+    summed = stacked.groupBy(*by).agg(F.sum("_sf_old").alias("_sf_old"), F.sum("_sf_n").alias("_sf_n"),
+                                      *[F.first(c, ignorenulls=True).alias("_sf_other") for c in ["_sf_other"] if other])
     old, total = F.col("_sf_old"), F.col("_sf_old") + F.col("_sf_n")
     if limit is not None:
         total = F.greatest(old, F.least(limit if isinstance(limit, Column) else F.lit(limit), total))
-    return summed.select(*by, total.cast("bigint").alias(count))
+    new = {count: total.cast("bigint"), **{c: F.col("_sf_other")[c] for c in other}, **{k: F.col(f"`{k}`") for k in by}}
+    return summed.select(*[new[c].alias(c) for c in ([*by, count] if not other else counters.columns)])

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stepframe.session import Rounds, materialize
+
 COMMENT = r"(?s)/\*.*?\*/"
 STEP_START = r"(?i)(^|;)\s*(data|proc)\s"
 NAME = r"([A-Za-z_][A-Za-z0-9_.]*)"
@@ -102,6 +104,33 @@ def script_dependency_count(edges: DataFrame, by: Sequence[str] = ("script_id",)
     return edges.groupBy(*by).agg(F.count_distinct("src").alias("dependencies_count"))
 
 
+def final_tables(edges: DataFrame, by: Sequence[str] = ("script_id",)) -> DataFrame:
+    """Distinct (by, table): tables that are made and that no other table is made from."""
+    used = edges.where("src <> dst").select(*by, F.col("src").alias("table"))
+    return edges.select(*by, F.col("dst").alias("table")).distinct().join(used, [*by, "table"], "left_anti")
+
+
+def upstream_tables(edges: DataFrame, tables: DataFrame, by: Sequence[str] = ("script_id",)) -> DataFrame:
+    """Distinct (by, table, depth): all that the given (by, table) are made from, through any number of steps.
+
+    ``depth`` is the least number of steps to one of them.  Edges (by, src, dst) lead on inside a group of ``by``;
+    without ``by`` through all scripts.  Each turn goes one step back from what the last one found first, so a cycle
+    ends, and a table that is part of one is upstream of itself.  Turns are stored; one reads all before as one table.
+    """
+    by = list(by)
+    steps = materialize(edges.select(*by, "src", "dst").distinct(), "edges")
+    found, depth = Rounds(edges.sparkSession, "upstream"), 1
+    front = tables.select(*by, "table").distinct()
+    while True:
+        back = front.withColumnRenamed("table", "dst").join(steps, [*by, "dst"]).select(*by, F.col("src").alias("table")).distinct()
+        if found.n:
+            back = back.join(found.all().select(*by, "table"), [*by, "table"], "left_anti")
+        front = found.add(back.withColumn("depth", F.lit(depth)))
+        if front.isEmpty():
+            return found.all()
+        depth += 1
+
+
 def script_complexity(scripts: DataFrame, text: str = "text") -> DataFrame:
     """Score 1-10 per script with the features behind it.
 

@@ -118,13 +118,12 @@ def return_code_rollup(codes: DataFrame, job: str, step: str, code: str) -> Data
 
 
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None,
-                   exact: bool | Sequence[str] = False) -> DataFrame:
+                   exact: bool | Sequence[str] = True) -> DataFrame:
     """One row per column: rows, nulls, distinct values, lowest, highest, mean.
 
     Lowest and highest are text; the mean is missing for text columns.  Distinct values are
-    counted by a sketch of fixed size in the one pass over the table, within about 5 %; for the
-    columns named by ``exact`` (or all, with True) exactly, which costs a second pass that
-    repeats each row once per such column.
+    counted exactly, which costs a second pass that repeats each row once per column; with ``exact`` False, or
+    for columns that it doesn't name, by a sketch of fixed size in the one pass over the table, within about 5 %.
     """
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
     precise = {f.name for f in fields} if exact is True else set(exact or ())

@@ -71,6 +71,27 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Rounds:
+    """A table that grows by rounds: one folder for each below one folder, read as one table.
+
+    A loop that joins with all its earlier rows plans one scan for them, however many rounds there were.
+    """
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.path, self.schema, self.n = spark, scratch_path(spark, label), None, 0
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Store the rows of a round and give them back."""
+        path, self.schema = f"{self.path}/round={self.n}", df.schema
+        with freed_shuffles(self.spark):
+            df.write.parquet(path)
+        self.n += 1
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path).drop("round")
+
+
 def delete_folders(spark: SparkSession, paths: Sequence[str]) -> None:
     """Delete folders; ones that are not there are passed over."""
     for path in paths:
@@ -87,10 +108,15 @@ def replace_table(df: DataFrame, path: str, **options: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path
 
     def swap(fs, p) -> None:
-        if fs.exists(p):
-            fs.rename(p, at(old))
-        fs.rename(at(new), p)
-        fs.delete(at(old), True)
+        # A store says by its return value that it did not rename.
+        there = fs.exists(p)
+        if there and not fs.rename(p, at(old)):
+            raise OSError(f"{path} can't be moved away; the new rows are in {new}")
+        if not fs.rename(at(new), p):
+            back = there and not fs.rename(at(old), p)
+            raise OSError(f"{new} can't be moved to {path}" + (f"; the old rows are in {old}" if back else ""))
+        if there:
+            fs.delete(at(old), True)
 
     _files(spark, path.rstrip("/"), swap)
     spark.catalog.refreshByPath(path)

@@ -110,6 +110,19 @@ def script_dependency_count(t):
     return C.script_dependency_count(C.script_lineage_edges(C.script_step_inventory(scripts(t))))
 
 
+@query("script_upstream_tables", f"""
+WITH RECURSIVE e AS ({EDGES_SQL}),
+final AS (SELECT DISTINCT script_id, dst AS t FROM e
+          WHERE (script_id, dst) NOT IN (SELECT (script_id, src) FROM e WHERE src <> dst)),
+up AS (SELECT script_id, t, 0 AS depth FROM final
+       UNION SELECT up.script_id, e.src, depth + 1 FROM up JOIN e ON e.script_id = up.script_id AND e.dst = up.t WHERE depth < 9)
+SELECT script_id, t AS "table", CAST(MIN(depth) AS INTEGER) AS depth FROM up WHERE depth > 0 GROUP BY script_id, t""")
+def script_upstream_tables(t):
+    """All that the last tables of each script are made from, directly or not."""
+    edges = materialize(C.script_lineage_edges(C.script_step_inventory(scripts(t))), "lineage")
+    return C.upstream_tables(edges, C.final_tables(edges))
+
+
 COMPLEXITY_SQL = f"""
 SELECT script_id, CAST(n_steps AS INTEGER) AS n_steps, CAST(n_macros AS INTEGER) AS n_macros,
        CAST(n_advanced AS INTEGER) AS n_advanced,

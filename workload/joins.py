@@ -199,7 +199,7 @@ COPY = """(SELECT c_custkey, c_name, CASE WHEN c_nationkey = 7 THEN c_acctbal +
            FROM {customer} WHERE c_nationkey <> 11)"""
 
 
-@query("dataset_compare", f"""
+COMPARE_SQL = f"""
 WITH a AS (SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer WHERE c_nationkey <> 12),
      b AS {COPY.format(customer='customer')},
      j AS (SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, a.c_custkey IS NULL AS no_a,
@@ -211,13 +211,28 @@ SELECT c_custkey, CASE WHEN no_b THEN 'only_a' ELSE 'only_b' END AS side, NULL A
 UNION ALL SELECT c_custkey, 'changed', 'c_acctbal', CAST(a_bal AS VARCHAR), CAST(b_bal AS VARCHAR)
 FROM j WHERE NOT no_a AND NOT no_b AND abs(a_bal - b_bal) > 0.5
 UNION ALL SELECT c_custkey, 'changed', 'c_mktsegment', a_seg, b_seg
-FROM j WHERE NOT no_a AND NOT no_b AND a_seg IS DISTINCT FROM b_seg""")
+FROM j WHERE NOT no_a AND NOT no_b AND a_seg IS DISTINCT FROM b_seg"""
+
+
+@query("dataset_compare", COMPARE_SQL)
 def dataset_compare(t):
     a = t.customer.where("c_nationkey <> 12").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
     b = t.sql(f"SELECT * FROM {COPY}", "customer")
     return U.dataset_compare(a, b, ["c_custkey"], tol=0.5)
 
 
+@query("large_dataset_compare", """
+SELECT l_orderkey, l_linenumber, l_partkey, 'changed' AS side, 'l_quantity' AS column_name,
+       CAST(l_quantity AS VARCHAR) AS a_value, CAST(l_quantity + 1 AS VARCHAR) AS b_value
+FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem WHERE l_orderkey % 1000 = 3)""")
+def large_dataset_compare(t):
+    """A table and a copy of it in which one order in a thousand differs."""
+    keys = ["l_orderkey", "l_linenumber", "l_partkey"]
+    a = t.lineitem.select(*keys, "l_quantity").distinct()
+    b = a.withColumn("l_quantity", F.when(F.col("l_orderkey") % 1000 == 3, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
+    return U.large_dataset_compare(a, b, keys)
+
+
 @query("dataset_verdict", f"""
 WITH a AS (SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer), b AS {COPY.format(customer='customer')}
 SELECT (SELECT COUNT(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) AS n_only_a,
