@@ -1,99 +1,67 @@
 """Partial status updates from a stream of changes.
 
 A batch costs as much as its changes, not as much as the table: its changes are folded to one
-row per key and stored, and the table is the stored base with these rows applied when it is
-read.  ``compact`` turns base and changes into a new base.
+row per key and stored as a partition of a changes folder; the table is the base with these rows applied when
+it is read.  The base is bucketed by key, so a read shuffles the changes and never the base.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stepframe.operators.load import apply_folded, fold_changes
-from stepframe.session import delete_folders
 
+BUCKETS = 64
 
-class StatusTable:
-    """A base table and the folded changes of each batch of one stream, as parquet folders.
 
-    Batch n is stored in its own folder; a repeated batch writes the same rows there again, so
-    a retry changes nothing.  Bases are numbered by the first batch that they do not contain
-    and noted in a small log once they are complete.
+def keyed_table(df: DataFrame, name: str, key: str, buckets: int = BUCKETS, path: str | None = None) -> DataFrame:
+    """Store ``df`` as a table of the catalog in buckets of ``key`` and read it back; ``path`` is where its files go.
+
+    Rows come to the writer by bucket, so there is one file per bucket.
     """
+    writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def store_changes(folded: DataFrame, path: str, batch_id: int) -> None:
+    """Store the folded changes of a batch; a repeated batch takes the place of its first writing."""
+    (folded.withColumn("batch", F.lit(batch_id).cast("bigint")).write.partitionBy("batch").mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").parquet(path))
 
-    def __init__(self, spark: SparkSession, path: str, key: str, fields: Sequence[str],
-                 version: str | None = "version", updated: str | None = "updated_at"):
-        self.spark, self.path, self.key, self.fields = spark, path, key, list(fields)
-        self.version, self.updated = version, updated
-
-    def _store_base(self, df: DataFrame, first_batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/base/{first_batch}")
-        note = self.spark.range(1).select(F.lit(first_batch).cast("bigint").alias("first_batch"))
-        note.write.mode("append").parquet(f"{self.path}/log")
-
-    def create(self, df: DataFrame) -> None:
-        """Start with ``df`` and no changes."""
-        self._store_base(df, 0)
-        folded = df.limit(0).select(self.key, *self.fields, F.lit(0).alias("bumps"),
-                                    (F.col(self.updated) if self.updated else
-                                     F.lit(None).cast("timestamp_ntz")).alias("changed_at"))
-        # An empty batch fixes the schema of the changes before the first one comes.
-        folded.write.mode("overwrite").parquet(f"{self.path}/changes/batch=-1")
-
-    def store_batch(self, folded: DataFrame, batch_id: int) -> None:
-        folded.write.mode("overwrite").parquet(f"{self.path}/changes/batch={batch_id}")
-
-    def _base(self) -> tuple[int, DataFrame]:
-        log = self.spark.read.schema("first_batch bigint").parquet(f"{self.path}/log")
-        first = log.agg(F.max("first_batch")).first()[0]
-        return first, self.spark.read.parquet(f"{self.path}/base/{first}")
-
-    def _changes(self, first_batch: int) -> DataFrame:
-        # The filter is on the folder name, so batches inside the base are not read.
-        return self.spark.read.parquet(f"{self.path}/changes").where(F.col("batch") >= first_batch)
-
-    def read(self) -> DataFrame:
-        """The table with all stored batches applied."""
-        first, base = self._base()
-        last = [F.max_by(f, F.when(F.col(f).isNotNull(), F.col("batch"))).alias(f) for f in self.fields]
-        folded = self._changes(first).groupBy(self.key).agg(
-            *last, F.sum("bumps").cast("int").alias("bumps"), F.max("changed_at").alias("changed_at"))
-        return apply_folded(base, folded, self.key, self.fields, self.version, self.updated)
-
-    def compact(self) -> None:
-        """Store the table as a new base.  Run it between runs of the stream.
-
-        The base that it replaces and the batches read with it stay until the next compaction,
-        for readers that have begun; older ones are deleted.
-        """
-        first, _ = self._base()
-        newest = self._changes(first).agg(F.max("batch")).first()[0]
-        if newest is None or newest < first:
-            return
-        self._store_base(self.read(), newest + 1)
-        log = self.spark.read.schema("first_batch bigint").parquet(f"{self.path}/log")
-        before = log.where(F.col("first_batch") < first).agg(F.max("first_batch")).first()[0]
-        if before is not None:
-            gone = [f"base/{before}", *[f"changes/batch={n}" for n in range(before, first)]]
-            delete_folders(self.spark, [f"{self.path}/{folder}" for folder in gone])
-
-
-def stream_status_upsert(changes: DataFrame, table: StatusTable, checkpoint: str,
+
+def status_now(base: DataFrame, path: str, key: str, fields: Sequence[str], version: str | None = "version",
+               updated: str | None = "updated_at", since: int = 0, buckets: int = BUCKETS) -> DataFrame:
+    """The base with all stored batches from ``since`` on; a later batch wins over an earlier one.
+
+    To start from a new base, store this as a ``keyed_table`` and read with ``since`` the next batch; the old base and
+    batches serve readers that have begun and can go afterwards.
+    """
+    spark, types = base.sparkSession, dict(base.dtypes)
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in [key, *fields]), "bumps int",
+                        f"changed_at {types[updated] if updated else 'timestamp_ntz'}", "batch bigint"])
+    # The filter is on the folder name, so batches inside the base are not read.
+    changes = spark.read.schema(schema).parquet(path).where(F.col("batch") >= since)
+    last = [F.max_by(f, F.when(F.col(f).isNotNull(), F.col("batch"))).alias(f) for f in fields]
+    folded = changes.repartition(buckets, key).groupBy(key).agg(
+        *last, F.sum("bumps").cast("int").alias("bumps"), F.max("changed_at").alias("changed_at"))
+    return apply_folded(base, folded, key, fields, version, updated)
+
+
+def stream_status_upsert(changes: DataFrame, path: str, key: str, fields: Sequence[str], checkpoint: str,
                          order_by: Sequence[str], blank_ignored: Sequence[str] = (),
                          version_on: str | None = None, at: str | None = None) -> StreamingQuery:
-    """Take up the changes that are there now.
+    """Take up the changes that are there now and store them by batch below ``path``.
 
-    Inside a batch the changes of a key are folded in ``order_by`` order; a later batch wins
-    over an earlier one.
+    Inside a batch the changes of a key are folded in ``order_by`` order.
     """
 
     def take_up(batch: DataFrame, batch_id: int) -> None:
-        folded = fold_changes(batch, table.key, order_by, table.fields, blank_ignored, version_on, at)
-        table.store_batch(folded, batch_id)
+        store_changes(fold_changes(batch, key, order_by, fields, blank_ignored, version_on, at), path, batch_id)
 
     return (changes.writeStream.foreachBatch(take_up).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

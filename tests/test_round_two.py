@@ -180,20 +180,6 @@ def test_repeated_run_logs_once(spark, tmp_path):
     assert {r.step for r in log.select("step").collect()} == {"007"}
 
 
-def test_compaction_deletes_what_the_one_before_absorbed(spark, tmp_path):
-    from stepframe.streaming import StatusTable
-    table = StatusTable(spark, f"file://{tmp_path}/status", "id", ["status"], None, None)
-    table.create(spark.createDataFrame([(1, "new")], "id int, status string"))
-    for n, status in enumerate("abcd"):
-        batch = spark.createDataFrame([(1, status, 0, None)], "id int, status string, bumps int, changed_at timestamp_ntz")
-        table.store_batch(batch, n)
-        table.compact()
-        table.compact()
-        assert [r.status for r in table.read().collect()] == [status]
-    assert sorted(p.name for p in (tmp_path / "status" / "changes").iterdir()) == ["batch=-1", "batch=3"]
-    assert sorted(p.name for p in (tmp_path / "status" / "base").iterdir()) == ["3", "4"]
-
-
 def test_endless_ranges_are_spread(spark):
     from stepframe.operators.joins import range_join
     conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}

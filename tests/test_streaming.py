@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stepframe.operators.load import fold_changes, upsert_status
 from stepframe.operators.sets import compare_verdict
 from stepframe.session import scratch_path
-from stepframe.streaming import StatusTable, months_of, stream_monthly_usage, stream_status_upsert
+from stepframe.streaming import keyed_table, months_of, status_now, store_changes, stream_monthly_usage, stream_status_upsert
 
 
 def requests(spark):
@@ -69,19 +69,25 @@ def test_status_stream_equals_batch_and_survives_a_repeat(spark):
         # Separate files in time order: each becomes one batch.
         changes.where((F.col("seq") >= n * 40) & (F.col("seq") < n * 40 + 40)).coalesce(1).write.mode(
             "append").parquet(source)
-    table = StatusTable(spark, scratch_path(spark, "table"), "id", ["status", "code"])
-    table.create(current)
-    assert compare_verdict(table.read(), current, ["id"]).first().verdict == "PASS"
+    fields, path = ["status", "code"], scratch_path(spark, "batches")
+    base = keyed_table(current, "status_base_of_test", "id", 4, scratch_path(spark, "base"))
+    read = lambda base, since=0: status_now(base, path, "id", fields, since=since, buckets=4)
+    store_changes(fold_changes(changes.limit(0), "id", ["seq"], fields, ["status"], "code", "at"), path, 0)
+    assert compare_verdict(read(base), current, ["id"]).first().verdict == "PASS"
     stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    stream_status_upsert(stream, table, scratch_path(spark, "state"), ["seq"], ["status"], "code",
-                         "at").awaitTermination()
-    want = upsert_status(current, changes, "id", ["seq"], ["status", "code"], ["status"], "code", at="at")
-    assert compare_verdict(table.read(), want, ["id"]).first().verdict == "PASS"
-    again = fold_changes(changes.where("seq >= 80"), "id", ["seq"], ["status", "code"], ["status"], "code", "at")
-    table.store_batch(again, 2)
-    assert compare_verdict(table.read(), want, ["id"]).first().verdict == "PASS"
-    table.compact()
-    assert table._base()[0] == 3
-    assert compare_verdict(table.read(), want, ["id"]).first().verdict == "PASS"
-    table.store_batch(fold_changes(changes.limit(0), "id", ["seq"], ["status", "code"]), 3)
-    assert compare_verdict(table.read(), want, ["id"]).first().verdict == "PASS"
+    stream_status_upsert(stream, path, "id", fields, scratch_path(spark, "state"), ["seq"], ["status"], "code", "at").awaitTermination()
+    want = upsert_status(current, changes, "id", ["seq"], fields, ["status"], "code", at="at")
+    assert compare_verdict(read(base), want, ["id"]).first().verdict == "PASS"
+    again = fold_changes(changes.where("seq >= 80"), "id", ["seq"], fields, ["status"], "code", "at")
+    store_changes(again, path, 2)
+    assert compare_verdict(read(base), want, ["id"]).first().verdict == "PASS"
+    newer = keyed_table(read(base), "status_newer_base_of_test", "id", 4, scratch_path(spark, "newer"))
+    assert compare_verdict(read(newer, since=3), want, ["id"]).first().verdict == "PASS"
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = read(base)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+    join = plan[plan.index("SortMergeJoin"):]
+    assert join.count("Exchange") == 1 and "batch" in join[join.index("Exchange"):], "only the changes are shuffled"

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from stepframe.session import scratch_path
-from stepframe.streaming import StatusTable, months_so_far, stream_monthly_usage, stream_status_upsert
+from stepframe.streaming import keyed_table, months_so_far, status_now, stream_monthly_usage, stream_status_upsert
 from workload.loads import CHANGE_ORDER, UPSERT_SQL, change_log, task_table
 from workload.registry import query
 
@@ -29,9 +29,10 @@ def usage(t):
 
 @query("stream_status_upsert", UPSERT_SQL)
 def status(t):
-    table = StatusTable(t.spark, scratch_path(t.spark, "status-table"), "id", ["status", "target_code"])
-    table.create(task_table(t))
-    run = stream_status_upsert(change_log(stream_of(t, "lineitem")), table, scratch_path(t.spark, "status-state"),
+    fields, buckets, changes = ["status", "target_code"], 8, scratch_path(t.spark, "status-changes")
+    path = scratch_path(t.spark, "status_base")
+    base = keyed_table(task_table(t), path.rsplit("/", 1)[1].replace("-", "_"), "id", buckets, path)
+    run = stream_status_upsert(change_log(stream_of(t, "lineitem")), changes, "id", fields, scratch_path(t.spark, "status-state"),
                                CHANGE_ORDER, ["status"], "target_code", "l_shipdate")
     run.awaitTermination()
-    return table.read()
+    return status_now(base, changes, "id", fields, buckets=buckets)
