@@ -27,22 +27,33 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go, common lines are taken out of the others."""
+    """Rejected documents go, common lines are taken out of the others.
+
+    A null or empty text has too few words and goes; repeated rows are judged alike; an empty table gives none.
+    """
     judged = quality_rules(docs).filter("kept")
     return judged.select("doc_id", F.col("clean_text").alias("text"), "lang", "source",
                          F.when(F.col("removed_words") > 0, F.length("clean_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies stays."""
+    """One document of each group of copies stays: the one of least id, also of rows with one id and different texts.
+
+    Rows of a null text all stay; an empty table gives none.
+    """
     return deduplicate(docs.select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    leaks = contaminations(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    found = leaks.select(F.col("doc_id").alias("__llm_id")).distinct()
-    return docs.select(*COLUMNS).join(found, F.col("doc_id").eqNullSafe(F.col("__llm_id")), "left_anti")
+    """Documents that hold a benchmark item go.
+
+    A row is named by its id and text together, so clean rows stay that have the id of another one or none.  Rows of a
+    null or empty text stay; repeated rows go or stay together; an empty table gives none.
+    """
+    row = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    leaks = contaminations(docs.select(row.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = leaks.select(F.col("doc_id").alias("__llm_row")).distinct()
+    return docs.select(*COLUMNS).join(found, row == F.col("__llm_row"), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
