@@ -150,6 +150,26 @@ def test_deduplicate_keeps_one_of_each_class(spark, odd):
     assert sum(i is None and t is not None for i, t in rows) == 1
 
 
+def test_rows_of_one_id_and_unlike_texts_stay_apart(spark):
+    say = lambda n, k: " ".join(f"w{n}x{i}" for i in range(k))
+    rows = [(1, say(1, 40)), (1, say(2, 40)), (1, say(1, 40)), (None, say(3, 40)), (None, say(4, 40)), (2, say(4, 40) + " end"), (3, say(2, 40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    places = dedup.classes_of_texts(docs).collect()
+    assert len({r["class"] for r in places}) == 4 and len(places) == 5
+    kept = [(r.doc_id, r.text) for r in dedup.deduplicate(docs).collect()]
+    assert sorted(kept, key=str) == sorted([rows[0], rows[1], rows[3], rows[5]], key=str)
+
+
+def test_clean_rows_of_a_leaking_id_stay(spark):
+    folder = "/root/testdata/sf0.001"
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").orderBy(F.desc(F.length("text"))).first().text
+    clean = "nothing of that is in this one here"
+    rows = [(7, item), (7, clean), (None, item), (None, clean), (8, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.decontaminate(spark, docs, folder).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([rows[1], rows[3], rows[4], rows[5]], key=str)
+
+
 def test_components_of_long_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(1, 60)] + [(100, 100 + k) for k in range(1, 50)] + [(149, 90), (7, 7)]
     got = dict(map(tuple, dedup.components(spark.createDataFrame(chain, "a long, b long")).collect()))
