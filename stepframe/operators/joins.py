@@ -169,9 +169,19 @@ def range_join(df: DataFrame, ranges: DataFrame, value: str, low: str, high: str
         return F.coalesce(number, lowest) if missing_low else number
 
     shares = F.array(*[F.lit(i / cells) for i in range(1, cells)])
-    cuts = F.coalesce(df.select(F.percentile_approx(num(value), shares, F.lit(50 * cells))).scalar(), F.array().cast("array<double>"))
-    below = lambda c: F.size(F.filter("_sf_cuts", lambda x: x < F.col(c)))
-    upto = lambda c: F.size(F.filter("_sf_cuts", lambda x: x <= F.col(c)))
+    # At most 63 numbers, from one pass over the values when this is called.
+    found = df.select(F.percentile_approx(num(value), shares, F.lit(10 * cells))).first()[0] or [0.0] * (cells - 1)
+    cuts = F.array(*[F.lit(x) for x in found])
+
+    def counted(before, first: int = 0, last: int = cells - 1) -> Column:
+        """How many cuts come before, by halves: as many comparisons as the number of cells has bits."""
+        if first == last:
+            return F.lit(first)
+        mid = (first + last) // 2
+        return F.when(before(F.get("_sf_cuts", F.lit(mid))), counted(before, mid + 1, last)).otherwise(counted(before, first, mid))
+
+    below = lambda c: counted(lambda x: x < F.col(c))
+    upto = lambda c: counted(lambda x: x <= F.col(c))
     filed = ranges.withColumns({"_sf_lo": num(low), "_sf_hi": num(high), "_sf_cuts": cuts})
     filed = filed.where("_sf_lo <= _sf_hi").withColumns({"_sf_first": below("_sf_lo"), "_sf_last": upto("_sf_hi")})
     span = F.greatest(F.col("_sf_hi") - F.col("_sf_lo"), F.lit(2.0 ** -32))
