@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepframe.operators.ranges import ROWS_PER_RANGE, numbered_by_ranges
 from stepframe.session import materialize
 
 HOT_ROWS = 2_000_000
@@ -155,14 +156,18 @@ def retain_counter(df: DataFrame, by: Sequence[str], order_by: Sequence[str | Co
 
 
 def dense_row_id(df: DataFrame, order_by: Sequence[str | Column], start=1,
-                 out: str = "id") -> DataFrame:
+                 out: str = "id", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Gap-free global numbering in a stated order, without passing all rows through one task.
 
-    Rows are range-partitioned and sorted once; only one count per partition is summed up.
+    Named columns (ascending, missing first): by ranges between stored cut points, the table is not
+    copied.  Other orders: the sorted rows are stored once and only counts per chunk are summed up.
     ``start`` is a number or a Column (for example a scalar subquery).
     """
     first = start if isinstance(start, Column) else F.lit(start)
-    numbered = _positions_chunked(df, [], order_by, out)
+    if order_by and all(isinstance(c, str) and c in df.columns and c != out for c in order_by):
+        numbered = numbered_by_ranges(df, list(order_by), out, _positions_chunked, rows_per_range)
+    else:
+        numbered = _positions_chunked(df, [], order_by, out)
     return numbered.withColumn(out, (F.col(out) - 1 + first).cast("bigint"))
 
 
