@@ -18,19 +18,67 @@ def library_write(df: DataFrame, library: str, table: str) -> str:
         path = f"{library.rstrip('/')}/{table}.parquet"
         replace_table(df, path)
         return path
-    df.write.mode("overwrite").saveAsTable(f"{library}.{table}")
+    switch_table(df, f"{library}.{table}")
     return f"{library}.{table}"
 
 
 def create_table_as(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Store a query result as a catalog table, replacing it, and return the stored table."""
-    writer = df.write.mode("overwrite")
-    if path:
-        writer = writer.option("path", path)
-    writer.saveAsTable(name)
+    switch_table(df, name, path)
     return df.sparkSession.table(name)
 
 
+def switch_table(df: DataFrame, name: str, path: str | None = None) -> str | None:
+    """Store ``df`` in a new folder, then point the catalog's table ``name`` to it.
+
+    The folder is ``path``, or one below the warehouse, with a suffix of its own.  Returns the
+    folder of the rows before, None if there was no table: it is left, since readers that have begun
+    go on reading it, and is deleted by whoever knows that they are done.  With the same columns the
+    switch is one change of the table's location, so a reader sees the old or the new rows.  With other
+    columns, or where it is partitioned, bucketed or of another format, the old table makes room by a change
+    of name and comes back if the new one can't take its place; a folder that the catalog manages goes with it.
+    A write or switch that fails leaves the old table.  ``df`` may read the table.
+    """
+    spark, turn = df.sparkSession, uuid.uuid4().hex
+    place = path or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{name.replace('.', '/')}"
+    folder = f"{place.rstrip('/')}-{turn}"
+    df.write.parquet(folder)
+    there = spark.catalog.tableExists(name)
+    told = _described(spark, name) if there else {}
+    # A folder takes another's place where the table says no more of it than its format.
+    plain = told.get("Provider") == "parquet" and not told.keys() & {"# Partition Information", "Bucket Columns"}
+    at = folder.replace("'", "\\'")
+    if plain and _columns(spark.table(name)) == _columns(df):
+        _change(spark, f"ALTER TABLE {name} SET LOCATION '{at}'")
+    elif not there:
+        _change(spark, f"CREATE TABLE {name} USING parquet LOCATION '{at}'")
+    else:
+        new, old = f"{name}_new_{turn}", f"{name}_old_{turn}"
+        _change(spark, f"CREATE TABLE {new} USING parquet LOCATION '{at}'")
+        _change(spark, f"ALTER TABLE {name} RENAME TO {old}")
+        try:
+            _change(spark, f"ALTER TABLE {new} RENAME TO {name}")
+        except Exception:
+            _change(spark, f"ALTER TABLE {old} RENAME TO {name}")
+            _change(spark, f"DROP TABLE {new}")
+            raise
+        _change(spark, f"DROP TABLE {old}")
+    spark.catalog.refreshTable(name)
+    return told.get("Location")
+
+
+def _change(spark: SparkSession, statement: str) -> None:
+    spark.sql(statement)
+
+
+def _columns(df: DataFrame) -> list[tuple]:
+    return [(f.name, f.dataType.simpleString(), f.metadata) for f in df.schema.fields]
+
+
+def _described(spark: SparkSession, name: str) -> dict[str, str]:
+    return {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
+
+
 def create_view(df: DataFrame, name: str) -> DataFrame:
     """Name a query without running it."""
     df.createOrReplaceTempView(name)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stepframe import sources as S
 from stepframe.functions import put_numeric
 from stepframe.operators import load
+from stepframe.operators.ordered import dense_row_id
 from stepframe.session import scratch_path
 from workload.registry import query
 
@@ -149,3 +150,93 @@ def audit_log_append(t):
                              path.alias("path"))
     log = scratch_path(t.spark, "audit-log")
     return S.audit_log_append(t.spark, writes, "ts", "agent", "path", log)
+
+
+@query("switched_table", """
+SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus <> 'F'""")
+def switched_table(t):
+    rows = t.orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    place = scratch_path(t.spark, "switched")
+    # The first switch makes the table or changes its columns, the second reads the table that it replaces.
+    S.switch_table(rows, "stepframe_switched_orders", place)
+    S.switch_table(t.spark.table("stepframe_switched_orders").where("o_orderstatus <> 'F'"), "stepframe_switched_orders", place)
+    return t.spark.table("stepframe_switched_orders").drop("o_orderstatus")
+
+
+def in_order(t, name):
+    return S.read_in_order(t.spark, f"{t.folder}/{name}.parquet")
+
+
+@query("observation_number", "SELECT l_orderkey, l_linenumber, l_partkey, ROW_NUMBER() OVER () AS _n_ FROM lineitem")
+def observation_number(t):
+    return S.observation_numbers(in_order(t, "lineitem")).select("l_orderkey", "l_linenumber", "l_partkey", "_n_")
+
+
+@query("stable_sort", """
+SELECT o_orderkey, o_orderpriority, ROW_NUMBER() OVER (ORDER BY o_orderpriority, n) AS place
+FROM (SELECT *, ROW_NUMBER() OVER () AS n FROM orders)""")
+def stable_sort(t):
+    rows = in_order(t, "orders")
+    placed = dense_row_id(rows.select("o_orderkey", "o_orderpriority", "input_file", "input_row"),
+                          ["o_orderpriority", "input_file", "input_row"], out="place")
+    return placed.drop("input_file", "input_row")
+
+
+@query("first_in_input", """
+SELECT user_id, event_id, event_type FROM (SELECT *, ROW_NUMBER() OVER () AS n FROM events)
+QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY n) = 1""")
+def first_in_input(t):
+    rows = in_order(t, "events").select("user_id", "event_id", "event_type", "input_file", "input_row")
+    return S.first_in_input(rows, ["user_id"])
+
+
+@query("merge_by_position", """
+SELECT CASE WHEN s.n IS NOT NULL THEN s.s_suppkey ELSE c.c_custkey END AS id, c.c_name, s.s_name,
+       CASE WHEN s.n IS NOT NULL THEN s.s_acctbal ELSE c.c_acctbal END AS balance
+FROM (SELECT *, ROW_NUMBER() OVER () AS n FROM customer) c
+FULL JOIN (SELECT *, ROW_NUMBER() OVER () AS n FROM supplier) s ON c.n = s.n""")
+def merge_by_position(t):
+    left = in_order(t, "customer").withColumnsRenamed({"c_custkey": "id", "c_acctbal": "balance"})
+    right = in_order(t, "supplier").withColumnsRenamed({"s_suppkey": "id", "s_acctbal": "balance"})
+    return S.merge_by_position(left, right).select("id", "c_name", "s_name", "balance")
+
+
+@query("quarantined_lines", """
+SELECT o_orderkey AS line_no,
+       CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS customer,
+       CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END AS day,
+       CASE WHEN o_orderkey % 11 <> 0 AND o_orderstatus <> 'P' THEN o_orderpriority END AS priority,
+       CASE WHEN o_orderkey % 11 = 0 THEN 'too few fields' WHEN o_orderkey % 13 = 0 THEN 'too many fields'
+            WHEN o_orderkey % 7 = 0 THEN 'not a bigint: customer'
+            WHEN o_orderkey % 5 = 0 THEN 'not a date: day' END AS reason,
+       CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 OR o_orderkey % 7 = 0 OR o_orderkey % 5 = 0
+            THEN 'rejected' ELSE 'accepted' END AS status
+FROM (SELECT * REPLACE (CAST(o_orderdate AS DATE) AS o_orderdate) FROM orders)""")
+def quarantined_lines(t):
+    k = F.col("o_orderkey")
+    line = F.concat(
+        k, F.lit(","), F.when(k % 7 == 0, F.lit("n/a")).otherwise(F.col("o_custkey").cast("string")),
+        F.lit(","), F.when(k % 5 == 0, F.lit("someday")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")),
+        F.when(k % 11 == 0, F.lit("")).otherwise(F.concat(
+            F.lit(","), F.when(F.col("o_orderstatus") == "P", F.lit("")).otherwise(F.concat(F.lit('"'), "o_orderpriority", F.lit('"'))),
+            F.when(k % 13 == 0, F.lit(",more")).otherwise(F.lit("")))))
+    path = scratch_path(t.spark, "delimited")
+    t.orders.select(line).write.text(path)
+    read = S.lines_with_status(t.spark.read.text(path), "line_no bigint, customer bigint, day date, priority string")
+    return read.drop("value")
+
+
+@query("quarantined_fixed_width", """
+SELECT CASE WHEN c_custkey % 9 <> 0 AND c_custkey % 4 <> 0 THEN CAST(c_custkey AS DOUBLE) END AS id,
+       CASE WHEN c_custkey % 9 <> 0 THEN c_mktsegment ELSE '' END AS segment,
+       CASE WHEN c_custkey % 9 = 0 THEN 'too few fields' WHEN c_custkey % 8 = 0 THEN 'not a number: id' END AS reason,
+       CASE WHEN c_custkey % 9 = 0 OR c_custkey % 8 = 0 THEN 'rejected' ELSE 'accepted' END AS status
+FROM customer""")
+def quarantined_fixed_width(t):
+    k = F.col("c_custkey")
+    number = F.when(k % 8 == 0, F.lit("12x")).when(k % 4 == 0, F.lit(".")).otherwise(k.cast("string"))
+    line = F.when(k % 9 == 0, F.lit("")).otherwise(F.concat(F.rpad(number, 12, " "), "c_mktsegment"))
+    path = scratch_path(t.spark, "fixed")
+    t.customer.select(line).write.text(path)
+    read = S.fixed_width_with_status(t.spark.read.text(path), [("id", "num", 1, 12), ("segment", "char", 13, 40)])
+    return read.drop("value")
