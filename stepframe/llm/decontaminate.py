@@ -2,7 +2,8 @@
 
 The index is inverted, by term, with the largest impact of each term in each block of items.  An item's
 common terms can't reach its threshold together, so only the others open it: a passage has to hold
-enough of them.  Then the blocks' bounds decide, then the item's score.  Items above their threshold
+enough of them.  A passage first sums its terms' block maxima, and reads the postings only of blocks whose
+bound reaches the least need of their items; then the item's score decides.  Items above their threshold
 are verified by the overlap of question and answer.
 """
 
@@ -16,9 +17,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stepframe.session import Rounds, materialize
+
 K1, B = 1.2, 0.75
 #: Items in a block of the index, and items in an index that is sent to the executors at a time.
 BLOCK, ITEMS = 64, 20_000
@@ -36,6 +40,14 @@ def terms_of(texts: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(split.offsets, pc.utf8_trim(split.values, TRIM))
 
 
+def answered(question: str, marked: bool) -> bool:
+    """Whether an item's answer has to be found too: it is marked, or the question is asked, short or empty.
+
+    A passage that asks nothing is told by itself; its last sentence is no answer.
+    """
+    return marked or question.rstrip().endswith("?") or len(question.split()) < SHINGLE
+
+
 def question_answer(text: str) -> tuple[str, str]:
     """The answer begins behind the last "answer:", else with the last sentence or line of several."""
     marks = list(ANSWER.finditer(text))
@@ -50,53 +62,73 @@ class Index:
     """Items by number: ids, term numbers in order, where the answer begins, thresholds; impacts.
 
     ``opens`` has by term (from ``offsets``) the items that it opens and its impact there; ``need`` is what
-    such impacts have to sum up to, the threshold without all that the other terms could give.
+    such impacts have to sum up to, the threshold without all that the other terms could give.  ``blocks`` has by
+    term (from ``block_offsets``) the blocks with such items: number, largest impact, from and to in ``opens``.
     """
 
     ids: list[int]
     terms: list[str]
     words: list[np.ndarray]
     answers: list[int]
+    asked: list[bool]
     impact: list[tuple[np.ndarray, np.ndarray]]  # by item: terms, impacts
     offsets: np.ndarray
     opens: tuple[np.ndarray, np.ndarray]
-    block_most: np.ndarray                      # by term and block
+    block_offsets: np.ndarray
+    blocks: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+    block_need: np.ndarray                      # by block
     least: np.ndarray                           # by item
     need: np.ndarray
     pane: int
     block: int
 
 
-def build_index(items: list[tuple[int, str]], frequencies: dict[str, int], total: int, share: float) -> Index | None:
-    """``frequencies`` are the items that hold each term among all ``total``; ``share`` of an item's own score is its threshold."""
-    split = [tuple(terms_of(pa.array([q, a], pa.string())).to_pylist()) for q, a in (question_answer(t or "") for _, t in items)]
-    rows = [(i, [w for w in q if w], [w for w in a if w]) for (i, _), (q, a) in zip(items, split)]
+def _parts(text: str) -> tuple[list[str], list[str], bool]:
+    """Terms of question and answer, and whether the answer is required."""
+    question, answer = question_answer(text)
+    q, a = terms_of(pa.array([question, answer], pa.string())).to_pylist()
+    return [w for w in q if w], [w for w in a if w], answered(question, bool(ANSWER.search(text)))
+
+
+@dataclass
+class Statistics:
+    """Of all items, whatever the number of indexes: items, mean and largest length."""
+
+    items: int
+    mean: float
+    longest: int
+
+
+def build_index(items: list[tuple[int, str]], frequencies: dict[str, int], of_all: Statistics, share: float) -> Index | None:
+    """``frequencies`` are the items that hold each term among all; ``share`` of an item's own score is its threshold."""
+    rows = [(i, *_parts(t)) for i, t in items]
     rows = [r for r in rows if r[1] or r[2]]
     if not rows:
         return None
-    terms = sorted({w for _, q, a in rows for w in q + a})
+    terms = sorted({w for _, q, a, _ in rows for w in q + a})
     number = {w: k for k, w in enumerate(terms)}
-    words = [np.array([number[w] for w in q + a]) for _, q, a in rows]
-    mean = sum(map(len, words)) / len(words)
-    idf = np.array([math.log(1 + (total - frequencies[w] + 0.5) / (frequencies[w] + 0.5)) for w in terms])
+    words = [np.array([number[w] for w in q + a]) for _, q, a, _ in rows]
+    idf = np.array([math.log(1 + (of_all.items - frequencies[w] + 0.5) / (frequencies[w] + 0.5)) for w in terms])
     impact, opened = [], []
-    block_most = np.zeros((len(terms), -(-len(rows) // BLOCK)))
     least, need = np.zeros(len(rows)), np.zeros(len(rows))
     for at, ws in enumerate(words):
         own, n = np.unique(ws, return_counts=True)
-        x = idf[own] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(ws) / mean))
+        x = idf[own] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(ws) / of_all.mean))
         impact.append((own, x))
-        block_most[own, at // BLOCK] = np.maximum(block_most[own, at // BLOCK], x)
+        # In the order of the words, so that sums are alike in every index.
         rising = np.argsort(x, kind="stable")
         common = int(np.searchsorted(np.cumsum(x[rising]), share * COMMON * x.sum()))
         least[at] = share * x.sum()
         need[at] = least[at] - x[rising[:common]].sum()
         opened += [(own[k], at, x[k]) for k in rising[common:]]
     opened.sort()
-    offsets = np.searchsorted([t for t, _, _ in opened], np.arange(len(terms) + 1))
-    return Index([i for i, _, _ in rows], terms, words, [len(q) for _, q, _ in rows], impact, offsets,
-                 (np.array([i for _, i, _ in opened]), np.array([x for _, _, x in opened])), block_most, least,
-                 need, max(map(len, words)), BLOCK)
+    term, item, most = (np.array(c) for c in zip(*opened))
+    numbers = np.arange(len(terms) + 1)
+    starts = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (item[1:] // BLOCK != item[:-1] // BLOCK)))
+    blocks = (item[starts] // BLOCK, np.maximum.reduceat(most, starts), starts, np.append(starts[1:], len(term)))
+    return Index([i for i, *_ in rows], terms, words, [len(q) for _, q, _, _ in rows], [must for *_, must in rows], impact,
+                 np.searchsorted(term, numbers), (item, most), np.searchsorted(term[starts], numbers), blocks,
+                 np.minimum.reduceat(need, np.arange(0, len(rows), BLOCK)), least, need, of_all.longest, BLOCK)
 
 
 def _shingles(words: np.ndarray) -> set:
@@ -126,15 +158,33 @@ def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return own, np.bincount(at, weights=values, minlength=len(own))
 
 
+def _spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places from ``first`` up to ``last`` of each pair, and the number of the pair that each is of."""
+    n = last - first
+    pair = np.repeat(np.arange(len(n)), n)
+    return np.arange(n.sum()) + np.repeat(first - np.append(0, np.cumsum(n)[:-1]), n), pair
+
+
 def candidates(index: Index, ids: np.ndarray, panes: np.ndarray) -> Iterator[tuple[int, list[int]]]:
-    """(pane, items) whose opening terms in this pane and the next one may be enough, from term numbers and their panes."""
+    """(pane, items) whose opening terms in this pane and the next one may be enough, from term numbers and their panes.
+
+    Blocks first: the maxima of a passage's terms bound the sums of all items of a block, and the postings
+    of a block that can't reach the need of any of its items are not read.
+    """
     opens = np.flatnonzero((ids >= 0) & (np.diff(index.offsets)[ids] > 0))
     seen = np.unique(panes[opens] * len(index.terms) + ids[opens])
     pane, term = np.divmod(seen, len(index.terms))
-    n = index.offsets[term + 1] - index.offsets[term]
-    at = np.repeat(index.offsets[term] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-    items, size = index.opens[0][at], len(index.least)
-    keys = np.repeat(pane, n) * size + items
+    at, of = _spread(index.block_offsets[term], index.block_offsets[term + 1])
+    pane, many = pane[of], len(index.block_need)
+    keys = pane * many + index.blocks[0][at]
+    # A passage is its own pane and the one behind: a pane's terms count for it and for the pane before.
+    bound, sums = _sums(np.concatenate([keys, keys - many]), np.tile(index.blocks[1][at], 2))
+    good = bound[sums >= index.block_need[bound % many] - 1e-9]
+    reads = np.isin(keys, good) | np.isin(keys - many, good)
+    at, pane = at[reads], pane[reads]
+    at, of = _spread(index.blocks[2][at], index.blocks[3][at])
+    size = len(index.least)
+    keys = pane[of] * size + index.opens[0][at]
     keys, sums = _sums(np.concatenate([keys, keys - size]), np.tile(index.opens[1][at], 2))
     pane, item = np.divmod(keys, size)
     good = sums >= index.need[item] - 1e-9
@@ -147,16 +197,12 @@ def candidates(index: Index, ids: np.ndarray, panes: np.ndarray) -> Iterator[tup
 def verified(index: Index, passage: np.ndarray, items: list[int], overlap: float) -> Iterator[tuple[int, float, float, float]]:
     """(item, score, question, answer) of the items that the passage reaches and holds."""
     terms = np.unique(passage[passage >= 0])
-    bounds = index.block_most[np.ix_(terms, sorted({i // index.block for i in items}))].sum(axis=0)
-    block = dict(zip(sorted({i // index.block for i in items}), bounds))
     for item in items:
-        if block[item // index.block] < index.least[item]:
-            continue
         own, x = index.impact[item]
         score = float(x[np.isin(own, terms, assume_unique=True)].sum())
         if score >= index.least[item]:
             q, a = _overlaps(index, item, passage)
-            if q >= overlap:
+            if q >= overlap and (a >= overlap or not index.asked[item]):
                 yield item, score, q, a
 
 
@@ -190,47 +236,68 @@ def contaminations(docs: DataFrame, items: DataFrame, share: float = 0.5, overla
 
     ``docs`` needs ``doc_id`` and ``text``, ``items`` ``item_id`` and ``text``.  A passage is a query; an
     item is retrieved if the passage's BM25 score is at least ``share`` of the item's score of itself, and
-    verified if at least ``overlap`` of the five-word shingles of its question stand in the passage;
-    ``answer_overlap`` says how much of the answer does.  Null and empty texts leak nothing and are no
-    items, repeated items are found each, repeated rows answer each, empty tables give none.
-
-    The index of at most ``ITEMS`` items goes to the executors; more items are taken in further rounds.
+    verified if at least ``overlap`` of the five-word shingles of its question stand in the passage, and of its
+    answer too where it has one: behind a mark, behind a question that is asked, or behind less than five words.
+    ``answer_overlap`` says how much of the answer, or of a passage's last sentence, is there; an empty part is
+    there.  Null and empty texts leak nothing and are no items, repeated items are found each, repeated rows
+    answer each, empty tables give none.
+
+    An index of at most ``ITEMS`` items goes to the executors; more items are taken in further rounds, each
+    stored before the next.  Lengths and frequencies are of all items, so scores don't depend on the rounds.
     """
     spark = docs.sparkSession
     items = items.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text")
-    total = items.count()
-    rounds = max(1, -(-total // ITEMS))
+    terms = _terms(items)
+    told = terms.filter(F.col("term").isNull()).agg(F.count("*"), F.sum("n"), F.max("n")).first()
+    if not told[0]:
+        return spark.createDataFrame([], FOUND)
+    of_all = Statistics(told[0], told[1] / told[0], told[2])
+    rounds = -(-of_all.items // ITEMS)
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds))
-    frequencies = _document_frequencies(items)
-    out = None
+    frequencies = terms.filter(F.col("term").isNotNull()).groupBy("term").agg(F.sum("n").alias("n"))
+    if rounds > 1:
+        frequencies = materialize(frequencies, "item-terms")
+    stored = Rounds(spark, "leaks")
     for k in range(rounds):
         rows = [(r["item_id"], r["text"]) for r in items.filter(part == k).collect()]
-        own = {w for _, t in rows for ws in terms_of(pa.array(question_answer(t), pa.string())).to_pylist() for w in ws if w}
-        counts = ({r["term"]: r["n"] for r in frequencies.collect()} if rounds == 1 else
-                  {r["term"]: r["n"] for r in frequencies.join(spark.createDataFrame([(w,) for w in own], "term string"), "term").collect()})
-        index = build_index(rows, counts, total, share)
-        if index is not None:
-            found = _search_all(docs, index, overlap)
-            out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], FOUND)
+        known = frequencies
+        if rounds > 1:
+            own = {w for _, t in rows for words in _parts(t)[:2] for w in words}
+            known = frequencies.join(spark.createDataFrame([(w,) for w in own], "term string"), "term")
+        index = build_index(sorted(rows), {r["term"]: r["n"] for r in known.collect()}, of_all, share)
+        if index is None:
+            continue
+        sent = spark.sparkContext.broadcast(index)
+        found = _search_all(docs, sent, overlap)
+        if rounds == 1:
+            return found
+        stored.add(found)
+        sent.destroy()
+    return stored.all() if stored.n else spark.createDataFrame([], FOUND)
 
 
 FOUND = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
-def _document_frequencies(items: DataFrame) -> DataFrame:
+def _terms(items: DataFrame) -> DataFrame:
+    """Rows (term, n): each distinct term of an item with 1, and for the item a null one with its length.
+
+    Items without terms give none.
+    """
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            terms = [w for t in batch.column(0).to_pylist()
-                     for w in {w for ws in terms_of(pa.array(question_answer(t), pa.string())).to_pylist() for w in ws if w}]
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string())], names=["term"])
-
-    return items.select("text").mapInArrow(batches, "term string").groupBy("term").agg(F.count("*").alias("n"))
+            rows = []
+            for text in batch.column(0).to_pylist():
+                q, a, _ = _parts(text)
+                if q or a:
+                    rows += [(w, 1) for w in {*q, *a}] + [(None, len(q) + len(a))]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()),
+                                              pa.array([n for _, n in rows], pa.int64())], names=["term", "n"])
 
+    return items.select("text").mapInArrow(batches, "term string, n long")
 
-def _search_all(docs: DataFrame, index: Index, overlap: float) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(index)
 
+def _search_all(docs: DataFrame, sent: Broadcast, overlap: float) -> DataFrame:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from stepframe.llm.frequencies import slices
 

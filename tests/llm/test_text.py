@@ -324,17 +324,23 @@ def test_markov_models_on_held_out_strings(small):
 # decontamination
 
 def leaks_by_hand(docs, items):
-    """All pairs of document and item, by shingles of the question alone."""
+    """All pairs of document and item, by shingles of the question, and of the answer where there is one."""
     cut = lambda t: [w for w in (x.strip(decontaminate.TRIM) for x in t.lower().split())]
     shingles = lambda w: {tuple(w[i:i + min(5, len(w))]) for i in range(len(w) - min(5, len(w)) + 1)} if w else set()
     out = set()
     for item, t in items:
-        q = [w for w in cut(decontaminate.question_answer(t or "")[0]) if w]
-        want = shingles(q)
+        parts = decontaminate.question_answer(t or "")
+        q, a = ([w for w in cut(p) if w] for p in parts)
+        must = "answer:" in (t or "").lower() or parts[0].strip().endswith("?") or len(parts[0].split()) < 5
         for doc, text in docs:
             w = cut(text or "")
-            have = {tuple(w[i:i + min(5, len(q))]) for i in range(len(w))}
-            if want and len(want & have) >= 0.8 * len(want):
+
+            def there(part):
+                want = shingles(part)
+                have = {tuple(w[i:i + min(5, len(part))]) for i in range(len(w))}
+                return len(want & have) >= 0.8 * len(want)
+
+            if (q or a) and there(q) and (not must or there(a)):
                 out.add((doc, item))
     return out
 
@@ -359,10 +365,44 @@ def test_leaks_equal_brute_force(spark, run, odd, small, none):
 def test_leaks_in_rounds_equal_one_index(spark, small, monkeypatch):
     items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    one = {(r.doc_id, r.item_id) for r in decontaminate.contaminations(docs, items).collect()}
-    monkeypatch.setattr(decontaminate, "ITEMS", 9)
-    monkeypatch.setattr(decontaminate, "BLOCK", 4)
-    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminations(docs, items).collect()} == one and one
+    found = lambda: sorted((r.doc_id, r.item_id, round(r.score, 9), r.question_overlap, r.answer_overlap)
+                           for r in decontaminate.contaminations(docs, items).collect())
+    one = found()
+    assert one
+    for many, block in ((9, 4), (9, 64), (20_000, 1)):
+        monkeypatch.setattr(decontaminate, "ITEMS", many)
+        monkeypatch.setattr(decontaminate, "BLOCK", block)
+        assert found() == one, "scores are alike in every number of rounds"
+
+
+def test_answers_are_verified_where_there_are_some(spark):
+    items = [(1, "Why does the grey river bend so far north? Because of old hills of soft red stone there."),
+             (2, "name a colour. answer: deep blue of a winter evening sky"), (3, "answer: just seven plain words in this one answer"),
+             (4, "The long plain passage has two sentences of some length. It ends with another one here.")]
+    filler = " ".join(f"word{i}" for i in range(40))
+    docs = [(10, f"{filler} Why does the grey river bend so far north? {filler}"), (11, f"{filler} {items[0][1]} {filler}"),
+            (20, f"{filler} name a colour. {filler}"), (21, f"{filler} {items[1][1]} {filler}"), (30, f"{filler} {items[2][1]}"),
+            (31, filler), (40, "The long plain passage has two sentences of some length."), (41, items[3][1])]
+    got = decontaminate.contaminations(spark.createDataFrame(docs, "doc_id long, text string"),
+                                       spark.createDataFrame(items, "item_id long, text string"), share=0.3).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == leaks_by_hand(docs, items) == {(11, 1), (21, 2), (30, 3), (40, 4), (41, 4)}
+
+
+def test_blocks_that_cannot_reach_are_not_read(monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(400)}" for _ in range(30))) for i in range(300)]
+    parts = [decontaminate._parts(t)[:2] for _, t in rows]
+    frequencies = collections.Counter(w for q, a in parts for w in {*q, *a})
+    lengths = [len(q) + len(a) for q, a in parts]
+    monkeypatch.setattr(decontaminate, "BLOCK", 2)
+    index = decontaminate.build_index(rows, frequencies, decontaminate.Statistics(300, sum(lengths) / 300, max(lengths)), 0.5)
+    ids = np.array([index.terms.index(w) for w in parts[17][0] + parts[17][1]])
+    read = []
+    spread = decontaminate._spread
+    monkeypatch.setattr(decontaminate, "_spread", lambda a, b: read.append(int((b - a).sum())) or spread(a, b))
+    got = dict(decontaminate.candidates(index, ids, np.ones(len(ids), int)))
+    assert 17 in got[1] and 17 in got[0]
+    assert read[1] < (np.diff(index.offsets)[np.unique(ids)].sum()) / 2
 
 
 def test_question_and_answer():
