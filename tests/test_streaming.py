@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from stepframe.operators.load import fold_changes, upsert_status
 from stepframe.operators.sets import compare_verdict
 from stepframe.session import scratch_path
-from stepframe.streaming import keyed_table, months_of, status_now, store_changes, stream_monthly_usage, stream_status_upsert
+from stepframe.operators.ordered import usage_limit_flag
+from stepframe.streaming import (keyed_table, months_of, status_now, store_changes, stream_monthly_usage, stream_status_upsert,
+                                 stream_usage_limit)
+from stepframe.streaming import limits
 
 
 def requests(spark):
@@ -91,3 +94,60 @@ def test_status_stream_equals_batch_and_survives_a_repeat(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
     join = plan[plan.index("SortMergeJoin"):]
     assert join.count("Exchange") == 1 and "batch" in join[join.index("Exchange"):], "only the changes are shuffled"
+
+
+def run_limit(spark, source, schema, out, state, limit=7):
+    stream = spark.readStream.schema(schema).parquet(source)
+    stream_usage_limit(stream, limit, out, state).awaitTermination()
+    return spark.read.parquet(out)
+
+
+def test_limits_on_the_stream_equal_the_batch(spark):
+    df = requests(spark)
+    source, out, state = (scratch_path(spark, x) for x in ("requests", "decisions", "state"))
+    # Three batches that follow each other in time, the first with a repeat and with requests of no user.
+    first = df.where("event_id < 150").unionByName(df.where("event_id = 3")).unionByName(
+        df.where("event_id between 20 and 40").withColumn("user_id", F.lit(None).cast("bigint")))
+    parts = [first, df.where("event_id between 150 and 419"), df.where("event_id >= 420")]
+    for part in parts:
+        # Hours are drawn at random, so batches are cut by day.
+        part.repartition(3).write.mode("append").parquet(source)
+        got = run_limit(spark, source, df.schema, out, state)
+    rows = [(r.user_id, r.event_id, r.decision == "accepted", r.used_after) for r in got.collect()]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    day = every.withColumn("month", F.month("ts"))
+    want = usage_limit_flag(day.withColumn("batch", F.when(F.col("event_id") < 150, 0).when(F.col("event_id") < 420, 1).otherwise(2)),
+                            ["user_id", "month"], ["batch", "ts"], 7, "event_id")
+    some = lambda x: tuple((v is not None, v) for v in x)
+    assert sorted(rows, key=some) == sorted([(r.user_id, r.event_id, r.accepted, r.used_after) for r in want.collect()], key=some)
+
+
+def test_late_requests_go_apart_and_months_are_let_go(spark):
+    at = lambda text: f"TIMESTAMP_NTZ '{text}'"
+    source, out, state = (scratch_path(spark, x) for x in ("requests", "decisions", "state"))
+
+    def send(*rows):
+        values = ", ".join(f"({e}, {u}, {at(t) if t else 'CAST(NULL AS TIMESTAMP_NTZ)'})" for e, u, t in rows)
+        df = spark.sql(f"SELECT CAST(e AS bigint) AS event_id, CAST(u AS bigint) AS user_id, t AS ts FROM VALUES {values} AS v(e, u, t)")
+        df.coalesce(1).write.mode("append").parquet(source)
+        return {r.event_id: (r.decision, r.used_after) for r in run_limit(spark, source, df.schema, out, state, 2).collect()}
+
+    send((1, 5, "2024-01-03 00:00:00"), (2, 5, "2024-01-02 00:00:00"), (3, 5, None))
+    send((4, 5, "2024-01-01 00:00:00"), (5, 5, "2024-02-01 00:00:00"))
+    send((6, 5, "2024-01-09 00:00:00"), (7, 5, "2024-03-01 00:00:00"))
+    got = send((8, 5, "2024-01-10 00:00:00"), (9, 5, "2024-02-10 00:00:00"), (10, 6, "2023-05-05 00:00:00"))
+    assert got == {1: ("accepted", 2), 2: ("accepted", 1), 3: ("late", None), 4: ("refused", 2), 5: ("accepted", 1),
+                   6: ("refused", 2), 7: ("accepted", 1), 8: ("late", None), 9: ("accepted", 2), 10: ("accepted", 1)}
+    assert spark.read.parquet(f"{out}/decision=late").count() == 2
+
+
+def test_no_more_than_the_limit_is_held():
+    import pandas as pd
+    rng = random.Random(3)
+    order = rng.sample(range(5000), 5000)
+    pages = (pd.DataFrame([(1, i, i, 24289) for i in order[k:k + 100]]) for k in range(0, 5000, 100))
+    used = {24289: 4, 24287: 9, 24288: 1}
+    got = pd.concat(limits.decide(pages, used, 10))
+    kept = got[got.decision == "accepted"]
+    assert list(kept.event) == list(range(6)) and list(kept.used_after) == list(range(5, 11)) and len(got) == 5000
+    assert used == {24288: 1, 24289: 10}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from stepframe.session import scratch_path
-from stepframe.streaming import keyed_table, months_so_far, status_now, stream_monthly_usage, stream_status_upsert
+from stepframe.streaming import keyed_table, months_so_far, status_now, stream_monthly_usage, stream_status_upsert, stream_usage_limit
 from workload.loads import CHANGE_ORDER, UPSERT_SQL, change_log, task_table
 from workload.registry import query
 
@@ -36,3 +36,15 @@ def status(t):
                                CHANGE_ORDER, ["status"], "target_code", "l_shipdate")
     run.awaitTermination()
     return status_now(base, changes, "id", fields, buckets=buckets)
+
+
+@query("stream_usage_limit", """
+SELECT event_id, user_id, CASE WHEN rn <= 40 THEN 'accepted' ELSE 'refused' END AS decision,
+       CAST(least(rn, 40) AS INTEGER) AS used_after
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id, year(ts), month(ts) ORDER BY ts, event_id) AS rn
+      FROM events)""")
+def usage_limit(t):
+    out = scratch_path(t.spark, "usage-decisions")
+    run = stream_usage_limit(stream_of(t, "events"), 40, out, scratch_path(t.spark, "limit-state"))
+    run.awaitTermination()
+    return t.spark.read.parquet(out).select("event_id", "user_id", "decision", "used_after")
