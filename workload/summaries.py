@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from stepframe import functions as fn
 from stepframe.operators import summary as A
 from stepframe.operators import tracking as B
+from stepframe.operators import profiles as P
+from stepframe.session import scratch_path
 from workload.registry import query
 
 RATED_SQL = """(SELECT *, CASE WHEN price IS NULL OR price < 20000 THEN 5
@@ -192,3 +194,36 @@ SELECT source AS project_id, COUNT(*) FILTER (n_chars >= 200) AS file_count FROM
 def file_count(t):
     status = F.when(F.col("n_chars") >= 200, "accepted").otherwise("skipped_blank")
     return B.file_count(t.documents.select(F.col("source").alias("project_id"), status.alias("status")))
+
+
+def _merged_sql(table: str, columns: list[tuple[str, str, bool]]) -> str:
+    return "\nUNION ALL\n".join(
+        f"SELECT '{name}' AS column_name, COUNT(*) AS n_rows, COUNT(*) - COUNT({name}) AS n_missing, "
+        + (f"CAST(MIN({e}) AS DOUBLE) AS low, CAST(MAX({e}) AS DOUBLE) AS high, CAST(NULL AS VARCHAR) AS low_text, "
+           if number else f"CAST(NULL AS DOUBLE) AS low, CAST(NULL AS DOUBLE) AS high, MIN({e}) AS low_text, ")
+        + f"TRUE AS distinct_within, TRUE AS median_within FROM {table}" for name, e, number in columns)
+
+
+@query("merged_profile", _merged_sql("orders", [
+    ("o_orderkey", "o_orderkey", True), ("o_custkey", "o_custkey", True), ("o_totalprice", "o_totalprice", True),
+    ("o_orderdate", "CAST(o_orderdate AS DATE) - DATE '1970-01-01'", True), ("o_orderpriority", "o_orderpriority", False)]))
+def merged_profile(t):
+    """Three loads, profiled and stored one by one, read as one profile; estimates are held against exact counts."""
+    names, path = ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority"], scratch_path(t.spark, "profiles")
+    orders = t.orders.select(*names).withColumn("o_orderdate", F.col("o_orderdate").cast("date"))
+    for load in range(3):
+        P.store_profile(P.load_profile(orders.where(F.col("o_orderkey") % 3 == load)), path, f"load{load}")
+    merged = P.read_profile(P.merge_profiles(P.stored_profiles(t.spark, path)), [0.5])
+    # Exact figures, one row per column: distinct values and the shares of rows below and up to the estimated median.
+    medians = merged.select(F.map_from_entries(F.collect_list(F.struct("column_name", F.get("at_ranks", F.lit(0)))))).scalar()
+    at = orders.withColumn("_m", medians)
+    number = {c: F.unix_date(c) if c == "o_orderdate" else F.col(c) for c in names[:-1]}
+    exact = at.agg(*[F.struct(
+        F.lit(c).alias("column_name"), F.count_distinct(c).alias("n"),
+        *([F.avg((number[c] < F.col("_m")[c]).cast("int")).alias("below"), F.avg((number[c] <= F.col("_m")[c]).cast("int")).alias("upto")]
+          if c in number else [F.lit(0.0).alias("below"), F.lit(1.0).alias("upto")])).alias(c) for c in names])
+    exact = exact.select(F.inline(F.array(*names)))
+    off = F.abs(F.col("n_distinct") - F.col("n")) <= F.col("distinct_error") * F.col("n")
+    middle = (F.col("below") - P.RANK_ERROR <= 0.5) & (F.col("upto") + P.RANK_ERROR >= 0.5)
+    return merged.join(exact, "column_name").select("column_name", "n_rows", "n_missing", "low", "high", "low_text",
+                                                    off.alias("distinct_within"), middle.alias("median_within"))
