@@ -45,14 +45,29 @@ t AS (SELECT source, source_size, CASE WHEN capped THEN most::DOUBLE ELSE
         (sum(source_size) OVER () - coalesce(sum(CASE WHEN capped THEN most END) OVER (), 0))::DOUBLE
         / (sum(CASE WHEN NOT capped THEN weight END) OVER ())::DOUBLE * weight::DOUBLE END AS target FROM c),
 f AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS share FROM t),
-r AS (SELECT d.doc_id, d.size, f.source_size, f.target, f.source, floor(share)::BIGINT AS sure, share - floor(share) AS odds,
-             target - floor(share) * source_size AS wanted,
-             sum(d.size) OVER (PARTITION BY f.source ORDER BY u, d.doc_id, d.size
-                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS cum
-      FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source)
+g AS (SELECT *, floor(share)::BIGINT AS whole, target - floor(share) * source_size AS wanted,
+             share > floor(share) AND floor(share) < 3 AS drawn FROM f),
+h AS (SELECT g.source, d.size, wanted, d.size * count(*) AS words, sum(d.size::HUGEINT * d.size) AS squares
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source AND g.drawn GROUP BY g.source, d.size, wanted),
+m AS (SELECT *, size > 0 AND (wanted - coalesce(sum(words) OVER (PARTITION BY source ORDER BY size DESC
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * size
+               >= (sum(squares) OVER (PARTITION BY source ORDER BY size DESC
+                 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS certain FROM h),
+p AS (SELECT source, min(CASE WHEN certain THEN size END) AS certain_size,
+             coalesce(sum(CASE WHEN certain THEN words END), 0) AS certain_words,
+             (sum(CASE WHEN NOT certain THEN squares END))::DOUBLE AS squares, max(wanted) AS wanted FROM m GROUP BY source),
+q AS (SELECT d.doc_id, d.size, d.u, g.source, g.source_size, g.target, g.whole, g.wanted, g.drawn, p.certain_words,
+             coalesce(g.drawn AND d.size >= p.certain_size, false) AS certain,
+             CASE WHEN squares > 0 THEN (p.wanted - certain_words) / squares ELSE 0.0 END * d.size AS chance
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN p ON p.source IS NOT DISTINCT FROM g.source),
+k AS (SELECT *, CASE WHEN drawn AND NOT certain AND chance > 0
+                     THEN u / (1 - u) / (chance / greatest(1 - chance, 1.1102230246251565e-16)) END AS rank FROM q),
+r AS (SELECT *, sum(size) OVER (PARTITION BY source, rank IS NULL ORDER BY rank, doc_id, size
+                                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS cum FROM k)
 SELECT doc_id, size, source_size, target,
-  (size * (sure + CASE WHEN odds > 0 AND sure < 3 AND CASE WHEN size = 0 THEN cum <= wanted
-                       ELSE floor((wanted - cum) / size + 0.5) >= 1 END THEN 1 ELSE 0 END))::BIGINT AS taken
+  (size * (whole + CASE WHEN certain THEN 1
+                        WHEN rank IS NOT NULL AND floor((wanted - certain_words - cum) / size + 0.5) >= 1 THEN 1
+                        ELSE 0 END))::BIGINT AS taken
 FROM r""")
 def pareto_mix(table):
     """Words that the mix takes from each document, targets by source."""

@@ -107,6 +107,37 @@ def test_mix_in_many_blocks_equals_one(spark, small):
     assert by_id(many) == by_id(one) and one.agg({"rows": "sum"}).first()[0] == 250
 
 
+def test_mix_ranks_by_own_inclusion(spark):
+    """Documents of unequal sizes: certain ones all go, others by random odds over their own inclusion odds, not by their draws."""
+    import random
+    rng = random.Random(4)
+    rows = [("a", i, rng.choice([3, 10, 40, 400]), rng.random()) for i in range(400)] + [("a", 400, 30_000, 0.999)]
+    rows += [("b", 1000 + i, 25, rng.random()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "source string, doc_id long, size long, u double")
+    got = mixing.mix_plan(df, weights=(2, 3), block_rows=50).collect()
+    for name in "ab":
+        mine = [r for r in rows if r[0] == name]
+        plan = {r.doc_id: r for r in got if r.source == name}
+        assert len(plan) == len(mine)
+        target, total = plan[mine[0][1]].target, sum(r[2] for r in mine)
+        whole, left, open_ = int(target // total), target - target // total * total, sorted(mine, key=lambda r: -r[2])
+        while open_ and left * open_[0][2] >= sum(r[2] ** 2 for r in open_):
+            left -= open_.pop(0)[2]
+        certain = {r[1] for r in mine} - {r[1] for r in open_}
+        c = left / sum(r[2] ** 2 for r in open_)
+        rank = {r[1]: r[3] / (1 - r[3]) * (1 - c * r[2]) / (c * r[2]) for r in open_}
+        taken, cum = set(), 0
+        for r in sorted(open_, key=lambda r: rank[r[1]]):
+            if cum + r[2] / 2 <= left:
+                taken.add(r[1])
+            cum += r[2]
+        assert {k for k, r in plan.items() if r.extra} == taken and {k for k, r in plan.items() if r.sure > whole} == certain
+        if name == "a":
+            assert 400 in certain
+            by_draw = [r[1] for r in sorted(open_, key=lambda r: r[3])][:len(taken)]
+            assert set(by_draw) != taken
+
+
 def test_targets_with_caps(spark):
     sizes = {"a": 10, "b": 1000, "c": 5, "d": 3, "e": 0, None: 700}
     rows = spark.createDataFrame([(k, v) for k, v in sizes.items()], "source string, source_size long")
