@@ -269,6 +269,49 @@ def test_licence_labels(spark):
     assert all(r.score == 0 for r in licenses.license_scan(df).collect() if r.labels == "")
 
 
+def licence_labels(t, idf, support=0.5):
+    """Labels and score by trying every notice at every place, without an index."""
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    labels, score = set(), 0.0
+    for x in licenses.notices():
+        whole = sum(idf[v] for v in x.words)
+        for start in range(1 - len(x.words), len(w)):
+            hit = [0 <= start + k < len(w) and w[start + k] == v for k, v in enumerate(x.words)]
+            share = sum(idf[v] for v, h in zip(x.words, hit) if h) / whole
+            if all(h for h, m in zip(hit, x.must) if m) and (x.base or share >= support):
+                labels.add(x.label)
+                score = max(score, 1.0 if x.base else min(1.0, share))
+    return ",".join(sorted(labels)), round(score, 9)
+
+
+def test_licence_index_equals_brute_force(spark, odd):
+    """Whole, cut and changed notices among other words, several in one text, by IDF of the corpus and by a given one."""
+    import random
+    rng = random.Random(8)
+    listed, texts = licenses.notices(), [None, "", "the the by 2 0", "general public license" * 3]
+    for k in range(240):
+        said = []
+        for x in rng.sample(listed, rng.randrange(1, 4)):
+            w = list(x.words)
+            if k % 3 == 1:
+                w = w[rng.randrange(3):len(w) - rng.randrange(3)]
+            if k % 3 == 2 and w:
+                w[rng.randrange(len(w))] = rng.choice(["the", "x", "license", "2"])
+            said += [rng.choice(["by", "license", "of", "cc", "Other"])] * rng.randrange(3) + w
+        texts.append(" ".join(said))
+    texts += ["/* SPDX-License-Identifier: MIT */", "EPL: Eclipse Public License 2.0", "Licensed under the EUPL, version 1.2",
+              "Redistributions in binary form must reproduce the above copyright notice"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    vocabulary = {w for x in listed for w in x.words}
+    docs = [set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())) for t in texts]
+    own = {w: math.log(1 + (len(texts) + 1) / (sum(w in d for d in docs) + 0.5)) for w in vocabulary}
+    for given, idf in ((None, own), ({w: 1.0 + len(w) for w in vocabulary},) * 2):
+        got = [(r.labels, round(r.score, 9)) for r in licenses.license_scan(df, given).orderBy("doc_id").collect()]
+        assert got == [licence_labels(t, idf) for t in texts]
+    assert [r[0] for r in got[-4:]] == ["mit", "epl-2.0", "eupl-1.2", "bsd"]
+
+
 def digests(rows):
     out, by = {}, collections.defaultdict(list)
     for r in rows:
