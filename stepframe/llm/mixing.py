@@ -99,6 +99,8 @@ def mix_plan(rows: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = 3, bl
     drawn = targets.filter("drawn").select(F.col("source").alias("source_"), "wanted")
     chances = inclusion(sizes.join(drawn, same({"source": "source_"})), F.col("wanted"))
     targets = targets.join(chances.withColumnRenamed("source", "source_"), same({"source": "source_"}), "left").drop("source_")
+    # Stored, so that it is made once and joined by its real size: a row per source.
+    targets = materialize(targets, "mix-targets")
     ranked = counted.join(targets, counted["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     certain = F.coalesce(F.col("drawn") & (F.col("size") >= F.col("certain_size")), F.lit(False))
     chance = F.col("per_word") * F.col("size")
