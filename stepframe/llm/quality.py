@@ -79,16 +79,6 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "), "[0-9]+", "0"))
 
 
-def line_hash(line: Column) -> Column:
-    return F.when(line.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(normal_line(line)))
-
-
-def line_table(text: Column) -> Column:
-    """For each line of a text in order the hash of its normal form, null if it has no word, and its words."""
-    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.struct(
-        line_hash(x).alias("line"), F.regexp_count(x, F.lit(WORD)).alias("n")))
-
-
 def least_run(line: Column) -> Column:
     """Least hash of the five-word runs of a normalised line; a shorter line is one run."""
     def least(ws: Column) -> Column:
@@ -98,22 +88,43 @@ def least_run(line: Column) -> Column:
 
 
 def lines_with_family(text: Column, doc: Column) -> Column:
-    """Distinct normalised lines (line, family) of a text.
+    """The lines with a word (line, at, n, first, family) of a text: hash of the normal form, place from 0, words.
 
-    A line's family is the least run of the text's *other* lines, the document itself without any:
-    near copies mostly agree in it, documents that have only this line in common don't.
+    ``first`` is the first line of that hash in the text.  A line's family is the least run of the
+    text's *other* lines, the document itself without any: near copies mostly agree in it, documents that have only
+    this line in common don't.  Lines are sorted by hash, so that equal ones are found as neighbours.
     """
     def of(lines: Column) -> Column:
         def family(least: Column) -> Column:
             first, second = F.get(least, F.lit(0)), F.get(least, F.lit(1))
-            return F.transform(lines, lambda x: F.struct(x["line"].alias("line"), F.coalesce(
-                F.when(x["least"] == first, second).otherwise(first), doc).alias("family")))
-        return let(F.sort_array(F.transform(lines, lambda x: x["least"])), family)
+            return F.transform(lines, lambda x: F.struct(
+                x["line"].alias("line"), x["at"].alias("at"), x["n"].alias("n"), x["first"].alias("first"), F.coalesce(
+                    F.when(x["least"] == first, second).otherwise(first), doc).alias("family")))
+        return let(F.sort_array(F.transform(F.filter(lines, lambda x: x["first"]), lambda x: x["least"])), family)
+
+    def marked(s: Column) -> Column:
+        def known(x: Column, i: Column) -> Column:
+            return F.struct(*[x[n].alias(n) for n in ("line", "at", "n", "least")],
+                            (~F.coalesce(_neighbours(s, i)[0]["line"] == x["line"], F.lit(False))).alias("first"))
+        return F.transform(s, known)
+
+    def hashed(x: Column, i: Column) -> Column:
+        normal = normal_line(x)
+        return F.struct(F.when(x.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(normal)).alias("line"), i.alias("at"),
+                        F.regexp_count(x, F.lit(WORD)).cast("long").alias("n"), least_run(normal).alias("least"))
+
+    told = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), hashed), lambda x: x["line"].isNotNull())
+    return let(let(F.array_sort(told), marked), of)
+
 
-    told = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    lines = F.array_distinct(F.transform(F.transform(told, normal_line), lambda x: F.struct(
-        F.xxhash64(x).alias("line"), least_run(x).alias("least"))))
-    return let(lines, of)
+def without_lines(text: Column, gone: Column) -> Column:
+    """The text without its lines at the places ``gone``, which are sorted: the stretches between them."""
+    def kept(parts: Column) -> Column:
+        def stretch(k: Column) -> Column:
+            after = F.when(k > 0, F.get(gone, k - 1)).otherwise(F.lit(-1))
+            return F.slice(parts, after + 2, F.coalesce(F.get(gone, k), F.size(parts)) - after - 1)
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), stretch)), "\n")
+    return let(F.split(text, "\n"), kept)
 
 
 def common_lines(lines: DataFrame, documents: DataFrame, min_documents: int, min_share: float, max_family: float) -> DataFrame:
@@ -142,26 +153,20 @@ def quality_rules(docs: DataFrame, min_documents: int = 20, min_share: float = 0
     one; its ``clean_text`` is what it was.  A null host is a host of its own.  Other columns go along
     whatever their names; equal rows get equal answers; an empty table stays empty.
     """
-    names = ("host", "doc", "lines")
-    base = docs.select("*", measures(F.col("text")).alias(OWN + "m"), *[c.alias(OWN + n) for n, c in zip(names, (
-        F.col(host), F.xxhash64("text"), line_table(F.col("text"))))])
+    base = docs.select("*", measures(F.col("text")).alias(OWN + "m"), F.col(host).alias(OWN + "host"), F.xxhash64("text").alias(OWN + "doc"))
     documents = (docs.select(F.col(host).alias("host"), F.xxhash64("text").alias("doc"), lines_with_family(
         F.col("text"), F.xxhash64("text")).alias("lines")).dropDuplicates(["host", "doc"]))
-    lines = documents.select("host", "doc", F.explode("lines").alias("x")).select("host", "doc", "x.line", "x.family")
-    common = common_lines(lines, documents, min_documents, min_share, max_family).select(
+    lines = documents.select("host", "doc", F.explode("lines").alias("x")).select("host", "doc", "x.*")
+    common = common_lines(lines.filter("first"), documents, min_documents, min_share, max_family).select(
         F.col("host").alias("host_"), F.col("line").alias("line_"))
     removed = (lines.join(common, same({"host": "host_", "line": "line_"})).groupBy("host", "doc")
-               .agg(F.collect_set("line").alias("gone"))
-               .select(*[F.col(n).alias(f"{OWN}{n}_") for n in ("host", "doc", "gone")]))
+               .agg(F.sort_array(F.collect_list("at")).alias("gone"), F.sum("n").alias("words"))
+               .select(*[F.col(n).alias(f"{OWN}{n}_") for n in ("host", "doc", "gone", "words")]))
     joined = base.join(removed, same({OWN + "host": OWN + "host_", OWN + "doc": OWN + "doc_"}), "left")
     m, gone, text = F.col(OWN + "m"), F.col(OWN + "gone_"), F.col("text")
-    n_gone = F.when(gone.isNull(), F.lit(0).cast("long")).otherwise(F.aggregate(
-        OWN + "lines", F.lit(0).cast("long"),
-        lambda a, x: a + F.when(F.array_contains(gone, x["line"]), x["n"].cast("long")).otherwise(F.lit(0).cast("long"))))
-    stay = F.filter(F.split(text, "\n"), lambda x, i: ~F.coalesce(
-        F.array_contains(gone, F.get(F.col(OWN + "lines"), i)["line"]), F.lit(False)))
+    n_gone = F.coalesce(F.col(OWN + "words_"), F.lit(0).cast("long"))
     counts = {n: m[n] for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
     failed = fails_base(m)
     return with_new(joined, **counts, base_failed=failed,
-                    clean_text=F.when(gone.isNull(), text).otherwise(F.array_join(stay, "\n")), removed_words=n_gone,
+                    clean_text=F.when(gone.isNull(), text).otherwise(without_lines(text, gone)), removed_words=n_gone,
                     kept=~failed & (m["n_words"] - n_gone > m["n_words"] * min_left))
