@@ -223,22 +223,6 @@ def test_common_lines_go_and_copies_stay(spark):
     assert not got[300].kept and got[300].clean_text == "\nhi" and got[301].clean_text is None and not got[301].kept
 
 
-def test_common_lines_anywhere_in_very_long_texts(spark):
-    """Common lines first, last, repeated, side by side and among blank ones; time grows with the lines, not with their square."""
-    import time
-    lines = [f"common line number {'abcdefghij'[i % 10] * (i // 10 + 1)} of the host" for i in range(4000)]
-    own = lambda i: [f"{'klmnopqrst'[i % 10]}{'uvwxyz'[i // 10]}own{'k' * k}" for k in range(60)]
-    texts = ["\n".join(["", lines[0], *lines[i::7], " ", *own(i), lines[0], lines[0], ""]) for i in range(30)] + ["\n".join(lines + own(40))]
-    df = spark.createDataFrame([(i, t, "h") for i, t in enumerate(texts)], "doc_id long, text string, source string")
-    common = {x for x in lines if sum(x in t.split("\n") for t in texts) > 3}
-    began = time.time()
-    got = {r.doc_id: r for r in quality.quality_rules(df, min_documents=3, max_family=0.9).collect()}
-    assert time.time() - began < 60 and len(common) > 3900
-    for i, t in enumerate(texts):
-        stay = [x for x in t.split("\n") if x not in common]
-        assert got[i].clean_text == "\n".join(stay) and got[i].removed_words == sum(len(x.split()) for x in t.split("\n") if x in common)
-
-
 def test_common_lines_go_from_hosts_of_every_size(spark):
     from pyspark.sql import functions as F
     docs = spark.range(6000).select("id", F.when(F.col("id") < 5900, "hot").otherwise("small").alias("source"))
