@@ -176,6 +176,28 @@ def test_components_of_long_chains_and_stars(spark):
     assert got == {**{i: 1 for i in range(2, 61)}, **{i: 90 for i in range(100, 150)}}
 
 
+def test_links_that_are_stars_are_stored_once(spark, monkeypatch):
+    stored, store = [], dedup.materialize
+    monkeypatch.setattr(dedup, "materialize", lambda df, label: stored.append(label) or store(df, label))
+    links = [(1, k) for k in range(2, 30)] + [(40, 41), (41, 40)]
+    got = dict(map(tuple, dedup.components(spark.createDataFrame(links, "a long, b long")).collect()))
+    assert got == {**{k: 1 for k in range(2, 30)}, 41: 40} and len(stored) == 1
+
+
+def test_unlike_texts_of_one_passage_are_compared_in_few_rounds(spark, monkeypatch):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    passage = [word() for _ in range(150)]
+    rows = [(k, " ".join([word() for _ in range(40)] + passage + [word() for _ in range(40)])) for k in range(90)]
+    rows += [(100 + k, " ".join(mutated(rng, rows[k][1].split(), 0.02))) for k in range(0, 90, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    added, add = [], dedup._Rounds.add
+    monkeypatch.setattr(dedup._Rounds, "add", lambda self, df: added.append(self.names) or add(self, df))
+    got = collections.Counter(map(tuple, dedup.near_duplicates(df).collect()))
+    assert got == brute_classes(rows) and sum(i != c for i, c in got) == 10
+    assert sum("good" in names and "key" not in names for names in added) <= 3
+
+
 # lattice scores
 
 @pytest.mark.parametrize("which", ["odd", "small", "none"])
